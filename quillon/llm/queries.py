@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, quality, sampling
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -23,7 +23,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(docs).withColumnRenamed("digest", "text_sha256")
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op8_exact_dedup": op8_exact_dedup}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    labels = _read(spark, sf_dir, "labels", "doc_id", "quality")
+    model = quality.train(docs, labels.filter(sampling.fold(3) != 1))
+    score = F.col("quality_score")
+    return quality.scored(docs, model).select(
+        "doc_id", (sampling.fold(3) == 1).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted")
+    )
+
+
+QUERIES = {"op2_mixing": op2_mixing, "op8_exact_dedup": op8_exact_dedup, "op10_quality": op10_quality}
 
 ORACLES = {
     "op8_exact_dedup": """
