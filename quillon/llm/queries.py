@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality, sampling
+from . import exact_dedup, mixing, quality, sampling, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -18,6 +18,16 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(mixing.sized(docs)).select("doc_id", "size", "source_size", "target", taken)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    labels = _read(spark, sf_dir, "labels", "doc_id", "toxic")
+    model = toxicity.train(docs, labels.filter(sampling.fold(5) != 0))
+    score = F.col("toxic_score")
+    return toxicity.scored(docs, model).select(
+        "doc_id", (sampling.fold(5) == 0).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
     return exact_dedup.exact_groups(docs).withColumnRenamed("digest", "text_sha256")
@@ -33,7 +43,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op8_exact_dedup": op8_exact_dedup, "op10_quality": op10_quality}
+QUERIES = {
+    "op2_mixing": op2_mixing,
+    "op7_toxicity": op7_toxicity,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op10_quality": op10_quality,
+}
 
 ORACLES = {
     "op8_exact_dedup": """
