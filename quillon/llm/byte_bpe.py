@@ -7,7 +7,6 @@ merged from its bytes: the bytes form a linked list, and a heap yields the pair
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -19,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from ..functions.shipping import ship
-from .pretokens import cut, spread
+from .pretokens import Memory, cut, ranges, spread
 from .words import slices, texts_of
 
 #: No token's id; pairs with nothing.
@@ -109,9 +108,6 @@ class PerfectHash:
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
-    #: Pieces whose ids are remembered; when full, the memory starts anew.
-    REMEMBERED = 1_500_000
-
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = regex.compile(pattern)
         self.tokens = list(ranks)
@@ -126,12 +122,7 @@ class Codec:
         self.token_begin = np.zeros(size, np.int64)
         self.token_begin[self.ids] = np.cumsum(self.token_length[self.ids]) - self.token_length[self.ids]
         self.token_bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.memory: dict[str, int] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.memory.clear()
-        self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.memory = Memory(self._learn)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a pre-token that is no token as a whole.
@@ -172,41 +163,20 @@ class Codec:
         ids.pop()
         return [x for x in ids if x >= 0]
 
-    def _learn(self, fresh: list[str]) -> None:
-        """Remembers the ids of pieces that were not seen before."""
-        split = list(map(self.pattern.findall, fresh))
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        split = list(map(self.pattern.findall, pieces))
         words = list(dict.fromkeys(chain.from_iterable(split)))
         raw = [w.encode() for w in words]
         merge, id_of = self.merge, self.ids
         coded = {w: (merge(r) if f < 0 else [int(id_of[f])]) for w, r, f in zip(words, raw, self.whole.find(raw).tolist())}
         rows = [coded[s[0]] if len(s) == 1 else list(chain.from_iterable(map(coded.__getitem__, s))) for s in split]
-        self.memory.update(zip(fresh, range(len(self.begin) - 1, len(self.begin) - 1 + len(fresh))))
         lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(rows), np.uint32, int(lengths.sum()))])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(lengths)])
-
-    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(lengths, flat ids) of independent pieces of text."""
-        if len(self.memory) + len(pieces) > self.REMEMBERED:
-            self._forget()
-        memory = self.memory
-        fresh = [p for p in pieces if p not in memory]
-        if fresh:
-            collecting = gc.isenabled()
-            gc.disable()  # millions of small lists without cycles; looking for cycles among them costs a third of the time
-            try:
-                self._learn(fresh)
-            finally:
-                if collecting:
-                    gc.enable()
-        at = np.fromiter(map(memory.__getitem__, pieces), np.int64, len(pieces))
-        lengths = self.begin[at + 1] - self.begin[at]
-        return lengths, self.flat[_ranges(self.begin[at], lengths)]
+        return lengths, np.fromiter(chain.from_iterable(rows), np.uint32, int(lengths.sum()))
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, start of each text and the end)."""
         pieces = cut(texts)
-        return spread(pieces, *self.encode_pieces(pieces.unique))
+        return spread(pieces, *self.memory.ids(pieces.unique))
 
     def encode(self, text: str) -> list[int]:
         return self.encode_batch(pa.array([text], pa.large_string()))[0].tolist()
@@ -214,13 +184,7 @@ class Codec:
     def decode(self, ids) -> bytes:
         """Bytes of the ids; they need not be whole characters."""
         ids = np.asarray(ids, np.int64)
-        return self.token_bytes[_ranges(self.token_begin[ids], self.token_length[ids])].tobytes()
-
-
-def _ranges(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """begin[0], begin[0] + 1, ... for lengths[0] places, then the same for every other entry."""
-    end = np.cumsum(lengths)
-    return np.arange(int(end[-1]) if len(end) else 0) + np.repeat(begin - (end - lengths), lengths)
+        return self.token_bytes[ranges(self.token_begin[ids], self.token_length[ids])].tobytes()
 
 
 def _pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:

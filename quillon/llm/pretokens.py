@@ -8,6 +8,8 @@ only and are cut by Arrow's kernels; the others are cut by a pattern.
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,7 +58,46 @@ def spread(pieces: Pieces, lengths: np.ndarray, flat: np.ndarray) -> tuple[np.nd
     """
     begin = np.cumsum(lengths) - lengths
     n = lengths[pieces.ids]
-    end = np.cumsum(n)
-    total = int(end[-1]) if len(end) else 0
-    where = np.arange(total, dtype=np.int64) + np.repeat(begin[pieces.ids] - (end - n), n)
-    return flat[where], np.concatenate([[0], end])[pieces.starts]
+    return flat[ranges(begin[pieces.ids], n)], np.concatenate([[0], np.cumsum(n)])[pieces.starts]
+
+
+def ranges(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... for lengths[0] places, then the same for every other entry."""
+    end = np.cumsum(lengths)
+    return np.arange(int(end[-1]) if len(end) else 0) + np.repeat(begin - (end - lengths), lengths)
+
+
+class Memory:
+    """Ids of pieces seen before in this process; when `most` pieces are held, it starts anew.
+
+    learn: gives (lengths, flat ids) of pieces that are not held.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_500_000):
+        self.learn, self.most, self.place = learn, most, {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.place.clear()
+        self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, flat ids) of the pieces in their order."""
+        if len(self.place) + len(pieces) > self.most:
+            self.forget()
+        place = self.place
+        fresh = [p for p in pieces if p not in place]
+        if fresh:
+            collecting = gc.isenabled()
+            gc.disable()  # millions of small lists without cycles; looking for cycles among them costs a third of the time
+            try:
+                lengths, flat = self.learn(fresh)
+            finally:
+                if collecting:
+                    gc.enable()
+            place.update(zip(fresh, range(len(self.begin) - 1, len(self.begin) - 1 + len(fresh))))
+            self.flat = np.concatenate([self.flat, flat])
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(lengths)])
+        at = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
+        lengths = self.begin[at + 1] - self.begin[at]
+        return lengths, self.flat[ranges(self.begin[at], lengths)]

@@ -6,13 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, mixing, quality, sampling, toxicity
+from . import byte_bpe, exact_dedup, mixing, quality, sampling, sstable, store, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
+def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    target = store.fresh_path(spark, "token-shards")
+    shards = sstable.write_shards(docs, target, public_tokenizers.path("byte_bpe_50k.json"))
+    return sstable.read_shards(shards).drop("ids")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "source", "text")
     taken = (F.col("copies") * F.col("size")).cast("long").alias("taken")
@@ -50,6 +57,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_shards": op1_token_shards,
     "op2_mixing": op2_mixing,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_toxicity": op7_toxicity,
