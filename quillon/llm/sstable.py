@@ -277,9 +277,9 @@ def read_shards(shards: DataFrame) -> DataFrame:
 
     ship(shards.sparkSession)
     before = F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    based = store.written(shards.withColumn("base", F.coalesce(before, F.lit(0))), "shard-bases")
-    n = max(1, based.count())
-    dealt = based.repartitionById(n, (F.row_number().over(Window.orderBy("shard")) - 1).cast("int"))
+    place = (F.row_number().over(Window.orderBy("shard")) - 1).cast("int")
+    based = store.written(shards.withColumn("base", F.coalesce(before, F.lit(0))).withColumn("place", place), "shard-bases")
+    dealt = based.repartitionById(max(1, based.count()), "place")  # one file to a task
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
