@@ -222,3 +222,27 @@ def near_groups(docs: DataFrame, shingle: int = 4, seed: int = 42, hot: int = HO
 
 def fingerprint_hex(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def deduplicated(docs: DataFrame, shingle: int = 4, seed: int = 42, hot: int = HOT) -> DataFrame:
+    """The rows of docs that stay, with all their columns: one of each component, that of the smallest doc_id.
+
+    Where the winning doc_id repeats within its component, the row with the smaller fingerprint stays, and of rows that
+    repeat that as well, the one with the smallest hash of its columns.
+    """
+    from pyspark.sql import Window
+
+    columns = docs.columns
+    groups = near_groups(docs, shingle, seed, hot)
+    best = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fp").alias("_fp"))
+    best = written(best.select(F.col("component_id").alias("_id"), "_fp"), "kept-components")
+    several = best.groupBy("_id").count().filter("count > 1").isEmpty()
+    rows = docs.join(best, F.col("doc_id").eqNullSafe(F.col("_id")))
+    if not several or not groups.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        # Some doc_id is not unique: only its row of the right fingerprint stays, so that row's texts are hashed again.
+        ship(docs.sparkSession)
+        fp = F.udf(lambda t: fingerprint(t or "", shingle, seed), "bigint")
+        rows = rows.filter(fp("text") == F.col("_fp"))
+        order = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in columns])
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_fp").orderBy(order))).filter("_n = 1")
+    return rows.select(*[F.col(f"`{c}`") for c in columns])
