@@ -236,9 +236,9 @@ def deduplicated(docs: DataFrame, shingle: int = 4, seed: int = 42, hot: int = H
     groups = near_groups(docs, shingle, seed, hot)
     best = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fp").alias("_fp"))
     best = written(best.select(F.col("component_id").alias("_id"), "_fp"), "kept-components")
-    several = best.groupBy("_id").count().filter("count > 1").isEmpty()
+    unique = groups.groupBy("doc_id").count().filter("count > 1").isEmpty()
     rows = docs.join(best, F.col("doc_id").eqNullSafe(F.col("_id")))
-    if not several or not groups.groupBy("doc_id").count().filter("count > 1").isEmpty():
+    if not unique:
         # Some doc_id is not unique: only its row of the right fingerprint stays, so that row's texts are hashed again.
         ship(docs.sparkSession)
         fp = F.udf(lambda t: fingerprint(t or "", shingle, seed), "bigint")
