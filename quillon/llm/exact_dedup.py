@@ -14,7 +14,7 @@ digest; digests that stand for several texts are treated apart, by text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import written
@@ -95,24 +95,27 @@ def _members(docs: DataFrame, groups: DataFrame, keys: list[str], digest) -> Dat
 def deduplicated(docs: DataFrame, digest=sha256_hex, salts: int = 16) -> DataFrame:
     """The rows of docs that stay, with all their columns: of equal texts, one row with the largest doc_id.
 
-    Where the winning doc_id repeats, the row with the smallest hash of its other columns stays.
+    Where the winning doc_id repeats, the row with the smallest hash of its columns stays. Columns travel as one struct,
+    so no name of theirs can clash with a name used here.
     """
     groups, several = winners(docs, digest, salts)
-    keyed = docs.withColumn("_digest", digest(normalised(F.col("text"))))
-    kept = _winning_rows(keyed, groups.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep")), ["_digest"])
+    keyed = docs.select(F.struct("*").alias("row")).withColumn("digest", digest(normalised(F.col("row.text"))))
+    kept = _winning_rows(keyed, groups.select("digest", "keep_id"), ["digest"])
     if not several.isEmpty():
-        apart = keyed.join(several.withColumnRenamed("digest", "_digest"), "_digest", "left_semi").withColumn("_text", normalised(F.col("text")))
-        best = text_groups(apart, digest, salts).select(F.col("text").alias("_text"), F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))
-        kept = kept.unionByName(_winning_rows(apart, best, ["_digest", "_text"]))
-    return kept.select(*docs.columns)
+        apart = keyed.join(several, "digest", "left_semi").withColumn("text", normalised(F.col("row.text")))
+        best = text_groups(apart.select("row.doc_id", "text"), digest, salts).select("digest", "text", "keep_id")
+        kept = kept.unionByName(_winning_rows(apart, best, ["digest", "text"]))
+    return kept.select("row.*")
 
 
 def _winning_rows(keyed: DataFrame, best: DataFrame, keys: list[str]) -> DataFrame:
     """The join leaves equal keys together and sorted, so ranking the few rows of each key moves no data again."""
-    from pyspark.sql import Window
+    held = keyed.join(best, keys).filter(F.col("row.doc_id").eqNullSafe(F.col("keep_id")))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(row_hash("row", keyed)))
+    return held.withColumn("rank", rank).filter("rank = 1").select("row")
 
-    others = [F.col(f"`{c}`") for c in keyed.columns if c not in keys]
-    same = F.col("doc_id").eqNullSafe(F.col("_keep"))
-    held = keyed.withColumn("_order", F.xxhash64(*[c.cast("string") for c in others])).join(best, keys).filter(same)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_order"))
-    return held.withColumn("_rank", rank).filter("_rank = 1").drop("_rank", "_order", "_keep", "_text")
+
+def row_hash(row: str, df: DataFrame) -> Column:
+    """A hash over all columns of a struct; maps, which have no order, count by their text."""
+    fields = df.schema[row].dataType.fields
+    return F.xxhash64(*[F.col(row)[f.name].cast("string") if "map<" in f.dataType.simpleString() else F.col(row)[f.name] for f in fields])

@@ -153,11 +153,10 @@ def sized(docs: DataFrame) -> DataFrame:
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """docs with every row as often as the mix takes it, all columns kept.
 
-    Copies are joined back by doc_id and size; of rows that repeat both, and so rank alike, each is taken alike.
+    Copies are joined back by doc_id and size; of rows that repeat both, and so rank alike, each is taken alike. Columns
+    travel as one struct, so no name of theirs can clash with a name used here.
     """
-    plan = mix(sized(docs), **options).filter("copies > 0").groupBy("doc_id", "size").agg(F.max("copies").alias("_copies"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_n"), "_copies")
-    rows = docs.withColumn("_words", word_count(F.col("text")))
-    met = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_n")))
-    times = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_i")
-    return met.select(*[F.col(f"`{c}`") for c in docs.columns], times).drop("_i")
+    plan = mix(sized(docs), **options).filter("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.struct("*").alias("row")).withColumn("words", word_count(F.col("row.text")))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
+    return rows.join(plan, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

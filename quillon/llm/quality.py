@@ -222,6 +222,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     return model
 
 
+def accepted(docs: DataFrame, model: AdditiveModel, least: float = 0.5) -> DataFrame:
+    """The rows of docs whose text scores at least `least`, with all their columns as they are."""
+    ship(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(features(texts_of(batch.column(at)))) >= least, pa.bool_()))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def scored(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     """docs with a column quality_score in [0, 1]; its own column of that name, if any, gives way.
 

@@ -16,11 +16,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 from .components import components
+from .exact_dedup import row_hash
 from .store import written
 from .words import texts_of
 
@@ -220,29 +221,26 @@ def near_groups(docs: DataFrame, shingle: int = 4, seed: int = 42, hot: int = HO
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def fingerprint_hex(fp):
-    return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
 def deduplicated(docs: DataFrame, shingle: int = 4, seed: int = 42, hot: int = HOT) -> DataFrame:
     """The rows of docs that stay, with all their columns: one of each component, that of the smallest doc_id.
 
     Where the winning doc_id repeats within its component, the row with the smaller fingerprint stays, and of rows that
-    repeat that as well, the one with the smallest hash of its columns.
+    repeat that as well, the one with the smallest hash of its columns. Columns travel as one struct, so no name of
+    theirs can clash with a name used here.
     """
-    from pyspark.sql import Window
-
-    columns = docs.columns
     groups = near_groups(docs, shingle, seed, hot)
-    best = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fp").alias("_fp"))
-    best = written(best.select(F.col("component_id").alias("_id"), "_fp"), "kept-components")
+    best = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fp").alias("best_fp"))
+    best = written(best.withColumnRenamed("component_id", "best_id"), "kept-components")
     unique = groups.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    rows = docs.join(best, F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = docs.select(F.struct("*").alias("row")).join(best, F.col("row.doc_id").eqNullSafe(F.col("best_id")))
     if not unique:
-        # Some doc_id is not unique: only its row of the right fingerprint stays, so that row's texts are hashed again.
-        ship(docs.sparkSession)
-        fp = F.udf(lambda t: fingerprint(t or "", shingle, seed), "bigint")
-        rows = rows.filter(fp("text") == F.col("_fp"))
-        order = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in columns])
-        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_fp").orderBy(order))).filter("_n = 1")
-    return rows.select(*[F.col(f"`{c}`") for c in columns])
+        # Some doc_id repeats: only its row of the right fingerprint stays, so the texts left are hashed again.
+        fp = F.pandas_udf(lambda texts: texts.fillna("").map(lambda t: fingerprint(t, shingle, seed)).astype("int64"), "bigint")
+        rows = rows.filter(fp("row.text") == F.col("best_fp"))
+        rank = F.row_number().over(Window.partitionBy("best_id", "best_fp").orderBy(row_hash("row", rows)))
+        rows = rows.withColumn("rank", rank).filter("rank = 1")
+    return rows.select("row.*")
+
+
+def fingerprint_hex(fp):
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
