@@ -32,5 +32,5 @@ def centred_mean(value: Column, window, width: int = 5) -> Column:
 
 def latest(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """The values of the last row of each key; combined before the shuffle."""
-    last = F.max(F.struct(*order, *values)).alias("last")
+    last = F.max(F.struct(*dict.fromkeys([*order, *values]))).alias("last")
     return df.groupBy(*keys).agg(last).select(*keys, *[F.col(f"last.{v}") for v in values])

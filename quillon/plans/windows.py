@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from ..operators import sequences as S
 from .registry import query, sql_query, table
 
-_CONV = Window.partitionBy("conv_id").orderBy("turn")
-_USER = Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+def _turns():
+    return Window.partitionBy("conv_id").orderBy("turn")
+
+
+def _user():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 @query("w01_run_start", "SELECT conv_id, turn, coalesce(role <> lag(role) OVER (PARTITION BY conv_id ORDER BY turn), TRUE) AS first FROM conversations")
 def run_start(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.run_start(F.col("role"), _CONV).alias("first"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.run_start(F.col("role"), _turns()).alias("first"))
 
 
 @query(
@@ -26,7 +31,7 @@ def run_start(spark, sf_dir):
 )
 def run_bounds(spark, sf_dir):
     kind = F.col("event_type")
-    return table(spark, sf_dir, "events").select("event_id", S.run_start(kind, _USER).alias("first"), S.run_end(kind, _USER).alias("last"))
+    return table(spark, sf_dir, "events").select("event_id", S.run_start(kind, _user()).alias("first"), S.run_end(kind, _user()).alias("last"))
 
 
 @query(
@@ -64,7 +69,7 @@ def open_neighbours(spark, sf_dir):
     "SELECT event_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 10 MINUTE, FALSE) AS quick FROM events",
 )
 def quick_repeat(spark, sf_dir):
-    step = F.col("ts") - F.lag("ts").over(_USER)
+    step = F.col("ts") - F.lag("ts").over(_user())
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(step < F.expr("INTERVAL 10 MINUTES"), F.lit(False)).alias("quick"))
 
 
@@ -83,7 +88,7 @@ sql_query(
     """,
 )
 def centred_mean(spark, sf_dir):
-    mean = S.centred_mean(F.col("value").cast("decimal(18,2)"), _USER, 5)
+    mean = S.centred_mean(F.col("value").cast("decimal(18,2)"), _user(), 5)
     return table(spark, sf_dir, "events").select("event_id", F.round(mean.cast("double"), 6).alias("smooth"))
 
 
@@ -98,7 +103,7 @@ def centred_mean(spark, sf_dir):
 def trim(spark, sf_dir):
     """From 4 rows before the first value above the threshold to 12 rows after the last."""
     whole = Window.partitionBy("user_id")
-    rows = table(spark, sf_dir, "events").withColumn("i", F.row_number().over(_USER))
+    rows = table(spark, sf_dir, "events").withColumn("i", F.row_number().over(_user()))
     loud = F.when(F.col("value") > 100, F.col("i"))
     return rows.withColumn("a", F.min(loud).over(whole) - 4).withColumn("z", F.max(loud).over(whole) + 12).filter("i between a and z").select("event_id")
 
