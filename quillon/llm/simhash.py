@@ -131,7 +131,8 @@ def _by_neighbours(rows: DataFrame) -> DataFrame:
                 points = flips[k] ^ fp
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(points), k, np.int32)), pa.array(points), pa.array(np.full(len(points), fp))], schema=schema)
 
-    named = written(rows.select("k", "fp").repartition().mapInArrow(name, "k int, point bigint, fp bigint"), "neighbours")
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = written(rows.select("k", "fp").repartition(spread).mapInArrow(name, "k int, point bigint, fp bigint"), "neighbours")
     least = named.groupBy("k", "point").agg(F.min("fp").alias("b"))
     return named.withColumnRenamed("fp", "a").join(least, ["k", "point"]).filter("a <> b").select("a", "b").distinct()
 
