@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,10 @@ class _Hasher:
             return x ^ (x >> np.uint64(29))
 
 
+#: For hashes within blocks of contexts.
+_BLOCKS = _Hasher(_ODD)
+
+
 def anchors(data: np.ndarray, first: _Hasher, second: _Hasher, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Of one text: anchor hash, a digest of the context (two hashes), and the first and last window start of each anchor.
 
@@ -114,71 +119,117 @@ def _smallest(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate(found)
 
 
+@dataclass
+class Sorted:
+    """Bytes with what their suffixes are compared by: the eight bytes from each place on as a big-endian number, and a
+    hash of the `depth` bytes from there; zeros stand behind the end."""
+
+    data: np.ndarray
+    depth: int
+    padded: np.ndarray
+    key: np.ndarray
+    digest: np.ndarray
+
+    @classmethod
+    def of(cls, data: np.ndarray, depth: int) -> Sorted:
+        padded = np.concatenate([data, np.zeros(depth + 8, np.uint8)])
+        key = padded.astype(np.uint64)
+        for width in (1, 2, 4):
+            key = (key[:-width] << np.uint64(8 * width)) | key[width:]
+        prefix = _BLOCKS.prefix(padded)
+        n = len(data)
+        return cls(data, depth, padded, key, _BLOCKS.spans(prefix, slice(0, n), slice(depth, depth + n), slice(0, n)))
+
+
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     """Order of all suffixes of data by their first `depth` bytes at least; data counts as followed by zeros."""
-    n = len(data)
+    return _suffix_array(Sorted.of(data, depth))
+
+
+def _suffix_array(text: Sorted, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The suffixes in order; with wanted, a mask of places, only those that it names or that their order hangs on:
+    up to the next suffix that is smaller than its successor, as all between are induced from it."""
+    data, n = text.data, len(text.data)
     if not n:
         return np.zeros(0, np.int64)
     smaller, run = _types(data)
+    if wanted is None:
+        wanted = np.ones(n, bool)
+    else:
+        named = np.flatnonzero(wanted)
+        stops = np.append(np.flatnonzero(smaller), n - 1)
+        change = np.zeros(n + 1, np.int64)
+        np.add.at(change, named, 1)
+        np.add.at(change, stops[np.searchsorted(stops, named)] + 1, -1)
+        wanted = np.cumsum(change[:-1]) > 0
     rank = np.empty(n, np.int64)
-    counts = np.bincount(data, minlength=256)
+    large = np.flatnonzero(wanted & ~smaller)
+    counts = np.bincount(data[wanted], minlength=256)
     bucket = np.cumsum(counts) - counts
-    large_in = np.bincount(data[~smaller], minlength=256)
+    large_in = np.bincount(data[large], minlength=256)
     # First stage: the suffixes smaller than their successors. In each bucket they follow the others.
-    some = np.flatnonzero(smaller)
-    order = some[_direct_order(data, some, depth)]
-    first = data[order]
-    small_in = np.bincount(first, minlength=256)
+    order = _direct_order(text, np.flatnonzero(wanted & smaller))
+    small_in = np.bincount(data[order], minlength=256)
     rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(small_in) - small_in, small_in) + np.repeat(bucket + large_in, small_in)
     # Second stage: a suffix larger than its successor starts with a byte no smaller than that of its successor. So a
     # scan of the buckets in ascending order finds every successor in place; in a run of one byte, the longer run is larger.
-    rest = np.flatnonzero(~smaller)
-    rest = rest[np.argsort(data[rest], kind="stable")]
+    large = large[np.argsort(data[large], kind="stable")]
     ends = np.cumsum(large_in)
     for byte in np.flatnonzero(large_in).tolist():
-        own = rest[ends[byte] - large_in[byte] : ends[byte]]
+        own = large[ends[byte] - large_in[byte] : ends[byte]]
         after = own + run[own]
         follow = np.where(after < n, rank[np.minimum(after, n - 1)], -1)
-        own = own[np.lexsort((follow, run[own]))]
+        own = own[np.argsort(run[own] * (n + 1) + follow)]  # no two suffixes have the same successor and run
         rank[own] = bucket[byte] + np.arange(len(own))
-    out = np.empty(n, np.int64)
-    out[rank] = np.arange(n)
+    places = np.flatnonzero(wanted)
+    out = np.empty(len(places), np.int64)
+    out[rank[places]] = places
     return out
 
 
 def _types(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each suffix is smaller than its successor, and how many equal bytes start at each place."""
     n = len(data)
-    change = np.flatnonzero(np.r_[data[1:] != data[:-1], True])  # last place of each run
-    end = change[np.searchsorted(change, np.arange(n))]
-    following = np.r_[data, np.uint8(0)][end + 1]
-    smaller = (data < following) & (end + 1 < n)
-    return smaller, end - np.arange(n) + 1
+    last = np.flatnonzero(np.r_[data[1:] != data[:-1], True])  # last place of each run
+    size = np.diff(last, prepend=-1)
+    rises = np.r_[data[last[:-1]] < data[last[:-1] + 1], False]
+    return np.repeat(rises, size), np.repeat(last, size) - np.arange(n) + 1
+
 
+def _direct_order(text: Sorted, places: np.ndarray) -> np.ndarray:
+    """The given suffixes in order: by eight bytes at a time, each time only those still tied.
 
-def _words(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on as a big-endian number, zeros behind the end."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    key = np.zeros(len(data), np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | padded[i : i + len(data)]
-    return key
+    Suffixes whose first `depth` bytes have one hash stay together from the first tie on and are compared as one.
+    """
+    key, digest = text.key, text.digest
+    order = places[np.argsort(key[places])]
+    value = key[order]
+    new = np.r_[True, value[1:] != value[:-1]][: len(order)]
+    tied = np.flatnonzero(~new | ~np.r_[new[1:], True][: len(order)])
+    if not len(tied):
+        return order  # also where nothing is to be sorted
+    own, group = order[tied], np.cumsum(new)[tied]
+    again = np.lexsort((digest[own], group))
+    own, group = own[again], group[again]
+    first = np.r_[True, (digest[own][1:] != digest[own][:-1]) | (group[1:] != group[:-1])]
+    alike, some = np.cumsum(first) - 1, own[first]
+    rank = np.empty(len(some), np.int64)
+    rank[_refined(text, some, group[first])] = np.arange(len(some))
+    order[tied] = own[np.argsort(rank[alike], kind="stable")]
+    return order
 
 
-def _direct_order(data: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the given suffixes: by eight bytes at a time, each time only those still tied."""
-    key = np.concatenate([_words(data), np.zeros(1, np.uint64)])
-    n = len(data)
-    order = np.argsort(key[places], kind="stable")
-    value = key[places][order]
-    new = np.r_[True, value[1:] != value[:-1]]
+def _refined(text: Sorted, places: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Places' indices in order; groups ascend and their members agree in the first eight bytes."""
+    order, n = np.arange(len(places)), len(text.data)
+    new = np.r_[True, group[1:] != group[:-1]]
     tied = np.flatnonzero(~new | ~np.r_[new[1:], True])
-    group = np.cumsum(new)[tied]
-    for at in range(8, depth, 8):
+    group = group[tied]
+    for at in range(8, text.depth, 8):
         if not len(tied):
             break
         own = order[tied]
-        value = key[np.minimum(places[own] + at, n)]
+        value = text.key[np.minimum(places[own] + at, n)]
         again = np.lexsort((value, group))
         own, value, group = own[again], value[again], group[again]
         order[tied] = own
@@ -190,12 +241,22 @@ def _direct_order(data: np.ndarray, places: np.ndarray, depth: int) -> np.ndarra
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """For each place of the array but the first: length of the prefix shared with the place before, `most` at most."""
-    key = np.concatenate([_words(data), np.zeros(1, np.uint64)])
-    n, shared = len(data), np.zeros(max(0, len(order) - 1), np.int64)
-    left = np.arange(len(shared))
+    return _common_prefixes(Sorted.of(data, most), order)
+
+
+def _common_prefixes(text: Sorted, order: np.ndarray, chunk: int = 4096) -> np.ndarray:
+    """Neighbours of one hash are compared as a whole, all others eight bytes at a time."""
+    shared = np.zeros(max(0, len(order) - 1), np.int64)
+    n, most = len(text.data), text.depth
+    alike = np.flatnonzero(text.digest[order[1:]] == text.digest[order[:-1]])
+    windows = np.lib.stride_tricks.sliding_window_view(text.padded, most)
+    for at in range(0, len(alike), chunk):
+        part = alike[at : at + chunk]
+        shared[part[(windows[order[part]] == windows[order[part + 1]]).all(axis=1)]] = most
+    left = np.flatnonzero(shared < most)
     for at in range(0, most, 8):
         a, b = order[:-1][left] + at, order[1:][left] + at
-        differ = key[np.minimum(a, n)] ^ key[np.minimum(b, n)]
+        differ = text.key[np.minimum(a, n)] ^ text.key[np.minimum(b, n)]
         same = differ == 0
         shared[left[same]] = at + 8
         rest = differ[~same]
@@ -214,11 +275,11 @@ def repeated_starts(contexts: list[bytes], weights: np.ndarray, window: int = WI
     lengths = np.fromiter(map(len, contexts), np.int64, len(contexts))
     data = np.frombuffer(b"".join(contexts), np.uint8)
     begin = np.cumsum(lengths) - lengths
-    order = suffix_array(data, window)
-    shared = common_prefixes(data, order, window)
     owner = np.repeat(np.arange(len(contexts)), lengths)
     whole = np.arange(len(data)) - begin[owner] + window <= lengths[owner]  # windows that end inside their context
-    group = np.r_[0, np.cumsum(shared < window)] if len(order) else np.zeros(0, np.int64)
+    text = Sorted.of(data, window)
+    order = _suffix_array(text, whole)
+    group = np.cumsum(np.r_[True, _common_prefixes(text, order) < window][: len(order)]) - 1
     count = np.bincount(group, np.where(whole[order], weights[owner[order]], 0))
     hit = np.zeros(len(data), bool)
     hit[order] = count[group] >= 2
@@ -291,7 +352,7 @@ def _anchor_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
     schema = pa.schema([("rid", pa.int64()), ("sha", pa.binary()), ("anchor", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = _Hasher(_ODD | 1), _Hasher(_ODD_2 | 1)
+        first, second = _Hasher(_ODD), _Hasher(_ODD_2)
         for batch in batches:
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = text.as_buffer()
