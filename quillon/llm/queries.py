@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, knn, mixing, quality, sampling, simhash, sstable, store, suffix_dedup, toxicity
+from . import byte_bpe, chunk_dedup, exact_dedup, knn, mixing, quality, sampling, simhash, sstable, store, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(mixing.sized(docs)).select("doc_id", "size", "source_size", "target", taken)
 
 
+def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.repeats(_read(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
+
+
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed(_read(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
 
@@ -73,6 +77,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_mixing": op2_mixing,
+    "op3_chunk_dedup": op3_chunk_dedup,
     "op4_suffix_array": op4_suffix_array,
     "op5_simhash": op5_simhash,
     "op6_byte_bpe": op6_byte_bpe,
