@@ -122,7 +122,7 @@ class Codec:
         self.token_begin = np.zeros(size, np.int64)
         self.token_begin[self.ids] = np.cumsum(self.token_length[self.ids]) - self.token_length[self.ids]
         self.token_bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.memory = Memory(self._learn)
+        self.memory = Memory(self._learn, 400_000)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a pre-token that is no token as a whole.
@@ -205,7 +205,7 @@ def codec(path: str, pattern: str) -> Codec:
     return _HELD[path, pattern]
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, most_bytes: int = 16 << 20) -> DataFrame:
+def encoded(docs: DataFrame, path: str, pattern: str, most_bytes: int = 6 << 20) -> DataFrame:
     """Encodes every whole text and decodes the ids again.
 
     docs: doc_id, text; other columns are not read. path: a rank file that every executor has, like the library itself.

@@ -70,11 +70,12 @@ def ranges(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Memory:
     """Ids of pieces seen before in this process; when `most` pieces are held, it starts anew.
 
-    learn: gives (lengths, flat ids) of pieces that are not held.
+    learn: gives (lengths, flat ids) of pieces that are not held; it is given `step` pieces at a time, so that what it
+    makes on the way stays small.
     """
 
-    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_500_000):
-        self.learn, self.most, self.place = learn, most, {}
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000, step: int = 1 << 15):
+        self.learn, self.most, self.step, self.place = learn, most, step, {}
         self.forget()
 
     def forget(self) -> None:
@@ -88,16 +89,19 @@ class Memory:
         place = self.place
         fresh = [p for p in pieces if p not in place]
         if fresh:
+            parts, ends = [self.flat], [self.begin]
             collecting = gc.isenabled()
             gc.disable()  # millions of small lists without cycles; looking for cycles among them costs a third of the time
             try:
-                lengths, flat = self.learn(fresh)
+                for a in range(0, len(fresh), self.step):
+                    lengths, flat = self.learn(fresh[a : a + self.step])
+                    parts.append(flat)
+                    ends.append(ends[-1][-1] + np.cumsum(lengths))
             finally:
                 if collecting:
                     gc.enable()
             place.update(zip(fresh, range(len(self.begin) - 1, len(self.begin) - 1 + len(fresh))))
-            self.flat = np.concatenate([self.flat, flat])
-            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(lengths)])
+            self.flat, self.begin = np.concatenate(parts), np.concatenate(ends)
         at = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
         lengths = self.begin[at + 1] - self.begin[at]
         return lengths, self.flat[ranges(self.begin[at], lengths)]

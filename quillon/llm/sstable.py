@@ -228,7 +228,7 @@ def _encoder(path: str) -> LibraryEncoder:
         return _ENCODERS[path]
 
 
-def write_shards(docs: DataFrame, target: str, tokenizer: str, end_id: int = 0, shards: int | None = None, most_bytes: int = 16 << 20) -> DataFrame:
+def write_shards(docs: DataFrame, target: str, tokenizer: str, end_id: int = 0, shards: int | None = None, most_bytes: int = 8 << 20) -> DataFrame:
     """Encodes every whole text of docs (doc_id, text) and writes shards in ascending doc_id order.
 
     Shard files lie in target, a folder that all executors share, named by any address pyarrow knows. Each is written
