@@ -208,7 +208,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 150, rate: f
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 3000, longest: int = 200_000) -> AdditiveModel:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 3000, longest: int = 60_000) -> AdditiveModel:
     """The model from a bounded sample of labelled rows. labels: the rows to learn from, doc_id and label.
 
     The sample may hold the labels in other shares than the table; the bias is set back to the table's.
