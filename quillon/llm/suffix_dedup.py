@@ -34,6 +34,8 @@ from .store import written
 
 WINDOW = 400
 GRAM = 32
+#: Anchors of more different contexts than this are searched window by window, spread over tasks.
+HOT = 2_000
 #: Bytes of contexts that are sorted together; a single group of one anchor may be larger.
 BLOCK = 1 << 20
 
@@ -322,7 +324,7 @@ def _read_rows(path: str, wanted: set[int] | None, batch_rows: int = 512) -> Ite
                     yield rid, text.as_buffer().to_pybytes() if text.is_valid else b""
 
 
-def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """What is cut out of each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
 
     docs: doc_id, text. Null text counts as empty. A text shorter than the window stays whole. Rows that repeat a text are
@@ -339,9 +341,12 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int
     held = marks.filter("low is not null").join(same.select("rid", "copies"), "rid")
     held = held.groupBy("anchor", "one", "two").agg(F.sum("copies").alias("weight"), F.min(F.struct("rid", "low", "high")).alias("place"), F.count(F.lit(1)).alias("n"))
     held = written(held, "contexts-by-anchor")
-    busy = held.groupBy("anchor").agg(F.sum("weight").alias("times")).filter("times > 1").select("anchor")
-    chosen = written(held.join(busy, "anchor").select("anchor", "one", "two", "weight", "place.*"), "repeated-anchors")
-    hits = written(_sorted_hits(texts, chosen, window, block), "repeated-windows")
+    busy = held.groupBy("anchor").agg(F.sum("weight").alias("times"), F.count(F.lit(1)).alias("kinds")).filter("times > 1")
+    chosen = written(held.join(busy, "anchor").select("anchor", "one", "two", "weight", "place.*", (F.col("kinds") > hot).alias("hot")), "repeated-anchors")
+    hits = written(_sorted_hits(texts, chosen.filter("not hot"), window, block), "repeated-windows")
+    crowded = chosen.filter("hot")
+    if not crowded.isEmpty():
+        hits = hits.unionByName(written(_single_hits(texts, crowded, window), "repeated-windows-of-hot-anchors"))
     # What holds for one context holds for all equal ones, and what holds for a text for all equal texts.
     places = marks.filter("low is not null").join(hits, ["anchor", "one", "two"]).select("rid", "low", "begins", "ends")
     return _cut(texts, marks, same, written(places, "places"), window)
@@ -385,9 +390,8 @@ def _by_file(rows: DataFrame, files: int) -> DataFrame:
     return rows.repartitionById(max(1, files), part).sortWithinPartitions("rid")
 
 
-def _sorted_hits(texts: DataFrame, chosen: DataFrame, window: int, block: int) -> DataFrame:
-    """For each context of a repeated anchor that has such windows: anchor, one, two, and the spans that repeated windows
-    cover in it, begins and ends."""
+def _contexts(texts: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
+    """anchor, one, two, weight and the bytes of each chosen context, cut out by the task that reads its file."""
     files = _file_of(texts)
     count = max(files, default=0) + 1
 
@@ -405,8 +409,14 @@ def _sorted_hits(texts: DataFrame, chosen: DataFrame, window: int, block: int) -
             part = table.slice(a, b - a).select(["anchor", "one", "two", "weight"]).append_column("context", pa.array(cut, pa.binary()))
             yield from part.combine_chunks().to_batches()
 
-    contexts = _by_file(chosen.select("rid", "anchor", "one", "two", "weight", "low", "high"), count).mapInArrow(fetch, "anchor bigint, one bigint, two bigint, weight bigint, context binary")
-    dealt = contexts.repartition("anchor").sortWithinPartitions("anchor")
+    rows = chosen.select("rid", "anchor", "one", "two", "weight", "low", "high")
+    return _by_file(rows, count).mapInArrow(fetch, "anchor bigint, one bigint, two bigint, weight bigint, context binary")
+
+
+def _sorted_hits(texts: DataFrame, chosen: DataFrame, window: int, block: int) -> DataFrame:
+    """For each context of a repeated anchor that has such windows: anchor, one, two, and the spans that repeated windows
+    cover in it, begins and ends."""
+    dealt = _contexts(texts, chosen, window).repartition("anchor").sortWithinPartitions("anchor")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _blocks(batches, block):
@@ -421,6 +431,28 @@ def _sorted_hits(texts: DataFrame, chosen: DataFrame, window: int, block: int) -
     return dealt.mapInArrow(search, "anchor bigint, one bigint, two bigint, begins array<bigint>, ends array<bigint>")
 
 
+def _single_hits(texts: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
+    """As _sorted_hits, for anchors with so many contexts that one task should not hold them: every window is a row with
+    two hashes of its bytes, and equal ones are combined before the shuffle, so no group is large."""
+    schema = pa.schema([(n, pa.int64()) for n in ("anchor", "one", "two", "weight", "start", "h", "g")])
+
+    def open_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = _Hasher(_ODD), _Hasher(_ODD_2)
+        for batch in batches:
+            names = [batch.column(i).to_numpy() for i in range(4)]
+            for i, context in enumerate(batch.column(4)):
+                data = np.frombuffer(context.as_buffer(), np.uint8)
+                n = len(data) - window + 1
+                spans = [x.spans(x.prefix(data), slice(0, n), slice(window, window + n), slice(0, n)).view(np.int64) for x in (first, second)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(n, c[i])) for c in names), pa.array(np.arange(n)), *map(pa.array, spans)], schema=schema)
+
+    windows = _contexts(texts, chosen, window).mapInArrow(open_up, ", ".join(f"{n} bigint" for n in schema.names))
+    windows = written(windows, "windows-of-hot-anchors")
+    again = windows.groupBy("h", "g").agg(F.sum("weight").alias("n")).filter("n > 1").select("h", "g")
+    met = windows.join(again, ["h", "g"]).groupBy("anchor", "one", "two").agg(F.sort_array(F.collect_list("start")).alias("begins"))
+    return met.withColumn("ends", F.transform("begins", lambda x: x + window))
+
+
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Value, begin and end of each run."""
     begin = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillon.llm import byte_bpe, exact_dedup, knn, mixing, quality, simhash, sstable, store, suffix_dedup, toxicity
+from quillon.llm import byte_bpe, chunk_dedup, exact_dedup, knn, mixing, quality, simhash, sstable, store, suffix_dedup, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 RANKS, PATTERN, LIBRARY = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
@@ -152,6 +152,8 @@ def test_suffix_dedup(spark, docs, nothing):
     frame_ = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(frame_, window=24, gram=8, block=500).collect()}
     assert [got[i] for i in range(len(texts))] == removed(texts, 24)
+    hot = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(frame_, window=24, gram=8, hot=1).collect()}
+    assert hot == got
     rows = docs.filter("length(text) < 1000 or text is null").collect()
     some = frame(spark, [(r.doc_id, r.text, "s") for r in rows])
     found = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(some, window=24, gram=8).collect())
@@ -176,6 +178,58 @@ def test_suffix_array():
             assert shared[k] == next((i for i in range(40) if x[i] != y[i]), 40)
 
 
+def chunked(data, least, most):
+    """Byte by byte."""
+    ends, last, h = [], 0, 0
+    for i, b in enumerate(data):
+        h = (2 * h + int(chunk_dedup.GEAR[b])) & 0xFFFFFFFF
+        if i + 1 - last == most or (h & int(chunk_dedup.MASK) == 0 and i + 1 - last >= least):
+            last = i + 1
+            ends.append(last)
+    return ends + ([len(data)] if last < len(data) else [])
+
+
+def without_repeats(rows, run):
+    """rows: (doc_id, text) in the order of doc_id, null first."""
+    raws = [(t or "").encode() for _, t in rows]
+    spans = [list(zip([0, *e[:-1]], e)) if (e := chunked(r, chunk_dedup.LEAST, chunk_dedup.MOST)) else [] for r in raws]
+    places = {}
+    for i, own in enumerate(spans):
+        for a, b in own:
+            places.setdefault(raws[i][a:b], []).append((i, a))
+    out = []
+    for i, own in enumerate(spans):
+        shared, gone, at = [False] * len(raws[i]), [False] * len(raws[i]), 0
+        while at < len(own):
+            to = at
+            while to < len(own) and len(places[raws[i][own[to][0] : own[to][1]]]) > 1:
+                to += 1
+            if to > at and own[to - 1][1] - own[at][0] >= run:
+                for a, b in own[at:to]:
+                    shared[a:b] = [True] * (b - a)
+                    if places[raws[i][a:b]][0] != (i, a):
+                        gone[a:b] = [True] * (b - a)
+            at = max(to, at + 1)
+        kept = bytes(v for v, g in zip(raws[i], gone) if not g)
+        out.append((str(rows[i][0]), len(raws[i]), len(own), sum(shared), sum(gone), sum(x and not y for x, y in zip(gone, [False, *gone])), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_chunk_dedup(spark, docs, nothing):
+    rng = np.random.default_rng(8)
+    word = lambda n: " ".join("".join(rng.choice(list("abcdeé"), rng.integers(1, 9))) for _ in range(n))
+    passage = word(60)
+    texts = [word(40) + passage + word(30) if i % 3 == 0 else word(80) for i in range(40)] + ["", None, passage, passage, "short", "short", "z" * 3000]
+    got = chunk_dedup.repeats(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    line = lambda r: (str(r.doc_id), r.n_bytes, r.n_chunks, r.n_shared, r.n_removed, r.n_spans, r.kept_sha256)
+    assert sorted(map(line, got)) == sorted(without_repeats(list(enumerate(texts)), chunk_dedup.RUN))
+    by_id = {r.doc_id: r for r in got}
+    assert all(by_id[i].n_shared > 100 for i in range(0, 40, 3)) and not any(by_id[i].n_shared for i in range(40) if i % 3)
+    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+    assert sorted(map(line, chunk_dedup.repeats(docs).collect())) == sorted(without_repeats(rows, chunk_dedup.RUN))
+    assert chunk_dedup.repeats(nothing).count() == 0
+
+
 def test_byte_bpe(docs, nothing):
     import tiktoken
 
