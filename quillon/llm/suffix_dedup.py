@@ -37,7 +37,7 @@ GRAM = 32
 #: Anchors of more different contexts than this are searched window by window, spread over tasks.
 HOT = 2_000
 #: Bytes of contexts that are sorted together; a single group of one anchor may be larger.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _ODD = 0x9E3779B97F4A7C15
 _ODD_2 = 0xD6E8FEB86659FD93
@@ -313,8 +313,9 @@ def _file_of(texts: DataFrame) -> dict[int, str]:
     return {int(path.rpartition("/part-")[2].split("-")[0]): path for path in texts.inputFiles()}
 
 
-def _read_rows(path: str, wanted: set[int] | None, batch_rows: int = 512) -> Iterator[tuple[int, bytes]]:
-    """(row, text as bytes) of one written file, row group by row group."""
+def _read_rows(path: str, wanted: set[int] | None, batch_rows: int = 256) -> Iterator[tuple[int, bytes]]:
+    """(row, text as bytes) of one written file, row group by row group. At the end, what Arrow no longer needs goes back
+    to the system, since a worker lives on with what it holds."""
     system, place = fs.FileSystem.from_uri(path)
     with system.open_input_file(place) as source:
         for batch in pq.ParquetFile(source).iter_batches(batch_rows, columns=["rid", "text"]):
@@ -322,6 +323,7 @@ def _read_rows(path: str, wanted: set[int] | None, batch_rows: int = 512) -> Ite
             for rid, text in zip(rids, batch.column(1)):
                 if wanted is None or rid in wanted:
                     yield rid, text.as_buffer().to_pybytes() if text.is_valid else b""
+    pa.default_memory_pool().release_unused()
 
 
 def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK, hot: int = HOT) -> DataFrame:
@@ -380,6 +382,7 @@ def _anchor_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 held, rows = [], 0
         if held:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        pa.default_memory_pool().release_unused()
 
     return texts.select("rid", "text").mapInArrow(joined, "rid bigint, sha binary, anchor bigint, one bigint, two bigint, low bigint, high bigint")
 
@@ -427,6 +430,7 @@ def _sorted_hits(texts: DataFrame, chosen: DataFrame, window: int, block: int) -
             for i, name in enumerate(("begins", "ends")):
                 kept = kept.append_column(name, pa.array([x[i].tolist() for x in spans], pa.list_(pa.int64())))
             yield from kept.combine_chunks().to_batches()
+        pa.default_memory_pool().release_unused()
 
     return dealt.mapInArrow(search, "anchor bigint, one bigint, two bigint, begins array<bigint>, ends array<bigint>")
 
