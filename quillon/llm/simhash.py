@@ -11,7 +11,7 @@ a group of near copies never yields all its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -206,41 +206,53 @@ def _search(fp: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
+def rooted(docs: DataFrame, shingle: int = 4, seed: int = 42, hot: int = HOT) -> DataFrame:
+    """doc_id, fp and root (the smallest fingerprint reachable over links) of every row of docs."""
+    prints = written(fingerprints(docs, shingle, seed), "fingerprints")
+    nodes = written(prints.select("fp").distinct(), "fingerprint-nodes")
+    roots = components(links(nodes, hot)).withColumnRenamed("node", "fp")
+    named = written(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "fingerprint-roots")
+    return prints.join(named, "fp").select("doc_id", "fp", "root")
+
+
 def near_groups(docs: DataFrame, shingle: int = 4, seed: int = 42, hot: int = HOT) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links) of every row of docs.
 
     Null and empty texts, and texts of white space, have fingerprint 0 and are linked like any others. Rows that repeat
     count once each. A null doc_id is never a component_id unless its component has no other. An empty table gives no rows.
     """
-    prints = written(fingerprints(docs, shingle, seed), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint-nodes")
-    roots = components(links(nodes.select("fp"), hot))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = written(named, "fingerprint-roots")
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_print = named.join(least, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    rows = rooted(docs, shingle, seed, hot)
+    least = written(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "component-ids")
+    return rows.join(least, "root").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 4, seed: int = 42, hot: int = HOT) -> DataFrame:
-    """The rows of docs that stay, with all their columns: one of each component, that of the smallest doc_id.
+    """The rows of docs that stay, with all their columns: one of each component, that of the smallest doc_id."""
+    return kept_rows(docs, rooted(docs, shingle, seed, hot), lambda text: fingerprint(text, shingle, seed))
+
+
+def kept_rows(docs: DataFrame, groups: DataFrame, print_of: Callable[[str], int]) -> DataFrame:
+    """One row of docs for each root of groups (doc_id, fp, root, a row for each row of docs), with all columns.
 
-    Where the winning doc_id repeats within its component, the row with the smaller fingerprint stays, and of rows that
-    repeat that as well, the one with the smallest hash of its columns. Columns travel as one struct, so no name of
-    theirs can clash with a name used here.
+    That of the smallest doc_id stays, a null one only where there is no other; where it repeats, the row with the
+    smaller fingerprint, and of rows that repeat that as well, the one with the smallest hash of its columns. Components
+    are told apart by their roots, since several may have one doc_id. Columns travel as one struct, so no name of theirs
+    can clash with a name used here. print_of gives the fingerprint of a text again.
     """
-    groups = near_groups(docs, shingle, seed, hot)
-    best = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fp").alias("best_fp"))
-    best = written(best.withColumnRenamed("component_id", "best_id"), "kept-components")
+    groups = written(groups, "rooted-rows")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("least")
+    best = groups.groupBy("root").agg(least).select(F.col("least.doc_id").alias("best_id"), F.col("least.fp").alias("best_fp"))
+    best = written(best, "kept-components")
     unique = groups.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    rows = docs.select(F.struct("*").alias("row")).join(best, F.col("row.doc_id").eqNullSafe(F.col("best_id")))
-    if not unique:
-        # Some doc_id repeats: only its row of the right fingerprint stays, so the texts left are hashed again.
-        fp = F.pandas_udf(lambda texts: texts.fillna("").map(lambda t: fingerprint(t, shingle, seed)).astype("int64"), "bigint")
-        rows = rows.filter(fp("row.text") == F.col("best_fp"))
-        rank = F.row_number().over(Window.partitionBy("best_id", "best_fp").orderBy(row_hash("row", rows)))
-        rows = rows.withColumn("rank", rank).filter("rank = 1")
-    return rows.select("row.*")
+    rows, same = docs.select(F.struct("*").alias("row")), F.col("row.doc_id").eqNullSafe(F.col("best_id"))
+    if unique:
+        return rows.join(best, same).select("row.*")
+    # Some doc_id repeats: only its rows of the right fingerprints stay, so the texts that may stay are hashed again.
+    fp = F.pandas_udf(lambda texts: texts.fillna("").map(print_of).astype("int64"), "bigint")
+    rows = rows.join(best.select("best_id").distinct(), same, "left_semi")
+    rows = rows.withColumn("own_fp", fp("row.text")).join(best, same & (F.col("own_fp") == F.col("best_fp")))
+    rank = F.row_number().over(Window.partitionBy("best_id", "best_fp").orderBy(row_hash("row", rows)))
+    return rows.withColumn("rank", rank).filter("rank = 1").select("row.*")
 
 
 def fingerprint_hex(fp):

@@ -93,6 +93,14 @@ def test_simhash(docs, nothing):
     assert simhash.near_groups(nothing).count() == 0 and simhash.deduplicated(nothing).count() == 0
 
 
+def test_simhash_keeps_every_component(spark):
+    """Components without a doc_id, and different texts under one doc_id, are components of their own."""
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(None, text(i), "a") for i in range(6)] + [(7, text(i), "a") for i in range(6, 12)] + [(8, text(11), "a"), (None, text(11), "b"), (None, text(0), "b"), (9, text(12), "a")]
+    kept = simhash.deduplicated(frame(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("None", text(i)) for i in range(6)] + [("7", text(i)) for i in range(6, 12)] + [("9", text(12))])
+
+
 @pytest.mark.parametrize("hot", [simhash.HOT, 8, 1])
 def test_simhash_dense_group(spark, hot):
     """Values around a few centres, with many links in a bucket; the way for hot keys gives the same components."""
