@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillon.llm import byte_bpe, chunk_dedup, exact_dedup, knn, mixing, quality, simhash, sstable, store, suffix_dedup, toxicity
+from quillon.llm import byte_bpe, chunk_dedup, exact_dedup, knn, mixing, quality, shingle_sets, simhash, sstable, store, suffix_dedup, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 RANKS, PATTERN, LIBRARY = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
@@ -101,6 +101,45 @@ def test_simhash_keeps_every_component(spark):
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("None", text(i)) for i in range(6)] + [("7", text(i)) for i in range(6, 12)] + [("9", text(12))])
 
 
+def five_words(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_stage_links_all_similar_pairs(spark, docs, nothing):
+    """Edited copies of random texts, against all pairs; the stage keeps one row of each component."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(8, 300))]
+        texts.append(" ".join(base))
+        for _ in range(rng.integers(1, 14)):
+            copy = list(base)
+            for _ in range(rng.integers(1, max(2, len(base) // 20))):
+                copy[rng.integers(len(copy))] = f"e{rng.integers(9999)}"
+            texts.append(" ".join(copy))
+    sets = [five_words(t) for t in texts]
+    root = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if root[j] < root[i] and 5 * len(x & y) >= 4 * len(x | y):
+                    root[i], changed = root[j], True
+    order = rng.permutation(len(texts)).tolist()
+    table = frame(spark, [(i, texts[i], "s") for i in order]).repartition(3)
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, table, "")
+    assert kept.columns == table.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root)) and len(set(root)) > 12
+    some = docs.collect()
+    left = sorted((str(r.doc_id), r.text) for r in shingle_sets.deduplicated(docs).collect())
+    assert [i for i, _ in left] == sorted(["1", "3", "5", "7", "8", "10", "11", "12", "None"]) and len(some) == 15
+    assert shingle_sets.deduplicated(nothing).count() == 0
+
+
 @pytest.mark.parametrize("hot", [simhash.HOT, 8, 1])
 def test_simhash_dense_group(spark, hot):
     """Values around a few centres, with many links in a bucket; the way for hot keys gives the same components."""
