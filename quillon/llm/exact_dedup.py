@@ -14,7 +14,7 @@ digest; digests that stand for several texts are treated apart, by text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
@@ -95,27 +95,41 @@ def _members(docs: DataFrame, groups: DataFrame, keys: list[str], digest) -> Dat
 def deduplicated(docs: DataFrame, digest=sha256_hex, salts: int = 16) -> DataFrame:
     """The rows of docs that stay, with all their columns: of equal texts, one row with the largest doc_id.
 
-    Where the winning doc_id repeats, the row with the smallest hash of its columns stays. Columns travel as one struct,
-    so no name of theirs can clash with a name used here.
+    Null text counts as empty. Where the winning doc_id repeats, the row of the smallest key stays. An empty table gives
+    no rows. Columns travel as one struct, so no name of theirs can clash with a name used here. A winner meets only rows
+    of its doc_id and digest, so the copies of one text are never in one task.
     """
     groups, several = winners(docs, digest, salts)
-    keyed = docs.select(F.struct("*").alias("row")).withColumn("digest", digest(normalised(F.col("row.text"))))
-    kept = _winning_rows(keyed, groups.select("digest", "keep_id"), ["digest"])
+    rows = docs.select(F.struct("*").alias("row"), digest(normalised(F.col("text"))).alias("key"))
+    kept = matching_rows(rows, groups.select(F.col("keep_id").alias("doc_id"), F.col("digest").alias("key")), row_key(docs, "row"))
     if not several.isEmpty():
-        apart = keyed.join(several, "digest", "left_semi").withColumn("text", normalised(F.col("row.text")))
-        best = text_groups(apart.select("row.doc_id", "text"), digest, salts).select("digest", "text", "keep_id")
-        kept = kept.unionByName(_winning_rows(apart, best, ["digest", "text"]))
+        apart = rows.join(several.withColumnRenamed("digest", "key"), "key", "left_semi").withColumn("text", normalised(F.col("row.text")))
+        best = text_groups(apart.select("row.doc_id", "text"), digest, salts).select(F.col("keep_id").alias("doc_id"), F.col("text").alias("key"))
+        kept = kept.unionByName(matching_rows(apart.select("row", F.col("text").alias("key")), best, row_key(docs, "row")))
     return kept.select("row.*")
 
 
-def _winning_rows(keyed: DataFrame, best: DataFrame, keys: list[str]) -> DataFrame:
-    """The join leaves equal keys together and sorted, so ranking the few rows of each key moves no data again."""
-    held = keyed.join(best, keys).filter(F.col("row.doc_id").eqNullSafe(F.col("keep_id")))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(row_hash("row", keyed)))
-    return held.withColumn("rank", rank).filter("rank = 1").select("row")
+def matching_rows(rows: DataFrame, best: DataFrame, order: Column | None = None) -> DataFrame:
+    """Of rows (row: struct with doc_id, key) those named by best (doc_id, key, each pair once): one for each pair.
 
-
-def row_hash(row: str, df: DataFrame) -> Column:
-    """A hash over all columns of a struct; maps, which have no order, count by their text."""
-    fields = df.schema[row].dataType.fields
-    return F.xxhash64(*[F.col(row)[f.name].cast("string") if "map<" in f.dataType.simpleString() else F.col(row)[f.name] for f in fields])
+    Rows that agree in doc_id and key are rivals; the smallest order stays. Only where there are any, those few pairs are
+    combined once more, in part before the shuffle.
+    """
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("best_key"))
+    held = rows.join(best.withColumnRenamed("key", "best_key"), same).select("row", "key")
+    ids = rows.select("row.doc_id")
+    if ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return held.select("row")
+    pairs = held.select("row.doc_id", "key").groupBy("doc_id", "key").count().filter("count > 1")
+    rivals = written(pairs.select("doc_id", F.col("key").alias("rival_key")), "rival-rows")
+    rival = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("rival_key"))
+    single = held.join(rivals, rival, "left_anti").select("row")
+    order = F.lit(0) if order is None else order
+    least = held.join(rivals, rival, "left_semi").groupBy("row.doc_id", "key").agg(F.min_by("row", order).alias("row"))
+    return single.unionByName(least.select("row"))
+
+
+def row_key(df: DataFrame, row: str | None = None) -> Column:
+    """A hash over all columns of df, or of its struct column `row`; maps, which have no order, count by their text."""
+    column = (lambda name: F.col(row)[name]) if row else (lambda name: F.col(f"`{name}`"))
+    return F.xxhash64(*[column(f.name).cast("string") if "map<" in f.dataType.simpleString() else column(f.name) for f in df.schema.fields])

@@ -5,23 +5,27 @@ bits, there is a segment from which on every chain of l consecutive segments dif
 bits, rounded down: 0, 1, 2, 3, 4. So they agree in a whole segment and in either half of the next one, which is the
 key that brings candidates together; the longer chains then prune them, and the whole ring is the Hamming check.
 
+A key that many fingerprints have grows longer: of LIMIT + 1 parts of the bits that it leaves free, two linked ones agree
+in one at least. Each round sets a part of what was free, so keys end with few fingerprints whatever the data.
+
 Documents of one fingerprint are one node. Within a key only as many links are given out as connect what is linked, so
 a group of near copies never yields all its pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 from .components import components
-from .exact_dedup import row_hash
+from .exact_dedup import matching_rows, row_key
 from .store import written
 from .words import texts_of
 
@@ -29,40 +33,47 @@ LIMIT = 4
 WIDTHS = (13, 13, 13, 13, 12)
 #: Runs of one key up to this length are compared pair by pair; longer ones are searched from link to link.
 SHORT = 8
-#: Keys of more fingerprints than this are linked by shared neighbours, spread over tasks.
-HOT = 20_000
+#: Keys of more fingerprints than this grow longer.
+HOT = 2_000
 
 
-def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
-    """Majority bits of the XXH64 of all word shingles, as a signed 64-bit number; no word gives 0."""
+def shingle_hashes(text: str, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every word shingle in order, repeats included; a shorter text is one shingle, no word gives none."""
     words = text.encode().lower().split()  # for bytes, lower() changes A-Z and split() parts at ASCII white space
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
-    n = max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.concatenate([[0], ends[:-1] + 1])
-    width = min(shingle, len(words))
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for a in range(0, n, 1 << 16):
-        b = min(n, a + (1 << 16))
-        spans = zip(begins[a:b].tolist(), ends[a + width - 1 : b + width - 1].tolist())
-        hashes = np.array([digest(line[s:e], seed) for s, e in spans], ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n).view(">i8")[0])
+    digest = xxhash.xxh64_intdigest
+    spans = zip(begins.tolist(), ends[min(shingle, len(words)) - 1 :].tolist())
+    return np.fromiter((digest(line[s:e], seed) for s, e in spans), np.uint64, max(1, len(words) - shingle + 1))
+
+
+def majority(hashes: np.ndarray, step: int = 1 << 16) -> int:
+    """Bits that over half of the hashes have, as a signed 64-bit number; 0 without hashes."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), step):
+        bits = np.unpackbits(hashes[a : a + step].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
+
+
+def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
+    return majority(shingle_hashes(text, shingle, seed))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fp of every row of docs, from whole texts; null counts as empty."""
+    """doc_id, row (row_key) and fp of every row of docs, from whole texts; null counts as empty."""
     ship(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), shingle, seed) for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = [fingerprint(t.as_py(), shingle, seed) for t in texts_of(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["doc_id", "row", "fp"])
 
-    docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(of, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    rows = docs.select("doc_id", row_key(docs).alias("row"), "text")
+    return rows.mapInArrow(of, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row bigint, fp bigint")
 
 
 def _starts() -> list[int]:
@@ -91,9 +102,10 @@ def _signed(x: int) -> int:
 
 
 def keyed(prints: DataFrame) -> DataFrame:
-    """A row for each key of each fingerprint: k (which key), bits (its value), fp."""
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("bigint")).alias("bits")) for k, m in enumerate(_key_masks())])
-    return prints.select("fp", F.explode(keys).alias("x")).select("x.k", "x.bits", "fp")
+    """A row for each key of each fingerprint: k (which key), mask (the bits it fixes), bits (their values), fp."""
+    masks = [F.lit(_signed(m)).cast("bigint") for m in _key_masks()]
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), m.alias("mask"), F.col("fp").bitwiseAND(m).alias("bits")) for k, m in enumerate(masks)])
+    return prints.select("fp", F.explode(keys).alias("x")).select("x.k", "x.mask", "x.bits", "fp")
 
 
 def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
@@ -101,59 +113,59 @@ def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
 
     prints: fp, each value once.
     """
-    spark = prints.sparkSession
-    ship(spark)
+    ship(prints.sparkSession)
     rows = written(keyed(prints), "keys")
-    large = rows.groupBy("k", "bits").count().filter(F.col("count") > hot).select("k", "bits")
-    large = written(large, "hot-keys")
-    plain = rows if large.isEmpty() else rows.join(large, ["k", "bits"], "left_anti")
-    plain = plain.repartition("k", "bits").sortWithinPartitions("k", "bits", "fp")
-    found = plain.mapInArrow(_link_runs, "a bigint, b bigint")
-    if not large.isEmpty():
-        found = found.unionByName(_by_neighbours(rows.join(large, ["k", "bits"], "left_semi")))
-    return found.distinct()
-
-
-def _by_neighbours(rows: DataFrame) -> DataFrame:
-    """Links within large keys, in work linear to their size: two values differ in at most 4 bits if and only if some
-    value differs from both in at most 2. Every fingerprint names all values at most 2 bits away, outside the bits that
-    its key fixes, and is linked to the smallest fingerprint that names the same value."""
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks, schema = _key_masks(), pa.schema([("k", pa.int32()), ("point", pa.int64()), ("fp", pa.int64())])
-        flips = {}
-        for batch in batches:
-            for k, fp in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)):
-                if k not in flips:
-                    free = [1 << b for b in range(64) if not masks[k] >> b & 1]
-                    pairs = [x | y for i, x in enumerate(free) for y in free[:i]]
-                    flips[k] = np.array([0, *free, *pairs], np.uint64).view(np.int64)
-                points = flips[k] ^ fp
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(points), k, np.int32)), pa.array(points), pa.array(np.full(len(points), fp))], schema=schema)
+    found, hot = None, max(hot, 1 << LIMIT)  # where LIMIT bits are free, no more fingerprints can share a key
+    while True:
+        large = written(rows.groupBy("k", "mask", "bits").count().filter(F.col("count") > hot).select("k", "mask", "bits"), "hot-keys")
+        last = large.isEmpty()
+        plain = rows if last else rows.join(large, ["k", "mask", "bits"], "left_anti")
+        dealt = plain.repartition("mask", "bits").sortWithinPartitions("k", "mask", "bits", "fp").select("k", "mask", "bits", "fp")
+        some = dealt.mapInArrow(_link_runs, "a bigint, b bigint")
+        found = some if found is None else found.unionByName(some)
+        if last:
+            return found.distinct()
+        rows = written(rows.join(large, ["k", "mask", "bits"], "left_semi").select("k", "mask", "fp").mapInArrow(_longer, "k int, mask bigint, bits bigint, fp bigint").distinct(), "longer-keys")
+
 
-    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = written(rows.select("k", "fp").repartition(spread).mapInArrow(name, "k int, point bigint, fp bigint"), "neighbours")
-    least = named.groupBy("k", "point").agg(F.min("fp").alias("b"))
-    return named.withColumnRenamed("fp", "a").join(least, ["k", "point"]).filter("a <> b").select("a", "b").distinct()
+@lru_cache(maxsize=4096)
+def _longer_masks(mask: int) -> np.ndarray:
+    """The mask with each of LIMIT + 1 parts of its free bits; where fewer are free, the mask of all bits ends the way."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    if len(free) <= LIMIT:
+        return np.array([-1], np.int64)
+    parts = [sum(1 << b for b in free[i :: LIMIT + 1]) for i in range(LIMIT + 1)]
+    return np.array([_signed(mask | p) for p in parts], np.int64)
+
+
+def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows k, mask, fp with every longer key: k, mask, bits, fp."""
+    for batch in batches:
+        k, mask, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        for m in np.unique(mask).tolist():
+            own = mask == m
+            for longer in _longer_masks(m & (1 << 64) - 1).tolist():
+                columns = (k[own].astype(np.int32), np.full(own.sum(), longer), fp[own] & np.int64(longer), fp[own])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["k", "mask", "bits", "fp"])
 
 
 def _link_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key; the last run of a batch waits for the next batch, which may go on with it."""
     rest = None
     for batch in batches:
-        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
         if rest is not None:
             now = [np.concatenate(x) for x in zip(rest, now)]
-        k, bits, fp = now
+        k, mask, bits, fp = now
         if not len(k):
             continue
-        new = np.flatnonzero((k[1:] != k[:-1]) | (bits[1:] != bits[:-1])) + 1
+        new = np.flatnonzero((k[1:] != k[:-1]) | (mask[1:] != mask[:-1]) | (bits[1:] != bits[:-1])) + 1
         last = int(new[-1]) if len(new) else 0
         rest = [x[last:] for x in now]
         if last:
             yield from _link_whole_runs(k[:last], fp[:last], np.concatenate([[0], new]))
     if rest is not None:
-        yield from _link_whole_runs(rest[0], rest[2], np.array([0, len(rest[0])]))
+        yield from _link_whole_runs(rest[0], rest[3], np.array([0, len(rest[0])]))
 
 
 def _link_whole_runs(k: np.ndarray, fp: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -207,12 +219,12 @@ def _search(fp: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rooted(docs: DataFrame, shingle: int = 4, seed: int = 42, hot: int = HOT) -> DataFrame:
-    """doc_id, fp and root (the smallest fingerprint reachable over links) of every row of docs."""
+    """doc_id, row, fp and root (the smallest fingerprint reachable over links) of every row of docs."""
     prints = written(fingerprints(docs, shingle, seed), "fingerprints")
     nodes = written(prints.select("fp").distinct(), "fingerprint-nodes")
     roots = components(links(nodes, hot)).withColumnRenamed("node", "fp")
     named = written(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "fingerprint-roots")
-    return prints.join(named, "fp").select("doc_id", "fp", "root")
+    return prints.join(named, "fp").select("doc_id", "row", "fp", "root")
 
 
 def near_groups(docs: DataFrame, shingle: int = 4, seed: int = 42, hot: int = HOT) -> DataFrame:
@@ -228,31 +240,20 @@ def near_groups(docs: DataFrame, shingle: int = 4, seed: int = 42, hot: int = HO
 
 def deduplicated(docs: DataFrame, shingle: int = 4, seed: int = 42, hot: int = HOT) -> DataFrame:
     """The rows of docs that stay, with all their columns: one of each component, that of the smallest doc_id."""
-    return kept_rows(docs, rooted(docs, shingle, seed, hot), lambda text: fingerprint(text, shingle, seed))
+    return kept_rows(docs, rooted(docs, shingle, seed, hot))
 
 
-def kept_rows(docs: DataFrame, groups: DataFrame, print_of: Callable[[str], int]) -> DataFrame:
-    """One row of docs for each root of groups (doc_id, fp, root, a row for each row of docs), with all columns.
+def kept_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of docs for each root of groups (doc_id, row, root, a row for each row of docs), with all columns.
 
-    That of the smallest doc_id stays, a null one only where there is no other; where it repeats, the row with the
-    smaller fingerprint, and of rows that repeat that as well, the one with the smallest hash of its columns. Components
-    are told apart by their roots, since several may have one doc_id. Columns travel as one struct, so no name of theirs
-    can clash with a name used here. print_of gives the fingerprint of a text again.
+    That of the smallest doc_id stays, a null one only where there is no other; where it repeats, the row of the smallest
+    key. Components are told apart by their roots, since several may have one doc_id. Columns travel as one struct, so no
+    name of theirs can clash with a name used here.
     """
-    groups = written(groups, "rooted-rows")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("least")
-    best = groups.groupBy("root").agg(least).select(F.col("least.doc_id").alias("best_id"), F.col("least.fp").alias("best_fp"))
-    best = written(best, "kept-components")
-    unique = groups.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    rows, same = docs.select(F.struct("*").alias("row")), F.col("row.doc_id").eqNullSafe(F.col("best_id"))
-    if unique:
-        return rows.join(best, same).select("row.*")
-    # Some doc_id repeats: only its rows of the right fingerprints stay, so the texts that may stay are hashed again.
-    fp = F.pandas_udf(lambda texts: texts.fillna("").map(print_of).astype("int64"), "bigint")
-    rows = rows.join(best.select("best_id").distinct(), same, "left_semi")
-    rows = rows.withColumn("own_fp", fp("row.text")).join(best, same & (F.col("own_fp") == F.col("best_fp")))
-    rank = F.row_number().over(Window.partitionBy("best_id", "best_fp").orderBy(row_hash("row", rows)))
-    return rows.withColumn("rank", rank).filter("rank = 1").select("row.*")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
+    best = groups.groupBy("root").agg(least).select("least.doc_id", F.col("least.row").alias("key")).distinct()
+    rows = docs.select(F.struct("*").alias("row")).withColumn("key", row_key(docs, "row"))
+    return matching_rows(rows, written(best, "kept-rows")).select("row.*")
 
 
 def fingerprint_hex(fp):
