@@ -12,12 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
+from .memory import given_back
 from .store import written
-from .suffix_dedup import _by_file, _file_of, _read_rows, _runs, _union
+from .texts import Cuts, flattened, merged, numbered
 
 #: A random number for each byte, drawn from a digest of the byte.
 GEAR = np.frombuffer(b"".join(hashlib.sha256(bytes([b])).digest()[:4] for b in range(256)), "<u4")
@@ -25,7 +27,9 @@ WINDOW = 16
 #: Bits 11 to 15 of the hash hang on the last 12 to 16 bytes.
 MASK = np.uint32(0b11111 << 11)
 LEAST, MOST = 32, 512
-#: Runs of repeated chunks of fewer bytes stay: short ones are common wording.
+#: Above any place in a text.
+_FAR = 1 << 40
+#: Runs of repeated chunks of fewer bytes stay, unless they are all of their text: short ones are common wording.
 RUN = 64
 
 
@@ -84,7 +88,7 @@ def _chunk_rows(texts: DataFrame, least: int, most: int) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names)
                     held = []
 
-    return texts.mapInArrow(chunk, f"rid bigint, doc_id {id_type}, begin bigint, size bigint, one bigint, two bigint")
+    return texts.mapInArrow(lambda batches: given_back(chunk(batches)), f"rid bigint, doc_id {id_type}, begin bigint, size bigint, one bigint, two bigint")
 
 
 def repeats(docs: DataFrame, least: int = LEAST, most: int = MOST, run: int = RUN) -> DataFrame:
@@ -92,61 +96,53 @@ def repeats(docs: DataFrame, least: int = LEAST, most: int = MOST, run: int = RU
     first occurrence included), n_removed (bytes cut out), n_spans (maximal runs cut out), kept_sha256, kept.
 
     docs: doc_id, text. The first occurrence is that of the smallest doc_id (null first), then of the smallest row and
-    place. Shared chunks count only in runs of at least `run` bytes. Null text counts as empty and has no chunk; rows
+    place. Shared chunks count only in runs of at least `run` bytes or of the whole text. Null text counts as empty and has no chunk; rows
     that repeat a text are different documents, of which one stays whole. An empty table gives no rows.
 
     A chunk that very many documents share is combined before the shuffle, and its rows are split by the join.
     """
     ship(docs.sparkSession)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.monotonically_increasing_id())
-    texts = written(texts.select("rid", "doc_id", "text"), "chunk-texts")
+    texts = numbered(docs, "chunk-texts")
     chunks = written(_chunk_rows(texts, least, most), "chunks")
     first = F.min(F.struct("doc_id", "rid", "begin")).alias("first")
     groups = chunks.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1").select("one", "two", F.col("first.rid").alias("first_rid"), F.col("first.begin").alias("first_begin"))
     groups = written(groups, "repeated-chunks")
-    found = chunks.join(groups, ["one", "two"]).select("rid", "begin", (F.col("begin") + F.col("size")).alias("end"), ((F.col("rid") != F.col("first_rid")) | (F.col("begin") != F.col("first_begin"))).alias("later"))
-    return _cut(texts, written(found, "chunks-found"), least, most, run)
+    later = (F.col("rid") != F.col("first_rid")) | (F.col("begin") != F.col("first_begin"))
+    found = chunks.join(groups, ["one", "two"]).select("rid", F.struct("begin", (F.col("begin") + F.col("size")).alias("end"), later.alias("later")).alias("chunk"))
+    found = found.groupBy("rid").agg(F.collect_list("chunk").alias("chunks"))
+    return _cut(texts.join(found, "rid", "left").select("doc_id", "text", "chunks"), least, most, run)
 
 
-def _cut(texts: DataFrame, found: DataFrame, least: int, most: int, run: int) -> DataFrame:
-    """Every text without later occurrences; its file is read where what was found in it has been dealt to."""
-    files = _file_of(texts)
-    count = max(files, default=0) + 1
-    id_type = texts.schema["doc_id"].dataType.simpleString()
-    rows = texts.select("rid", "doc_id").unionByName(found, allowMissingColumns=True)
-    names = ["doc_id", "n_bytes", "n_chunks", "n_shared", "n_removed", "n_spans", "kept_sha256", "kept"]
+def _cut(rows: DataFrame, least: int, most: int, run: int) -> DataFrame:
+    """Every text (doc_id, text, chunks: what of it is shared) without later occurrences."""
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    counts = ["n_chunks", "n_shared"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
-        rid = table["rid"].to_numpy()
-        bounds = {int(r): (int(a), int(b)) for r, a, b in zip(*_runs(rid))}
-        begin, end = (table[c].fill_null(-1).to_numpy() for c in ("begin", "end"))
-        later = table["later"].fill_null(False).to_numpy()
-        kinds = (table["doc_id"].type, *[pa.int64()] * 5, pa.string(), pa.binary())
-        out, size = [], 0
-        for row, raw in _read_rows(files[int(rid[0]) >> 33], None):
-            a, b = bounds[row]
-            own = table["doc_id"].slice(a, b - a).drop_null()
-            hit = a + np.flatnonzero(begin[a:b] >= 0)
-            x, y = _union([(begin[hit], end[hit])]) if len(hit) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            long = y - x >= run
-            x, y = x[long], y[long]
-            gone = hit[later[hit]]
-            gone = gone[np.searchsorted(x, begin[gone], side="right") > np.searchsorted(y, begin[gone], side="right")] if len(x) else gone[:0]
-            p, q = _union([(begin[gone], end[gone])]) if len(gone) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            edges = [0, *np.column_stack([p, q]).ravel().tolist(), len(raw)]
-            kept = b"".join(raw[i:j] for i, j in zip(edges[::2], edges[1::2]))
-            n_chunks = len(cuts(np.frombuffer(raw, np.uint8), least, most))
-            out.append((own[0].as_py() if len(own) else None, len(raw), n_chunks, int((y - x).sum()), int((q - p).sum()), len(p), hashlib.sha256(kept).hexdigest(), kept))
-            size += len(kept) + 100
-            if size > 1 << 22:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-                out, size = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-
-    schema = f"doc_id {id_type}, n_bytes bigint, n_chunks bigint, n_shared bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    return _by_file(rows, count).mapInArrow(cut, schema)
+        for batch in batches:
+            out = Cuts(batch.column(0).type, counts)
+            raws = [t.as_buffer().to_pybytes() for t in batch.column(1)]
+            size = np.fromiter(map(len, raws), np.int64, len(raws))
+            owner, items = flattened(batch.column(2))
+            begin, end, later = (pc.struct_field(items, i).to_numpy(zero_copy_only=False) for i in range(3))
+            of, x, y = merged(owner, begin, end)
+            long = (y - x >= run) | (y - x == size[of])
+            of, x, y = of[long], x[long], y[long]
+            shared = np.bincount(of, y - x, len(raws)).astype(np.int64).tolist()
+            # Later occurrences go where they lie in such a run.
+            at = np.searchsorted(of * _FAR + x, owner * _FAR + begin, side="right") - 1
+            inside = (at >= 0) & (of[at] == owner) & (begin < y[at]) if len(of) else np.zeros(len(owner), bool)
+            gone = inside & later.astype(bool)
+            of, x, y = merged(owner[gone], begin[gone], end[gone])
+            bounds = np.searchsorted(of, np.arange(len(raws) + 1)).tolist()
+            for i, (doc_id, raw) in enumerate(zip(batch.column(0).to_pylist(), raws)):
+                a, b = bounds[i : i + 2]
+                n_chunks = len(cuts(np.frombuffer(raw, np.uint8), least, most))
+                full = out.add(doc_id, raw, (n_chunks, shared[i]), x[a:b].tolist(), y[a:b].tolist())
+                if full is not None:
+                    yield full
+            rest = out.flush()
+            if rest is not None:
+                yield rest
+
+    return rows.mapInArrow(lambda batches: given_back(cut(batches)), Cuts(pa.int64(), counts).schema(id_type))

@@ -11,32 +11,41 @@ Every string of WINDOW bytes that starts at two places of the corpus has to go,
    prefixes of neighbours in the array then show which windows occur twice.
 4. Windows found so are merged to spans by document and cut out of the texts.
 
-Texts are written once, in the shared folder, and stay where they are: what is found about them is dealt to the task
-that reads their file.
+An anchor with very many contexts is split by the bytes beside it. Its windows are told apart by how far behind their
+start it lies: windows within some range of that share the bytes around the anchor that the range leaves common, so these
+bytes are a longer key. Ranges shrink until few contexts share a key; in the end a range is one place, and its key all
+bytes of a window.
+
+The same arrays show strings of SHORT bytes that repeat, and these are counted as well. They are not all there are: two
+places of a string shorter than WINDOW meet only where it holds the anchor of both, as most strings of 300 bytes do.
 """
 
 from __future__ import annotations
 
-import hashlib
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs as fs
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
+from .memory import given_back
 from .store import written
+from .texts import Cuts, flattened, merged, numbered
 
 WINDOW = 400
+#: Repeated strings of this many bytes are counted, but stay.
+SHORT = 200
 GRAM = 32
-#: Anchors of more different contexts than this are searched window by window, spread over tasks.
-HOT = 2_000
-#: Bytes of contexts that are sorted together; a single group of one anchor may be larger.
+#: Keys of more different contexts than this are split.
+HOT = 256
+#: By how much the range of places behind a longer key shrinks.
+FINER = 4
+#: Bytes of contexts that are sorted together; a single group of one key may be larger.
 BLOCK = 1 << 18
 
 _ODD = 0x9E3779B97F4A7C15
@@ -78,30 +87,29 @@ class _Hasher:
 _BLOCKS = _Hasher(_ODD)
 
 
-def anchors(data: np.ndarray, first: _Hasher, second: _Hasher, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of one text: anchor hash, a digest of the context (two hashes), and the first and last window start of each anchor.
+def anchors(data: np.ndarray, hasher: _Hasher, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Of one text: anchor hash, a digest of the context, and the first and last window start of each anchor.
 
     A text shorter than the window has none. Long texts are taken piece by piece, so memory does not grow with them
-    beyond a few numbers a byte.
+    beyond a few numbers a byte. Anchor and digest are 128 bits for a context, and contexts are compared within an anchor.
     """
-    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     n = len(data) - window + 1
     if n <= 0:
-        return none
-    prefix, prefix_2 = first.prefix(data), second.prefix(data)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    prefix = hasher.prefix(data)
     m = len(data) - gram + 1
-    hashes = first.spans(prefix, slice(0, m), slice(gram, gram + m), slice(0, m))
+    hashes = hasher.spans(prefix, slice(0, m), slice(gram, gram + m), slice(0, m))
     at = _smallest(hashes, window - gram + 1)  # place of the anchor of each window
     cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     low, high = cuts, np.r_[cuts[1:], len(at)] - 1
-    end = high + window
-    anchor = hashes[at[cuts]]
-    # The digest also tells where in the context the windows stand relative to the anchor.
+    return hashes[at[cuts]], _digests(hasher, prefix, at[cuts], low, high, window), low, high
+
+
+def _digests(hasher: _Hasher, prefix: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, window: int) -> np.ndarray:
+    """Of contexts: a hash of their bytes and of where in them the windows stand relative to the anchor."""
     with np.errstate(over="ignore"):
-        shape = ((at[cuts] - low).astype(np.uint64) << np.uint64(20)) ^ (high - low).astype(np.uint64)
-        one = first.spans(prefix, low, end, low) ^ (shape * np.uint64(_ODD_2))
-        two = second.spans(prefix_2, low, end, low) ^ (shape * np.uint64(_ODD))
-    return anchor, one, two, low, high
+        shape = ((at - low).astype(np.uint64) << np.uint64(20)) ^ (high - low).astype(np.uint64)
+        return hasher.spans(prefix, low, high + window, low) ^ (shape * np.uint64(_ODD_2))
 
 
 def _smallest(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -272,21 +280,27 @@ def _common_prefixes(text: Sorted, order: np.ndarray, chunk: int = 4096) -> np.n
     return np.minimum(shared, most)
 
 
-def repeated_starts(contexts: list[bytes], weights: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
-    """For each context: which of its windows occur twice, counted by weight, among all contexts."""
+def repeated_starts(contexts: list[bytes], weights: np.ndarray, window: int = WINDOW, short: int = SHORT) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each context: where its strings of `window` bytes start, and those of `short`, that occur twice, counted by
+    weight, among all contexts."""
     lengths = np.fromiter(map(len, contexts), np.int64, len(contexts))
     data = np.frombuffer(b"".join(contexts), np.uint8)
     begin = np.cumsum(lengths) - lengths
     owner = np.repeat(np.arange(len(contexts)), lengths)
-    whole = np.arange(len(data)) - begin[owner] + window <= lengths[owner]  # windows that end inside their context
+    left = lengths[owner] - (np.arange(len(data)) - begin[owner])  # bytes to the end of the context
     text = Sorted.of(data, window)
-    order = _suffix_array(text, whole)
-    group = np.cumsum(np.r_[True, _common_prefixes(text, order) < window][: len(order)]) - 1
-    count = np.bincount(group, np.where(whole[order], weights[owner[order]], 0))
-    hit = np.zeros(len(data), bool)
-    hit[order] = count[group] >= 2
-    hit &= whole
-    return [np.flatnonzero(hit[b : b + n]) for b, n in zip(begin.tolist(), lengths.tolist())]
+    order = _suffix_array(text, left >= short)
+    shared = _common_prefixes(text, order)
+    found = []
+    for width in (window, short):
+        whole = left >= width
+        group = np.cumsum(np.r_[True, shared < width][: len(order)]) - 1
+        count = np.bincount(group, np.where(whole[order], weights[owner[order]], 0))
+        hit = np.zeros(len(data), bool)
+        hit[order] = count[group] >= 2
+        hit &= whole
+        found.append([np.flatnonzero(hit[b : b + n]) for b, n in zip(begin.tolist(), lengths.tolist())])
+    return list(zip(*found))
 
 
 def _spans(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -297,170 +311,170 @@ def _spans(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[new], np.r_[starts[new[1:] - 1], starts[-1]] + window
 
 
-def _union(spans: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal spans that cover what the given ones do; spans that touch become one."""
-    if not spans:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    begin, end = (np.concatenate(x) for x in zip(*spans))
-    order = np.argsort(begin, kind="stable")
-    begin, end = begin[order], np.maximum.accumulate(end[order])
-    new = np.flatnonzero(np.r_[True, begin[1:] > end[:-1]])
-    return begin[new], end[np.r_[new[1:] - 1, len(end) - 1]]
-
-
-def _file_of(texts: DataFrame) -> dict[int, str]:
-    """Files of the written texts by the number of the task that wrote them."""
-    return {int(path.rpartition("/part-")[2].split("-")[0]): path for path in texts.inputFiles()}
+#: What is found in a context: spans of windows and of short strings that repeat.
+_FOUND = ("begins", "ends", "short_begins", "short_ends")
+_FOUND_TYPES = ", ".join(f"{n} array<int>" for n in _FOUND)
 
 
-def _read_rows(path: str, wanted: set[int] | None, batch_rows: int = 256) -> Iterator[tuple[int, bytes]]:
-    """(row, text as bytes) of one written file, row group by row group. At the end, what Arrow no longer needs goes back
-    to the system, since a worker lives on with what it holds."""
-    system, place = fs.FileSystem.from_uri(path)
-    with system.open_input_file(place) as source:
-        for batch in pq.ParquetFile(source).iter_batches(batch_rows, columns=["rid", "text"]):
-            rids = batch.column(0).to_pylist()
-            for rid, text in zip(rids, batch.column(1)):
-                if wanted is None or rid in wanted:
-                    yield rid, text.as_buffer().to_pybytes() if text.is_valid else b""
-    pa.default_memory_pool().release_unused()
-
-
-def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK, hot: int = HOT) -> DataFrame:
-    """What is cut out of each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
+def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, short: int = SHORT, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+    """What is cut out of each document: doc_id, n_bytes, n_repeated (bytes in repeated strings of `short` bytes, as far as
+    they are found), n_removed, n_spans, kept_sha256, kept (the remaining bytes).
 
     docs: doc_id, text. Null text counts as empty. A text shorter than the window stays whole. Rows that repeat a text are
     different places, so all of such a text of at least `window` bytes goes. Null and repeated doc_ids are documents
     like any others. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    texts = written(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "text"), "texts")
-    marks = written(_anchor_rows(texts, window, gram), "anchors")
-    # Equal texts stand for each other: the smallest row of each text carries the others' weight.
-    same = marks.filter("low is null").groupBy("sha").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies"))
-    same = written(same, "different-texts")
-    held = marks.filter("low is not null").join(same.select("rid", "copies"), "rid")
-    held = held.groupBy("anchor", "one", "two").agg(F.sum("copies").alias("weight"), F.min(F.struct("rid", "low", "high")).alias("place"), F.count(F.lit(1)).alias("n"))
+    ship(docs.sparkSession)
+    short = min(short, window)
+    texts = numbered(docs, "texts")
+    # Of equal texts, one stands for all, with their number; all that is long enough in them repeats.
+    shas = written(texts.select("rid", F.unhex(F.sha2("text", 256)).alias("sha")), "text-digests")
+    same = shas.groupBy("sha").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    same = written(shas.join(same, "sha").select("rid", F.when(F.col("rid") == F.col("first"), F.col("copies")).alias("copies")), "equal-texts")
+    different = texts.join(same.withColumn("equal", F.lit(True)), "rid", "left").filter("equal is null or copies is not null")
+    marks = written(_anchor_rows(different.select("rid", F.coalesce("copies", F.lit(1)).alias("copies"), "text"), window, gram), "anchors")
+    held = marks.groupBy("anchor", "one").agg(F.sum("copies").alias("weight"), F.min(F.struct("rid", "low", "high")).alias("place"))
     held = written(held, "contexts-by-anchor")
     busy = held.groupBy("anchor").agg(F.sum("weight").alias("times"), F.count(F.lit(1)).alias("kinds")).filter("times > 1")
-    chosen = written(held.join(busy, "anchor").select("anchor", "one", "two", "weight", "place.*", (F.col("kinds") > hot).alias("hot")), "repeated-anchors")
-    hits = written(_sorted_hits(texts, chosen.filter("not hot"), window, block), "repeated-windows")
+    chosen = written(held.join(busy, "anchor").select("anchor", "one", "weight", "place.*", (F.col("kinds") > hot).alias("hot")), "repeated-anchors")
+    hits = written(_sorted_hits(_contexts(texts, chosen.filter("not hot"), window, gram), window, short, block), "repeated-windows")
     crowded = chosen.filter("hot")
     if not crowded.isEmpty():
-        hits = hits.unionByName(written(_single_hits(texts, crowded, window), "repeated-windows-of-hot-anchors"))
-    # What holds for one context holds for all equal ones, and what holds for a text for all equal texts.
-    places = marks.filter("low is not null").join(hits, ["anchor", "one", "two"]).select("rid", "low", "begins", "ends")
-    return _cut(texts, marks, same, written(places, "places"), window)
+        contexts = written(_contexts(texts, crowded, window, gram, placed=True), "contexts-of-hot-anchors")
+        hits = hits.unionByName(_split_hits(contexts, window - gram + 1, window, short, block, hot))
+    # What holds for one context holds for all equal ones.
+    places = marks.filter("copies = 1").join(hits, ["anchor", "one"]).groupBy("rid").agg(F.collect_list(F.struct("low", *_FOUND)).alias("places"))
+    found = places.unionByName(same.select("rid", F.lit(True).alias("equal")), allowMissingColumns=True)
+    return _cut(texts.join(found, "rid", "left").select("doc_id", "text", "places", "equal"), window, short)
+
+
+def _batches(rows: Iterator[pa.RecordBatch], most: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Small batches joined to larger ones."""
+    held, n = [], 0
+    for batch in rows:
+        held.append(batch)
+        n += batch.num_rows
+        if n > most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def _anchor_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """A row for each anchor, and one without anchor for each text: rid, sha, anchor, one, two, low, high."""
-    schema = pa.schema([("rid", pa.int64()), ("sha", pa.binary()), ("anchor", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+    """A row for each anchor of texts (rid, copies, text): rid, copies, anchor, one (digest of the context), low, high."""
+    names = ["rid", "copies", "anchor", "one", "low", "high"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = _Hasher(_ODD), _Hasher(_ODD_2)
+        hasher = _Hasher(_ODD)
         for batch in batches:
-            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = text.as_buffer()
-                data = np.frombuffer(raw, np.uint8)
-                got = anchors(data, first, second, window, gram)
-                n = len(got[0])
-                columns = [pa.array(x.view(np.int64)) for x in got]
-                empty = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n + 1, rid)), pa.array([hashlib.sha256(raw).digest()] + [None] * n, pa.binary()), *(pa.concat_arrays([empty, c]) for c in columns)], schema=schema
-                )
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in find(batches):
-            held.append(batch)
-            rows += batch.num_rows
-            if rows > 50_000:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, rows = [], 0
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        pa.default_memory_pool().release_unused()
-
-    return texts.select("rid", "text").mapInArrow(joined, "rid bigint, sha binary, anchor bigint, one bigint, two bigint, low bigint, high bigint")
-
-
-def _by_file(rows: DataFrame, files: int) -> DataFrame:
-    """Rows with a rid, each at the task that reads the rid's file, in the order of rid."""
-    part = F.shiftright("rid", 33).cast("int")
-    return rows.repartitionById(max(1, files), part).sortWithinPartitions("rid")
-
-
-def _contexts(texts: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
-    """anchor, one, two, weight and the bytes of each chosen context, cut out by the task that reads its file."""
-    files = _file_of(texts)
-    count = max(files, default=0) + 1
+            for rid, copies, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                anchor, one, low, high = anchors(np.frombuffer(text.as_buffer(), np.uint8), hasher, window, gram)
+                if len(anchor):
+                    columns = (np.full(len(anchor), rid), np.full(len(anchor), copies), anchor.view(np.int64), one.view(np.int64), low.astype(np.int32), high.astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    schema = "rid bigint, copies bigint, anchor bigint, one bigint, low int, high int"
+    return texts.mapInArrow(lambda batches: given_back(_batches(find(batches))), schema)
+
+
+def _contexts(texts: DataFrame, chosen: DataFrame, window: int, gram: int, placed: bool = False) -> DataFrame:
+    """anchor, one, weight, at and context of each chosen one (rid, anchor, one, weight, low, high). With placed, at is the
+    anchor's place in the context."""
+    wanted = chosen.groupBy("rid").agg(F.collect_list(F.struct("anchor", "one", "weight", "low", "high")).alias("wanted"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        rid = table["rid"].to_numpy()
-        bounds = {int(r): (int(a), int(b)) for r, a, b in zip(*_runs(rid))}
-        low, high = table["low"].to_numpy(), table["high"].to_numpy()
-        for row, raw in _read_rows(files[int(rid[0]) >> 33], set(bounds)):
-            a, b = bounds[row]
-            cut = [raw[i : j + window] for i, j in zip(low[a:b].tolist(), high[a:b].tolist())]
-            part = table.slice(a, b - a).select(["anchor", "one", "two", "weight"]).append_column("context", pa.array(cut, pa.binary()))
-            yield from part.combine_chunks().to_batches()
-
-    rows = chosen.select("rid", "anchor", "one", "two", "weight", "low", "high")
-    return _by_file(rows, count).mapInArrow(fetch, "anchor bigint, one bigint, two bigint, weight bigint, context binary")
-
-
-def _sorted_hits(texts: DataFrame, chosen: DataFrame, window: int, block: int) -> DataFrame:
-    """For each context of a repeated anchor that has such windows: anchor, one, two, and the spans that repeated windows
-    cover in it, begins and ends."""
-    dealt = _contexts(texts, chosen, window).repartition("anchor").sortWithinPartitions("anchor")
+        hasher = _Hasher(_ODD)
+        for batch in batches:
+            owner, items = flattened(batch.column(1))
+            anchor, one, weight, low, high = (pc.struct_field(items, i) for i in range(5))
+            bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1)).tolist()
+            lows, highs = low.to_numpy(), high.to_numpy()
+            for i, text in enumerate(batch.column(0)):
+                a, b = bounds[i], bounds[i + 1]
+                raw = text.as_buffer().to_pybytes()
+                own = [raw[x : y + window] for x, y in zip(lows[a:b].tolist(), highs[a:b].tolist())]
+                at = [_anchor_place(np.frombuffer(c, np.uint8), hasher, window, gram) if placed else 0 for c in own]
+                columns = [anchor.slice(a, b - a), one.slice(a, b - a), weight.slice(a, b - a), pa.array(at, pa.int32()), pa.array(own, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "one", "weight", "at", "context"])
+
+    joined = texts.join(wanted, "rid").select("text", "wanted")
+    return joined.mapInArrow(lambda batches: given_back(_batches(fetch(batches), 5_000)), "anchor bigint, one bigint, weight bigint, at int, context binary")
+
+
+def _anchor_place(context: np.ndarray, hasher: _Hasher, window: int, gram: int) -> int:
+    m = window - gram + 1
+    hashes = hasher.spans(hasher.prefix(context[:window]), slice(0, m), slice(gram, gram + m), slice(0, m))
+    return int(_smallest(hashes, m)[0])
+
+
+def _sorted_hits(contexts: DataFrame, window: int, short: int, block: int) -> DataFrame:
+    """For each context of contexts (anchor, one, weight, context) in which something repeats: anchor, one and _FOUND."""
+    dealt = contexts.select("anchor", "one", "weight", "context").repartition("anchor").sortWithinPartitions("anchor")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _blocks(batches, block):
-            found = repeated_starts(table["context"].to_pylist(), table["weight"].to_numpy(), window)
-            some = np.array([len(x) > 0 for x in found])
-            spans = [_spans(x, window) for x in found if len(x)]
-            kept = table.select(["anchor", "one", "two"]).filter(pa.array(some, pa.bool_()))
-            for i, name in enumerate(("begins", "ends")):
-                kept = kept.append_column(name, pa.array([x[i].tolist() for x in spans], pa.list_(pa.int64())))
+            found = repeated_starts(table["context"].to_pylist(), table["weight"].to_numpy(), window, short)
+            some = np.array([len(x) + len(y) > 0 for x, y in found])
+            spans = [(*_spans(x, window), *_spans(y, short)) for x, y in found if len(x) + len(y)]
+            kept = table.select(["anchor", "one"]).filter(pa.array(some, pa.bool_()))
+            for i, name in enumerate(_FOUND):
+                kept = kept.append_column(name, pa.array([x[i].tolist() for x in spans], pa.list_(pa.int32())))
             yield from kept.combine_chunks().to_batches()
-        pa.default_memory_pool().release_unused()
 
-    return dealt.mapInArrow(search, "anchor bigint, one bigint, two bigint, begins array<bigint>, ends array<bigint>")
+    return dealt.mapInArrow(lambda batches: given_back(search(batches)), f"anchor bigint, one bigint, {_FOUND_TYPES}")
 
 
-def _single_hits(texts: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
-    """As _sorted_hits, for anchors with so many contexts that one task should not hold them: every window is a row with
-    two hashes of its bytes, and equal ones are combined before the shuffle, so no group is large."""
-    schema = pa.schema([(n, pa.int64()) for n in ("anchor", "one", "two", "weight", "start", "h", "g")])
+def _split_hits(contexts: DataFrame, width: int, window: int, short: int, block: int, hot: int) -> DataFrame:
+    """As _sorted_hits, for contexts (anchor, one, weight, at, context) of keys that too many share: all are given longer
+    keys, and keys that too many share even so are split again.
 
-    def open_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = _Hasher(_ODD), _Hasher(_ODD_2)
-        for batch in batches:
-            names = [batch.column(i).to_numpy() for i in range(4)]
-            for i, context in enumerate(batch.column(4)):
-                data = np.frombuffer(context.as_buffer(), np.uint8)
-                n = len(data) - window + 1
-                spans = [x.spans(x.prefix(data), slice(0, n), slice(window, window + n), slice(0, n)).view(np.int64) for x in (first, second)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(n, c[i])) for c in names), pa.array(np.arange(n)), *map(pa.array, spans)], schema=schema)
+    width: windows of a key have their anchor at one of so many places; after the last split, at one.
+    """
+    width = -(-width // FINER)
+    parts = written(contexts.mapInArrow(functools.partial(_finer, width=width, window=window), "anchor bigint, one bigint, weight bigint, key bigint, part bigint, at int, shift int, context binary"), "split-contexts")
+    different = parts.groupBy("key", "part").agg(F.sum("weight").alias("weight"), F.any_value("at").alias("at"), F.any_value("context").alias("context"))
+    different = written(different.select(F.col("key").alias("anchor"), F.col("part").alias("one"), "weight", "at", "context"), "different-parts")
+    busy = different.groupBy("anchor").agg(F.sum("weight").alias("times"), F.count(F.lit(1)).alias("kinds")).filter("times > 1")
+    busy = written(busy.select("anchor", (F.col("kinds") > hot).alias("hot")), "repeated-keys")
+    busy = busy.withColumn("hot", F.col("hot") & F.lit(width > 1))
+    cool = different.join(busy.filter("not hot").select("anchor"), "anchor", "left_semi")
+    hits = written(_sorted_hits(cool, window, short, block), "repeated-windows-of-parts")
+    crowded = busy.filter("hot").select("anchor")
+    if not crowded.isEmpty():
+        hits = hits.unionByName(_split_hits(written(different.join(crowded, "anchor", "left_semi"), "hot-parts"), width, window, short, block, hot))
+    named = hits.select(F.col("anchor").alias("key"), F.col("one").alias("part"), *_FOUND)
+    back = parts.select("anchor", "one", "key", "part", "shift").join(named, ["key", "part"])
+    moved = [F.flatten(F.collect_list(F.transform(n, lambda x: x + F.col("shift")))).alias(n) for n in _FOUND]
+    return written(back.groupBy("anchor", "one").agg(*moved), "repeated-windows-of-split-anchors")
 
-    windows = _contexts(texts, chosen, window).mapInArrow(open_up, ", ".join(f"{n} bigint" for n in schema.names))
-    windows = written(windows, "windows-of-hot-anchors")
-    again = windows.groupBy("h", "g").agg(F.sum("weight").alias("n")).filter("n > 1").select("h", "g")
-    met = windows.join(again, ["h", "g"]).groupBy("anchor", "one", "two").agg(F.sort_array(F.collect_list("start")).alias("begins"))
-    return met.withColumn("ends", F.transform("begins", lambda x: x + window))
 
+def _finer(batches: Iterator[pa.RecordBatch], width: int, window: int) -> Iterator[pa.RecordBatch]:
+    """The parts of each context by ranges of `width` places of the anchor in a window: key is a hash of the range and of the
+    bytes that all windows of the range share, part a digest of what the context has of it, shift where in the context that
+    begins."""
+    hasher = _Hasher(_ODD_2)
 
-def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Value, begin and end of each run."""
-    begin = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-    return values[begin], begin, np.r_[begin[1:], len(values)]
+    def parts() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, raw in enumerate(batch.column(4)):
+                raw = raw.as_buffer().to_pybytes()
+                place, last = batch.column(3)[i].as_py(), len(raw) - window
+                ranges = np.arange(max(0, place - last) // width, place // width + 1)
+                low = np.maximum(0, place - (ranges + 1) * width + 1)
+                high = np.minimum(last, place - ranges * width)
+                prefix = hasher.prefix(np.frombuffer(raw, np.uint8))
+                begin, end = place - ranges * width, place - (ranges + 1) * width + 1 + window
+                with np.errstate(over="ignore"):
+                    own = np.uint64(batch.column(0)[i].as_py() & (1 << 64) - 1) * np.uint64(_ODD) + ranges.astype(np.uint64) * np.uint64(2 * width + 1)
+                    key = hasher.spans(prefix, begin, end, begin) ^ (own * np.uint64(_ODD))
+                part = _digests(hasher, prefix, np.full(len(low), place), low, high, window)
+                same = [pa.array(np.full(len(low), batch.column(c)[i].as_py())) for c in range(3)]
+                cut = pa.array([raw[a : b + window] for a, b in zip(low.tolist(), high.tolist())], pa.binary())
+                columns = [*same, pa.array(key.view(np.int64)), pa.array(part.view(np.int64)), pa.array((place - low).astype(np.int32)), pa.array(low.astype(np.int32)), cut]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "one", "weight", "key", "part", "at", "shift", "context"])
+
+    return given_back(_batches(parts(), 5_000))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Table]:
@@ -485,42 +499,33 @@ def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Table]
         yield held
 
 
-def _cut(texts: DataFrame, marks: DataFrame, same: DataFrame, places: DataFrame, window: int) -> DataFrame:
-    """Every text without its repeated spans. A text's file is read where the places of its rows have been dealt to."""
-    files = _file_of(texts)
-    count = max(files, default=0) + 1
-    id_type = texts.schema["doc_id"].dataType.simpleString()
-    rows = texts.select("rid", "doc_id").unionByName(places, allowMissingColumns=True)
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+def _cut(rows: DataFrame, window: int, short: int) -> DataFrame:
+    """Every text (doc_id, text, places, equal) without its repeated spans."""
+    id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
-        rid = table["rid"].to_numpy()
-        bounds = {int(r): (int(a), int(b)) for r, a, b in zip(*_runs(rid))}
-        low, begins, ends = (table[c].chunk(0) for c in ("low", "begins", "ends"))
-        id_kind, out, size = table["doc_id"].type, [], 0
-        for row, raw in _read_rows(files[int(rid[0]) >> 33], None):
-            a, b = bounds[row]
-            own = table["doc_id"].slice(a, b - a).drop_null()
-            doc_id = own[0].as_py() if len(own) else None
-            found = [(low[i].as_py() + begins.slice(i, 1).flatten().to_numpy(), low[i].as_py() + ends.slice(i, 1).flatten().to_numpy()) for i in range(a, b) if low[i].is_valid]
-            begin, end = _union(found)
-            edges = [0, *np.column_stack([begin, end]).ravel().tolist(), len(raw)]
-            kept = b"".join(raw[i:j] for i, j in zip(edges[::2], edges[1::2]))
-            out.append((doc_id, len(raw), int((end - begin).sum()), len(begin), hashlib.sha256(kept).hexdigest(), kept))
-            size += len(kept) + 100
-            if size > 1 << 22:
-                yield _rows(out, id_kind, names)
-                out, size = [], 0
-        if out:
-            yield _rows(out, id_kind, names)
-
-    return _by_file(rows, count).mapInArrow(cut, f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-
-
-def _rows(rows: list[tuple], id_kind: pa.DataType, names: list[str]) -> pa.RecordBatch:
-    kinds = (id_kind, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        for batch in batches:
+            out = Cuts(batch.column(0).type, ["n_repeated"])
+            owner, items = flattened(batch.column(2))
+            low = pc.struct_field(items, 0).to_numpy().astype(np.int64)
+            spans = []
+            for i in (1, 3):
+                of, begin = flattened(pc.struct_field(items, i))
+                end = pc.list_flatten(pc.struct_field(items, i + 1))
+                spans.append(merged(owner[of], low[of] + begin.to_numpy(), low[of] + end.to_numpy()))
+            long, repeated = spans
+            bounds = np.searchsorted(long[0], np.arange(batch.num_rows + 1)).tolist()
+            covered = np.bincount(repeated[0], repeated[2] - repeated[1], batch.num_rows).astype(np.int64).tolist()
+            for i, (doc_id, text, equal) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), batch.column(3).to_pylist())):
+                raw, (a, b) = text.as_buffer().to_pybytes(), bounds[i : i + 2]
+                begin, end = long[1][a:b].tolist(), long[2][a:b].tolist()
+                if equal and len(raw) >= window:
+                    begin, end = [0], [len(raw)]
+                full = out.add(doc_id, raw, (len(raw) if equal and len(raw) >= short else covered[i],), begin, end)
+                if full is not None:
+                    yield full
+            rest = out.flush()
+            if rest is not None:
+                yield rest
+
+    return rows.mapInArrow(lambda batches: given_back(cut(batches)), Cuts(pa.int64(), ["n_repeated"]).schema(id_type))
