@@ -16,8 +16,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFr
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
     target = store.fresh_path(spark, "token-shards")
-    shards = sstable.write_shards(docs, target, public_tokenizers.path("byte_bpe_50k.json"))
-    return sstable.read_shards(shards).drop("ids")
+    sstable.write_shards(docs, target, public_tokenizers.path("byte_bpe_50k.json"))
+    return sstable.read_shards(spark, target).drop("ids")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,15 +11,19 @@ A shard holds entries in ascending key order:
   and `size` bytes of value. A value is one byte, 2 or 4, and the ids as little-endian integers of that width.
 - The index has, for each block, the key of its first entry, its offset and its length.
 - The Bloom filter has `bits` bits; a key sets `hashes` of them.
-- The footer has fixed length: offsets and lengths of index and filter, entries, token count, hashes, crc32 of index and
-  filter, and a closing mark.
+- The footer has fixed length: offsets and lengths of index and filter, entries, token count, number of the shard in the
+  order of keys, hashes, crc32 of index and filter, and a closing mark.
 
-A lookup reads the footer, asks the filter, finds the block by binary search in the index, and reads that block alone.
+A lookup reads the footer, asks the filter, finds the block by binary search in the index, and decodes that block alone.
+
+Shards are written and read by Spark itself, so they may lie in any storage that it knows, and a task that runs twice
+leaves one file: a shard is one line of a text file, and the line end that the writer adds is the last byte of the mark.
 """
 
 from __future__ import annotations
 
 import bisect
+import io
 import os
 import struct
 import threading
@@ -28,17 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as fs
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 from . import store
+from .memory import given_back
 from .pretokens import Memory, cut, spread
 from .words import slices, texts_of
 
-MARK = b"QSST0001"
-FOOTER = struct.Struct("<QQQQQQIII8s")
+MARK = b"QSST002\n"
+FOOTER = struct.Struct("<QQQQQQQIII8s")
 _PAIR = struct.Struct("<QI")
 
 
@@ -79,8 +84,8 @@ def _bloom_places(key: bytes, bits: int, hashes: int) -> list[int]:
 class Writer:
     """Writes one shard; keys must come in ascending order, equal ones may follow each other."""
 
-    def __init__(self, sink, block_bytes: int = 64 << 10, bits_per_key: int = 10, hashes: int = 7):
-        self.sink, self.block_bytes, self.bits_per_key, self.hashes = sink, block_bytes, bits_per_key, hashes
+    def __init__(self, sink, number: int = 0, block_bytes: int = 64 << 10, bits_per_key: int = 10, hashes: int = 7):
+        self.sink, self.number, self.block_bytes, self.bits_per_key, self.hashes = sink, number, block_bytes, bits_per_key, hashes
         self.block, self.first, self.last = bytearray(), b"", None
         self.index: list[tuple[bytes, int, int]] = []
         self.keys: list[bytes] = []
@@ -122,8 +127,7 @@ class Writer:
         packed = np.packbits(bloom, bitorder="little").tobytes()
         self.sink.write(index)
         self.sink.write(packed)
-        self.sink.write(FOOTER.pack(self.offset, len(index), self.offset + len(index), bits, len(self.keys), self.tokens, self.hashes, zlib.crc32(index), zlib.crc32(packed), MARK))
-        self.sink.close()
+        self.sink.write(FOOTER.pack(self.offset, len(index), self.offset + len(index), bits, len(self.keys), self.tokens, self.number, self.hashes, zlib.crc32(index), zlib.crc32(packed), MARK))
 
 
 class Reader:
@@ -131,9 +135,12 @@ class Reader:
 
     def __init__(self, source):
         self.source = source
-        size = source.size()
-        source.seek(size - FOOTER.size)
-        at, length, filter_at, self.bits, self.entries, self.tokens, self.hashes, crc, filter_crc, mark = FOOTER.unpack(source.read(FOOTER.size))
+        size = source.seek(0, io.SEEK_END)
+        source.seek(max(0, size - FOOTER.size))
+        footer = source.read(FOOTER.size)
+        if len(footer) < FOOTER.size:
+            raise ValueError("not a shard of this format, or cut short")
+        at, length, filter_at, self.bits, self.entries, self.tokens, self.number, self.hashes, crc, filter_crc, mark = FOOTER.unpack(footer)
         if mark != MARK:
             raise ValueError("not a shard of this format, or cut short")
         source.seek(at)
@@ -183,38 +190,35 @@ class LibraryEncoder:
     """Encodes with the tokenizers library, asking it once for each piece of text that repeats.
 
     The pieces are joined by the tokenizer's own end mark, which splits them again inside the library: what it returns
-    is cut at that mark's id. Pieces that spell the mark go to an encoder that takes it as ordinary text.
+    is cut at that mark's id. Texts that spell the mark go to the library as they are, which reads it as that id.
     """
 
     def __init__(self, path: str, end_mark: str = "<|endoftext|>", chunk: int = 16384):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.joined, self.plain, self.chunk = Tokenizer.from_file(path), Tokenizer.from_file(path), chunk
-        self.plain.encode_special_tokens = True
+        self.library, self.chunk = Tokenizer.from_file(path), chunk
         self.memory = Memory(self._learn)
-        self.mark, self.mark_id = end_mark, self.joined.token_to_id(end_mark)
+        self.mark, self.mark_id = end_mark, self.library.token_to_id(end_mark)
 
     def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lengths, flat = [], []
         for a in range(0, len(pieces), self.chunk):
-            part = pieces[a : a + self.chunk]
-            text = self.mark.join(part)
-            if text.count(self.mark) != len(part) - 1:
-                for e in self.plain.encode_batch_fast(part, add_special_tokens=False):
-                    lengths.append(np.array([len(e.ids)]))
-                    flat.append(np.array(e.ids, np.uint32))
-                continue
-            ids = np.array(self.joined.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.library.encode_batch_fast([self.mark.join(pieces[a : a + self.chunk])], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
             lengths.append(np.diff(ends, prepend=-1) - 1)
             flat.append(ids[ids != self.mark_id])
         return (np.concatenate(lengths), np.concatenate(flat)) if lengths else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
 
-    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, start of each text and the end)."""
-        pieces = cut(texts)
-        return spread(pieces, *self.memory.ids(pieces.unique))
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        marked = pc.match_substring(texts, self.mark)
+        pieces = cut(pc.if_else(marked, pa.scalar("", texts.type), texts))
+        ids, starts = spread(pieces, *self.memory.ids(pieces.unique))
+        rows = [ids[a:b] for a, b in zip(starts.tolist(), starts[1:].tolist())]
+        for i in np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist():
+            rows[i] = np.array(self.library.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        return rows
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -228,95 +232,104 @@ def _encoder(path: str) -> LibraryEncoder:
         return _ENCODERS[path]
 
 
-def write_shards(docs: DataFrame, target: str, tokenizer: str, end_id: int = 0, shards: int | None = None, most_bytes: int = 8 << 20) -> DataFrame:
-    """Encodes every whole text of docs (doc_id, text) and writes shards in ascending doc_id order.
+def write_shards(docs: DataFrame, target: str, tokenizer: str, end_id: int = 0, shards: int | None = None, shard_bytes: int = 32 << 20, most_bytes: int = 4 << 20) -> None:
+    """Encodes every whole text of docs (doc_id, text) and writes shards in ascending doc_id order to the folder target.
 
-    Shard files lie in target, a folder that all executors share, named by any address pyarrow knows. Each is written
-    under a name of its own attempt and renamed when whole, so a repeated or speculative task leaves the file as it was.
-    Returns the written list of shards: shard, path, entries, tokens; a row per file, in the order of the keys.
+    A task holds one shard at a time and begins the next one when that has shard_bytes.
 
     Null text counts as empty: the end id alone. A null doc_id comes first. Rows that repeat a doc_id stand next to each
-    other, ordered by their texts. An empty table gives no shards.
+    other, ordered by a hash of their texts, and may fill several shards. An empty table gives no shards.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(shards, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    ship(docs.sparkSession)
+    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    order = (F.asc_nulls_first("doc_id"), F.asc("h"))
+    ordered = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        context = TaskContext.get()
-        shard = context.partitionId()
-        encoder, system, writer, path = _encoder(tokenizer), None, None, f"{target}/shard-{shard:06d}.sst"
-        attempt = f"{path}.{context.taskAttemptId()}"
+        encoder, number, writer = _encoder(tokenizer), TaskContext.get().partitionId() << 24, None
+
+        def ended() -> pa.RecordBatch:
+            writer.close()
+            return pa.RecordBatch.from_arrays([pa.array([writer.sink.getvalue()[:-1]], pa.binary())], ["shard"])
+
         for batch in batches:
             texts, ids_of = texts_of(batch.column(1)), batch.column(0).to_pylist()
             for a, b in slices(texts, most_bytes):
-                if writer is None:
-                    system, place = fs.FileSystem.from_uri(attempt)
-                    system.create_dir(place.rpartition("/")[0], recursive=True)
-                    writer = Writer(system.open_output_stream(place))
-                ids, starts = encoder.batch(texts.slice(a, b - a))
-                for identifier, s, e in zip(ids_of[a:b], starts.tolist(), starts[1:].tolist()):
-                    writer.add(identifier, np.append(ids[s:e], np.uint32(end_id)))
+                for identifier, ids in zip(ids_of[a:b], encoder.batch(texts.slice(a, b - a))):
+                    if writer is None:
+                        writer = Writer(io.BytesIO(), number)
+                    writer.add(identifier, np.append(ids, np.uint32(end_id)))
+                    if writer.offset >= shard_bytes:
+                        yield ended()
+                        writer, number = None, number + 1
         if writer is not None:
-            writer.close()
-            system.move(place, fs.FileSystem.from_uri(path)[1])
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "entries": [len(writer.keys)], "tokens": [writer.tokens]})
+            yield ended()
 
-    return store.written(ordered.mapInArrow(write, "shard bigint, path string, entries bigint, tokens bigint"), "shard-list")
+    # Bytes stay bytes in this cast and in the file; every line has a file of its own.
+    lines = ordered.mapInArrow(lambda batches: given_back(write(batches)), "shard binary").select(F.col("shard").cast("string"))
+    lines.write.option("maxRecordsPerFile", 1).text(target)
 
 
-def read_shards(shards: DataFrame) -> DataFrame:
-    """Every entry of the listed shards: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids.
+def _files(spark: SparkSession, target: str) -> DataFrame:
+    """content of each shard."""
+    ship(spark)
+    return spark.read.format("binaryFile").load(target).filter("length > 0").select("content")
 
-    start needs what the shards before hold: a running sum over the list, which has one row per file.
-    """
-    from pyspark.sql import Window
 
-    ship(shards.sparkSession)
+def shard_list(spark: SparkSession, target: str) -> DataFrame:
+    """shard (its number), entries, tokens and base (tokens of all shards before) of each shard. One row per file is summed up."""
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                r = Reader(io.BytesIO(content.as_buffer()))
+                yield pa.RecordBatch.from_pydict({"shard": [r.number], "entries": [r.entries], "tokens": [r.tokens]})
+
     before = F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    place = (F.row_number().over(Window.orderBy("shard")) - 1).cast("int")
-    based = store.written(shards.withColumn("base", F.coalesce(before, F.lit(0))).withColumn("place", place), "shard-bases")
-    dealt = based.repartitionById(max(1, based.count()), "place")  # one file to a task
+    found = _files(spark, target).mapInArrow(footers, "shard bigint, entries bigint, tokens bigint")
+    return store.written(found.withColumn("base", F.coalesce(before, F.lit(0))), "shard-list")
+
+
+def read_shards(spark: SparkSession, target: str) -> DataFrame:
+    """Every entry of the shards in target: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, at in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist()):
-                system, place = fs.FileSystem.from_uri(path)
-                with system.open_input_file(place) as source:
-                    rows, held = [], 0
-                    for identifier, ids in Reader(source):
-                        raw = ids.astype("<u4").tobytes()
-                        rows.append((identifier, at, len(ids), zlib.crc32(raw), raw))
-                        at += len(ids)
-                        held += len(raw)
-                        if held > 1 << 22:
-                            yield _batch(rows)
-                            rows, held = [], 0
-                    if rows:
+            for content in batch.column(0):
+                rows, held, at = [], 0, 0
+                reader = Reader(io.BytesIO(content.as_buffer()))
+                for identifier, ids in reader:
+                    raw = ids.astype("<u4").tobytes()
+                    rows.append((identifier, reader.number, at, len(ids), zlib.crc32(raw), raw))
+                    at += len(ids)
+                    held += len(raw)
+                    if held > 1 << 22:
                         yield _batch(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield _batch(rows)
 
-    return dealt.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
+    entries = _files(spark, target).mapInArrow(lambda batches: given_back(read(batches)), "doc_id bigint, shard bigint, place bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
+    start = (F.col("base") + F.col("place")).alias("start")
+    return entries.join(shard_list(spark, target).select("shard", "base"), "shard").select("doc_id", start, "n_tokens", "ids_crc32", "ids")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+    types = (*[pa.int64()] * 5, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "shard", "place", "n_tokens", "ids_crc32", "ids"])
 
 
-def lookup(shards: DataFrame, doc_id: int | None) -> list[list[int]]:
+def lookup(spark: SparkSession, target: str, doc_id: int | None) -> list[list[int]]:
     """The ids stored under doc_id, by filter and binary search; the shards are asked on the executors."""
-    ship(shards.sparkSession)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column("path").to_pylist():
-                system, place = fs.FileSystem.from_uri(path)
-                with system.open_input_file(place) as source:
-                    found = Reader(source).get(doc_id)
+            for content in batch.column(0):
+                found = Reader(io.BytesIO(content.as_buffer())).get(doc_id)
                 if found:
                     yield pa.RecordBatch.from_pydict({"ids": pa.array([x.astype(np.int64).tolist() for x in found], pa.list_(pa.int64()))})
 
-    return [r["ids"] for r in shards.select("path").mapInArrow(ask, "ids array<bigint>").collect()]
+    return [r["ids"] for r in _files(spark, target).mapInArrow(ask, "ids array<bigint>").collect()]
