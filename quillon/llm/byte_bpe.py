@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from ..functions.shipping import ship
+from .memory import given_back
 from .pretokens import Memory, cut, ranges, spread
 from .words import slices, texts_of
 
@@ -122,7 +123,7 @@ class Codec:
         self.token_begin = np.zeros(size, np.int64)
         self.token_begin[self.ids] = np.cumsum(self.token_length[self.ids]) - self.token_length[self.ids]
         self.token_bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.memory = Memory(self._learn, 400_000)
+        self.memory = Memory(self._learn)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a pre-token that is no token as a whole.
@@ -205,16 +206,17 @@ def codec(path: str, pattern: str) -> Codec:
     return _HELD[path, pattern]
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, most_bytes: int = 6 << 20) -> DataFrame:
+def encoded(docs: DataFrame, path: str, pattern: str, most_bytes: int = 3 << 20) -> DataFrame:
     """Encodes every whole text and decodes the ids again.
 
     docs: doc_id, text; other columns are not read. path: a rank file that every executor has, like the library itself.
     Returns doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit), ids_sha256, decoded_sha256.
-    Null text counts as empty: no ids, and the digests of nothing. Rows stay rows: repeated ones are encoded alike.
+    Null text counts as empty: no ids, and the digests of nothing. Rows stay rows: repeated ones are encoded alike. An empty
+    table gives no rows. Texts are taken in slices of most_bytes, and a longer one by itself.
     """
     ship(docs.sparkSession)
     schema = "doc_id bigint, n_tokens bigint, ids binary, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _encode(batches, path, pattern, most_bytes), schema)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: given_back(_encode(batches, path, pattern, most_bytes)), schema)
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str, most_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -67,41 +67,61 @@ def ranges(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(end[-1]) if len(end) else 0) + np.repeat(begin - (end - lengths), lengths)
 
 
+class _Store:
+    """Ids of pieces, in arrays that grow by doubling."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.flat, self.ends, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, pieces: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
+        n = len(self.place)
+        while n + len(pieces) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.ends[n + 1 : n + 1 + len(pieces)] = self.used + np.cumsum(lengths)
+        self.used += len(flat)
+        self.place.update(zip(pieces, range(n, n + len(pieces))))
+
+    def get(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        begin = self.ends[at]
+        lengths = self.ends[at + 1] - begin
+        return lengths, self.flat[ranges(begin, lengths)]
+
+
 class Memory:
-    """Ids of pieces seen before in this process; when `most` pieces are held, it starts anew.
+    """Ids of pieces seen before in this process, in two generations: when the younger one holds `most` pieces, it takes the
+    place of the older one. Pieces found in the older one move to the younger, so common ones stay.
 
     learn: gives (lengths, flat ids) of pieces that are not held; it is given `step` pieces at a time, so that what it
     makes on the way stays small.
     """
 
-    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000, step: int = 1 << 15):
-        self.learn, self.most, self.step, self.place = learn, most, step, {}
-        self.forget()
-
-    def forget(self) -> None:
-        self.place.clear()
-        self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 150_000, step: int = 1 << 15):
+        self.learn, self.most, self.step = learn, most, step
+        self.young, self.old = _Store(), _Store()
 
     def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, flat ids) of the pieces in their order."""
-        if len(self.place) + len(pieces) > self.most:
-            self.forget()
-        place = self.place
-        fresh = [p for p in pieces if p not in place]
-        if fresh:
-            parts, ends = [self.flat], [self.begin]
+        if len(self.young.place) > self.most:
+            self.young, self.old = _Store(), self.young
+        place, before = self.young.place, self.old.place
+        missing = [p for p in pieces if p not in place]
+        again = [p for p in missing if p in before]
+        if again:
+            self.young.add(again, *self.old.get(again))
+            missing = [p for p in missing if p not in before]
+        if missing:
             collecting = gc.isenabled()
             gc.disable()  # millions of small lists without cycles; looking for cycles among them costs a third of the time
             try:
-                for a in range(0, len(fresh), self.step):
-                    lengths, flat = self.learn(fresh[a : a + self.step])
-                    parts.append(flat)
-                    ends.append(ends[-1][-1] + np.cumsum(lengths))
+                for a in range(0, len(missing), self.step):
+                    part = missing[a : a + self.step]
+                    self.young.add(part, *self.learn(part))
             finally:
                 if collecting:
                     gc.enable()
-            place.update(zip(fresh, range(len(self.begin) - 1, len(self.begin) - 1 + len(fresh))))
-            self.flat, self.begin = np.concatenate(parts), np.concatenate(ends)
-        at = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
-        lengths = self.begin[at + 1] - self.begin[at]
-        return lengths, self.flat[ranges(self.begin[at], lengths)]
+        return self.young.get(pieces)

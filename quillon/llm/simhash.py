@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.shipping import ship
 from .components import components
 from .exact_dedup import matching_rows, row_key
+from .memory import given_back
 from .store import written
 from .words import texts_of
 
@@ -73,7 +74,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["doc_id", "row", "fp"])
 
     rows = docs.select("doc_id", row_key(docs).alias("row"), "text")
-    return rows.mapInArrow(of, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row bigint, fp bigint")
+    return rows.mapInArrow(lambda batches: given_back(of(batches)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row bigint, fp bigint")
 
 
 def _starts() -> list[int]:
