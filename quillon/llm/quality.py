@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 from . import sampling
+from .memory import given_back
 from .words import Words, slices, split_words, sums, texts_of
 
 #: Frequent function words of English, German, French and Spanish.
@@ -208,14 +209,30 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 150, rate: f
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 3000, longest: int = 60_000) -> AdditiveModel:
+def labelled_features(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[np.ndarray, np.ndarray]:
+    """(features, labels) of the sample, computed where the texts lie; one short row per text reaches the driver."""
+    ship(docs.sparkSession)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = pa.array(list(features(texts_of(batch.column(2)))), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), x], ["doc_id", "label", "x"])
+
+    texts = sampling.labelled_texts(docs, labels, label, per_class)
+    found = texts.mapInArrow(lambda batches: given_back(of(batches)), f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, label int, x array<double>")
+    rows = sorted((r["doc_id"], r["label"], r["x"]) for r in found.groupBy("doc_id", "label").agg(F.min("x").alias("x")).collect())
+    return np.array([r[2] for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r[1] for r in rows], float)
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 3000) -> AdditiveModel:
     """The model from a bounded sample of labelled rows. labels: the rows to learn from, doc_id and label.
 
-    The sample may hold the labels in other shares than the table; the bias is set back to the table's.
+    The sample holds at most per_class rows of each label, whole texts of any length; of a doc_id that repeats, one row.
+    It may hold the labels in other shares than the table; the bias is set back to the table's. Null texts are empty ones.
+    Without labelled rows, or with one label only, the model is a constant.
     """
-    rows = sampling.labelled_texts(docs, labels, label, per_class, longest)
-    y = np.array([r[1] for r in rows], float)
-    model = fit(features(pa.array([r[2] for r in rows], pa.large_string())), y)
+    x, y = labelled_features(docs, labels, label, per_class)
+    model = fit(x, y)
     no, yes = sampling.class_counts(labels, label)
     if 0 < y.sum() < len(y) and no and yes:
         model.bias += float(np.log(yes / no) - np.log(y.sum() / (len(y) - y.sum())))
@@ -223,7 +240,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
 
 
 def accepted(docs: DataFrame, model: AdditiveModel, least: float = 0.5) -> DataFrame:
-    """The rows of docs whose text scores at least `least`, with all their columns as they are."""
+    """The rows of docs whose text scores at least `least`, with all their columns as they are.
+
+    The whole text counts; null is scored as an empty text. Each row is scored by itself, so rows that repeat stay or go
+    together, and an empty table gives no rows.
+    """
     ship(docs.sparkSession)
     at = docs.columns.index("text")
 
@@ -231,13 +252,13 @@ def accepted(docs: DataFrame, model: AdditiveModel, least: float = 0.5) -> DataF
         for batch in batches:
             yield batch.filter(pa.array(model.score(features(texts_of(batch.column(at)))) >= least, pa.bool_()))
 
-    return docs.mapInArrow(choose, docs.schema)
+    return docs.mapInArrow(lambda batches: given_back(choose(batches)), docs.schema)
 
 
 def scored(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     """docs with a column quality_score in [0, 1]; its own column of that name, if any, gives way.
 
-    The whole text counts; null is scored as an empty text.
+    The whole text counts; null is scored as an empty text. Rows that repeat score alike; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     docs = docs.drop("quality_score")
@@ -249,4 +270,4 @@ def scored(docs: DataFrame, model: AdditiveModel) -> DataFrame:
             got = pa.array(model.score(features(texts_of(batch.column(at)))), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, got], [*batch.schema.names, "quality_score"])
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(lambda batches: given_back(score(batches)), schema)

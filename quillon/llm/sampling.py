@@ -11,11 +11,12 @@ def fold(modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(modulus))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longest: int) -> list[tuple[int, int, str]]:
-    """(doc_id, label, text) of at most per_class rows of each label, in a fixed order.
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_bytes: int | None = None) -> DataFrame:
+    """doc_id, label and text of at most per_class rows of each label.
 
-    Rows are chosen by the smallest hash of doc_id, so the choice follows the table alone. Texts of over `longest`
-    characters are no training rows; they bound what the driver holds. Where a doc_id repeats, one of its rows serves.
+    Rows are chosen by the smallest hash of doc_id, so the choice follows the table alone; a text's length plays no part.
+    With most_bytes, each label's rows end where their texts reach half of that, in the same order. A doc_id that repeats
+    in docs gives a row each time. Null text counts as empty; a null doc_id has no label.
     """
     known = labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label")).filter("doc_id is not null")
     order = F.xxhash64("doc_id")
@@ -24,9 +25,18 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: in
         part = known.filter(F.col("label") == value).orderBy(order, "doc_id").limit(per_class)
         some = part if some is None else some.unionByName(part)
     some = some.groupBy("doc_id").agg(F.max("label").alias("label"))  # at most 2 * per_class rows
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= longest)
-    rows = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.max("text").alias("text"))
-    return sorted((r["doc_id"], r["label"], r["text"]) for r in rows.collect())
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "label", "text")
+    if most_bytes is None:
+        return rows
+    sizes = rows.select("doc_id", "label", order.alias("h"), F.octet_length("text").alias("size")).groupBy("doc_id", "label", "h").agg(F.sum("size").alias("size"))
+    left, kept = {0: most_bytes // 2, 1: most_bytes // 2}, []
+    for r in sorted(sizes.collect(), key=lambda r: (r["h"], r["doc_id"])):
+        if left[r["label"]] > 0:
+            kept.append((r["doc_id"],))
+        left[r["label"]] -= r["size"]
+    if min(left.values()) > 0:
+        return rows
+    return rows.join(F.broadcast(docs.sparkSession.createDataFrame(kept, rows.select("doc_id").schema)), "doc_id").select("doc_id", "label", "text")
 
 
 def class_counts(labels: DataFrame, label: str) -> tuple[int, int]:
