@@ -1,10 +1,10 @@
 """Exact top-k search by inner product, as a Voronoi join.
 
-Pivots cut the space into cells; every vector and every query belongs to the cell of its nearest pivot. Summaries of
-the cells (size, radius, the vectors nearest to the pivot) bound what a query of one cell can score with any vector of
-another: with q = p + a and x = r + b, |a| and |b| within the radii, q.x lies within |a||r| + |b||p| + |a||b| of p.r.
-Vectors go only to the queries whose bound still reaches the score that k vectors are sure to have. Cells are cut in
-blocks of limited size, so neither a crowded cell nor a common vector makes a large task.
+Pivots cut the space into cells; every vector and every query belongs to the cell of its nearest pivot. A query is solved
+in its own cell first, which gives it a real k-th best score. Summaries of the cells then bound what it can find in any
+other: with r the pivot, no vector of a cell scores more than q.r + |q| times the cell's radius, nor more than |q| times
+its largest norm. The query goes only to the cells whose bound reaches its k-th score. Cells and the queries that come to
+them are cut in blocks of limited size, so neither a crowded cell nor a common vector makes a large task.
 """
 
 from __future__ import annotations
@@ -12,14 +12,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 from .store import written
 
+#: Pivots grow with the root of the number of vectors, within these bounds: the driver holds one row for each.
+PIVOTS = (16, 1024)
+
 
 def quantised(vectors: DataFrame, scale: int = 256, column: str = "embedding") -> DataFrame:
     """vec_id and v, each component x as floor(scale * x); vectors that are null or hold null or no number are left out."""
@@ -59,129 +62,123 @@ def _nearest(v: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _with_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """vec_id, v (all of one length), cell, away (from its pivot) and norm."""
     dim = pivots.shape[1]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell, away = _nearest(_matrix(batch.column(1).to_pylist(), dim), pivots) if batch.num_rows else (np.zeros(0, int), np.zeros(0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(away)], ["vec_id", "v", "cell", "away"])
-
-    return vectors.mapInArrow(assign, "vec_id bigint, v array<bigint>, cell int, away double")
-
+            if not batch.num_rows:
+                continue
+            v = _matrix(batch.column(1).to_pylist(), dim)
+            cell, away = _nearest(v, pivots)
+            norm = np.sqrt((v.astype(float) ** 2).sum(axis=1)) * (1 + 1e-9)
+            columns = [batch.column(0), _lists(v), pa.array(cell.astype(np.int32)), pa.array(away), pa.array(norm)]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "v", "cell", "away", "norm"])
+
+    return vectors.mapInArrow(assign, "vec_id bigint, v array<bigint>, cell int, away double, norm double")
+
+
+def _lists(v: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel()))
+
+
+def _rows(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    return pc.list_flatten(column).to_numpy().reshape(len(column), dim)
+
+
+def _solved(data: DataFrame, asks: DataFrame, sizes: dict[int, int], k: int, dim: int, block: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of each query (query_id, q) in each block of the cells that it asks."""
+    spark = data.sparkSession
+    layout = [(r["cell"], -(-sizes[r["cell"]] // block), -(-r["count"] // block)) for r in asks.groupBy("cell").count().collect() if sizes.get(r["cell"])]  # a row per pivot at most
+    layout = spark.createDataFrame(layout, "cell int, n_parts int, n_chunks int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part, chunk = F.pmod(F.xxhash64("vec_id", "v"), F.col("n_parts")).cast("int"), F.pmod(F.xxhash64("query_id"), F.col("n_chunks")).cast("int")
+    data_rows = data.join(layout, "cell").select("cell", part.alias("part"), every("n_chunks").alias("chunk"), "vec_id", "v")
+    query_rows = asks.join(layout, "cell").select("cell", every("n_parts").alias("part"), chunk.alias("chunk"), "query_id", "q")
+    unit, names = ["cell", "part", "chunk"], ["query_id", "vec_id", "score"]
+
+    def solve(x: pa.Table, q: pa.Table) -> pa.Table:
+        out = [pa.table([pa.array([], pa.int64())] * 3, names)]
+        if x.num_rows and q.num_rows:
+            x = x.sort_by("vec_id")
+            ids, own = x["vec_id"].to_numpy(), q["query_id"].to_numpy()
+            a, b = _rows(q["q"], dim), _rows(x["v"], dim)
+            for at in range(0, len(own), 256):
+                row, col, score = _best(_products(a[at : at + 256], b), own[at : at + 256], ids, k)
+                out.append(pa.table([pa.array(own[at + row]), pa.array(ids[col]), pa.array(score)], names))
+        return pa.concat_tables(out)
+
+    return data_rows.groupBy(*unit).cogroup(query_rows.groupBy(*unit)).applyInArrow(solve, "query_id bigint, vec_id bigint, score bigint")
+
+
+def _best(score: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score of the k largest scores of each row, ties to the earlier column; ids equal to own are none."""
+    other = ids[None, :] != own[:, None]
+    value = np.where(other, score, np.iinfo(np.int64).min)
+    least = np.partition(value, max(0, value.shape[1] - k), axis=1)[:, max(0, value.shape[1] - k)]
+    row, col = np.nonzero((value >= least[:, None]) & other)
+    found = score[row, col]
+    order = np.lexsort((col, -found.astype(object) if len(found) and found.min() == np.iinfo(np.int64).min else -found, row))
+    row, col, found = row[order], col[order], found[order]
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
+    keep = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)])) < k
+    return row[keep], col[keep], found[keep]
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
-def _summaries(cells: DataFrame, k: int) -> dict[int, tuple[int, float, list[float]]]:
-    """By cell: size, radius and the smallest distances of k + 1 different vec_ids. One row per pivot reaches the driver."""
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+def search(vectors: DataFrame, is_query: Column, k: int = 5, n_pivots: int | None = None, block: int = 4096) -> tuple[DataFrame, DataFrame, dict[int, int]]:
+    """What top_k ranks, and what it cost: query_id, vec_id, score of the best found in each block; cell and query_id of
+    every cell that a query had to look into; the size of each cell."""
+    spark = vectors.sparkSession
+    ship(spark)
+    vectors = written(vectors.select("vec_id", "v"), "vectors")
+    facts = vectors.agg(F.max(F.size("v")).alias("dim"), F.count(F.lit(1)).alias("n")).first()
+    dim = max(facts["dim"] or 0, 1)
+    n_pivots = n_pivots or min(PIVOTS[1], max(PIVOTS[0], int(facts["n"] ** 0.5 / 4)))
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).collect()
+    pivots = np.unique(_matrix([r["v"] for r in sample], dim), axis=0) if sample else np.zeros((1, dim), np.int64)
+    data = written(_with_cells(vectors, pivots), "cells")
+    asked = vectors.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = written(_with_cells(asked, pivots).select("cell", F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "norm"), "query-cells")
+    cells = data.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius"), F.max("norm").alias("norm")).collect()  # a row per pivot
+    sizes = {r["cell"]: r["n"] for r in cells}
+    own = written(_solved(data, queries, sizes, k, dim, block), "found-in-own-cell")
+    kth = _ranked(own, k).groupBy("query_id").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k).select("query_id", "kth")
+    place = np.array([r["cell"] for r in cells], np.int64)
+    centre, radius, largest = pivots[place].astype(float), np.array([r["radius"] for r in cells]), np.array([r["norm"] for r in cells])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            now = batch.to_pandas().groupby(["cell", "vec_id"], as_index=False).agg(n=("away", "size"), far=("away", "max"), away=("away", "min"))
-            held = _merge(now if held is None else pd.concat([held, now]), k)
-        if held is not None:
-            yield pa.RecordBatch.from_pandas(held.astype({"cell": "int32", "vec_id": "int64", "n": "int64"}), preserve_index=False)
-
-    schema = "cell int, vec_id bigint, n bigint, far double, away double"
-    parts = cells.select("cell", "vec_id", "away").mapInArrow(part, schema)
-    whole = parts.groupBy("cell").applyInPandas(lambda rows: _merge(rows, k).astype({"cell": "int32"}), schema)
-    found: dict[int, tuple[int, float, list[float]]] = {}
-    for r in whole.collect():  # at most k + 1 rows a pivot
-        n, far, near = found.get(r["cell"], (0, 0.0, []))
-        found[r["cell"]] = (n + r["n"], max(far, r["far"]), sorted([*near, r["away"]]))
-    return found
-
-
-def _merge(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k + 1 nearest ids of each cell; sizes and radii of the other ids are added to the first one's."""
-    rows = rows.groupby(["cell", "vec_id"], as_index=False).agg(n=("n", "sum"), far=("far", "max"), away=("away", "min"))
-    rows = rows.sort_values(["cell", "away", "vec_id"])
-    total = rows.groupby("cell").agg(n=("n", "sum"), far=("far", "max"))
-    kept = rows[rows.groupby("cell").cumcount() <= k].copy()
-    first = ~kept.duplicated("cell")
-    kept["n"] = np.where(first, kept["cell"].map(total["n"]), 0)
-    kept["far"] = np.where(first, kept["cell"].map(total["far"]), 0.0)
-    return kept[["cell", "vec_id", "n", "far", "away"]]
-
-
-def _needed(groups: dict, cells: dict, pivots: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """(query cell, data cell) pairs that may hold one of a query's k best."""
-    dots = pivots.astype(float) @ pivots.astype(float).T
-    norm = np.sqrt(np.diag(dots))
-    pairs = []
-    for g, (_, radius, _) in groups.items():
-        sure = []
-        for c, (_, _, near) in cells.items():
-            sure += [dots[g, c] - radius * norm[c] - away * norm[g] - radius * away for away in near]
-        sure.sort(reverse=True)  # k + 1 ids score at least this much, so k others than the query's own do
-        least = sure[k] if len(sure) > k else -np.inf
-        for c, (_, far, _) in cells.items():
-            best = dots[g, c] + radius * norm[c] + far * norm[g] + radius * far
-            if best * (1 + 1e-9 * np.sign(best)) + 1e-6 >= least - 1e-9 * abs(least):
-                pairs.append((g, c))
-    return pairs
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, n_pivots: int = 64, block: int = 4096) -> DataFrame:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                norm = part.column(3).to_numpy()[:, None]
+                bound = np.minimum(_rows(part.column(2), dim).astype(float) @ centre.T + norm * radius, norm * largest)
+                least = part.column(4).to_numpy(zero_copy_only=False)[:, None]  # no number where fewer than k are known
+                far = bound + 1e-9 * np.abs(bound) + 1e-6 < least - 1e-9 * np.abs(least)
+                row, col = np.nonzero(~far & (place[None, :] != part.column(0).to_numpy()[:, None]))
+                where = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(place[col].astype(np.int32)), part.column(1).take(where), part.column(2).take(where)], ["cell", "query_id", "q"])
+
+    known = queries.join(kth, "query_id", "left").select("cell", "query_id", "q", "norm", F.col("kth").cast("double").alias("kth"))
+    asks = written(known.mapInArrow(others, "cell int, query_id bigint, q array<bigint>"), "cells-to-search")
+    found = own.unionByName(_solved(data, asks, sizes, k, dim, block))
+    return found, queries.select("cell", "query_id").unionByName(asks.select("cell", "query_id")), sizes
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, n_pivots: int | None = None, block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each query, ties to the smaller vec_id.
 
     vectors: vec_id, v (array<bigint>). Rows of the query's own vec_id are no candidates. A vec_id that asks twice asks
     once, with its smaller vector; a candidate that repeats takes a rank for each row. Shorter vectors end in zeros.
-    Fewer than k candidates give them all; no query or an empty table gives no rows.
+    Fewer than k candidates give them all; no query or an empty table gives no rows. Scores that do not fit in 64 bits
+    stop at the ends of the range and count as ties there.
 
-    Pivots are a fixed-size sample, the n_pivots smallest hashes of vec_id; results do not depend on them. All vectors
-    are searched: the pivots only cut what the bounds rule out.
+    Pivots are a sample, the n_pivots smallest hashes of vec_id; results do not depend on them. All vectors are searched:
+    the pivots only cut what the bounds rule out.
     """
-    spark = vectors.sparkSession
-    ship(spark)
-    vectors = written(vectors.select("vec_id", "v"), "vectors")
-    dim = vectors.agg(F.max(F.size("v")).alias("d")).first()["d"] or 0
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).collect()
-    pivots = np.unique(_matrix([r["v"] for r in sample], dim), axis=0) if sample else np.zeros((1, dim), np.int64)
-    asked = vectors.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    data, queries = written(_with_cells(vectors, pivots), "cells"), written(_with_cells(asked, pivots), "query-cells")
-    cells, groups = _summaries(data, k), _summaries(queries, 0)
-    pairs = _needed(groups, cells, pivots, k)
-
-    # Query groups are packed into chunks of about `block` queries, larger groups are split; data cells into blocks.
-    chunk_of, filled, chunk = [], 0, 0
-    for g in sorted(groups):
-        n = -(-groups[g][0] // block)
-        if n > 1 or filled + groups[g][0] > block:
-            chunk, filled = chunk + 1, 0
-        chunk_of += [(g, chunk, n)]
-        chunk, filled = chunk + n - 1, filled + groups[g][0]
-    chunks = {g: range(first, first + n) for g, first, n in chunk_of}
-    blocks = {c: -(-n // block) for c, (n, _, _) in cells.items()}
-    needs = sorted({(h, c) for g, c in pairs for h in chunks[g]})
-    spread = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
-    need = spark.createDataFrame([(c, blocks[c], h) for h, c in needs], "cell int, n_blocks int, chunk int")
-    ask = spark.createDataFrame([(g, first, n) for g, first, n in chunk_of], "cell int, first int, n int")
-    data_rows = data.join(need, "cell").select("vec_id", "v", "cell", "chunk", spread("n_blocks").alias("part"))
-    chunked = queries.join(ask, "cell").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), (F.col("first") + spread("n")).alias("chunk"))
-    parts = need.select("chunk", "cell", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("part"))
-    query_rows = chunked.join(parts, "chunk")
-
-    def solve(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("vec_id", kind="stable")
-        ids, own = x["vec_id"].to_numpy(), q["query_id"].to_numpy()
-        a, b, out = _matrix(q["q"], dim), _matrix(x["v"], dim), []
-        for at in range(0, len(own), 256):
-            score = _products(a[at : at + 256], b)
-            other = ids[None, :] != own[at : at + 256, None]
-            value = np.where(other, score, np.iinfo(np.int64).min)
-            least = np.partition(value, max(0, value.shape[1] - k), axis=1)[:, max(0, value.shape[1] - k)]
-            row, col = np.nonzero((value >= least[:, None]) & other)
-            order = np.lexsort((col, -score[row, col].astype(object) if score.min() == np.iinfo(np.int64).min else -score[row, col], row))
-            row, col = row[order], col[order]
-            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, int)
-            keep = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)])) < k
-            row, col = row[keep], col[keep]
-            out.append(pd.DataFrame({"query_id": own[at + row], "vec_id": ids[col], "score": score[row, col]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-
-    unit = ["chunk", "cell", "part"]
-    found = data_rows.groupBy(*unit).cogroup(query_rows.groupBy(*unit)).applyInPandas(
-        lambda x, q: solve(x, q) if len(x) and len(q) else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64"),
-        "query_id bigint, vec_id bigint, score bigint",
-    )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found, _, _ = search(vectors, is_query, k, n_pivots, block)
+    return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
