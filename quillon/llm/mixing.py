@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every document has an expected number of copies. Its whole part is certain; the rest is an inclusion probability p,
-and the documents that get one copy more are those with the smallest ranks
+Every document has an expected number of copies, in proportion to its weight. Its whole part is certain; the rest is an
+inclusion probability p, and the documents that get one copy more are those with the smallest ranks
 
     (u / (1 - u)) / (p / (1 - p)),    u uniform in (0, 1), drawn from the seed and the document's identifier,
 
@@ -21,6 +21,10 @@ from .store import written
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code-point order, repeating.
 CYCLE = (3.0, 1.0, 2.0)
+#: Weights of documents count in so many steps for each doubling.
+STEPS = 8
+#: Slices of ranks that are gone through one by one where a source's sample ends.
+LAST = 4
 
 
 def word_count(text: Column) -> Column:
@@ -57,50 +61,52 @@ def _unit(seed: int, *of: Column) -> Column:
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
-def _expected(docs: DataFrame, targets: DataFrame, most: float, rounds: int) -> DataFrame:
-    """Expected copies by document: in proportion to its weight, at most `most`, and meeting the target in words.
+def by_length(size: Column) -> Column:
+    """A document's weight within its source: its length's logarithm, so that longer ones are likelier but do not push out short ones."""
+    return F.log2(size + 1.0)
 
-    With equal weights one pass is enough. Otherwise a round deals what the documents at the limit leave over among
-    the others; each round is an aggregate over (source) of a narrow table.
+
+def _expected(docs: DataFrame, targets: DataFrame, most: float) -> DataFrame:
+    """Expected copies by document: in proportion to its weight, at most `most`, and meeting the source's target in words.
+
+    With the weights of a source in descending order, some first ones stop at `most` and all later ones get one rate. The
+    windows see a row for each step of weight and source, never documents.
     """
     named = targets.select(F.col("source").alias("_s"), "source_size", "n_docs", "target")
     t = docs.join(named, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    if "weight" not in docs.columns:
-        ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-        return t.withColumn("expected", F.least(ratio, F.lit(most)))
-    t = t.withColumn("expected", F.lit(0.0))
-    for _ in range(rounds):
-        full = F.col("expected") >= most
-        need = t.groupBy("source").agg(
-            (F.first("target") - F.sum(F.when(full, F.col("size") * most).otherwise(0.0))).alias("_left"),
-            F.sum(F.when(~full, F.col("size") * F.col("weight")).otherwise(0.0)).alias("_open"),
-        ).withColumnRenamed("source", "_s")
-        t = t.join(need, F.col("source").eqNullSafe(F.col("_s"))).withColumn(
-            "expected", F.when(full, F.lit(most)).otherwise(F.when(F.col("_open") > 0, F.least(F.lit(most), F.col("weight") * F.greatest(F.col("_left"), F.lit(0.0)) / F.col("_open"))).otherwise(0.0))
-        ).drop("_s", "_left", "_open")
-        t = written(t, "expected-copies")
-    return t
-
-
-def mix(docs: DataFrame, weights: tuple[float, ...] = CYCLE, share: float = 1.5, most: float = 2.0, seed: int = 7, rounds: int = 6) -> DataFrame:
+    step = F.pow(F.lit(2.0), F.round(F.log2("weight") * STEPS) / STEPS)
+    t = t.withColumn("weight", F.when((F.col("size") > 0) & (F.col("weight") > 0), step).otherwise(0.0))
+    steps = t.filter("weight > 0").groupBy("source", "weight").agg(F.sum("size").alias("words"), F.first("target").alias("target"))
+    down = Window.partitionBy("source").orderBy(F.desc("weight"))
+    full = F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * most
+    open_ = F.sum(F.col("words") * F.col("weight")).over(down.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rates = steps.withColumn("rate", F.greatest(F.col("target") - full, F.lit(0.0)) / open_).filter(F.col("rate") * F.col("weight") <= most)
+    rates = written(rates.groupBy(F.col("source").alias("_s")).agg(F.max_by("rate", "weight").alias("_rate")), "rates")
+    t = t.join(rates, F.col("source").eqNullSafe(F.col("_s")), "left")
+    expected = F.when(F.col("weight") > 0, F.least(F.lit(most), F.coalesce(F.col("_rate") * F.col("weight"), F.lit(most)))).otherwise(0.0)
+    return t.withColumn("expected", expected).drop("_s", "_rate")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = CYCLE, share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
     """How many copies of each document the mix takes.
 
-    docs: doc_id, source, size (words) and, if copies shall not be equally likely within a source, weight.
+    docs: doc_id, source, size (words) and weight; without that, by_length of the size.
     Returns doc_id, source, size, source_size, target, copies; one row for each row of docs.
 
-    Documents of size 0 get no copies; a source of size 0 has target 0; a null source is a source like any other;
-    rows that repeat doc_id and size rank alike, and doc_id, then size decide ties. An empty table gives no rows.
+    Documents of size 0, or of no weight above 0, get no copies; a source of size 0 has target 0; a null source is a source
+    like any other; rows that repeat doc_id and size rank alike, and doc_id, then size decide ties. An empty table gives
+    no rows.
 
     The sample of a source ends within one of about sqrt(n) slices of its ranks (n: its documents). Slices before that
-    one are taken whole; only the documents of the last slice are ranked one by one, so no task holds more than about
-    sqrt(n) rows of a source, and no source is sorted.
+    one are taken whole; only the documents of that and the next few slices are gone through one by one, so no task holds
+    more than a few times sqrt(n) rows of a source, and no source is sorted.
     """
     ship(docs.sparkSession)
-    cols = ["doc_id", "source", "size"] + (["weight"] if "weight" in docs.columns else [])
-    docs = docs.select(*cols)
+    weight = F.col("weight").cast("double") if "weight" in docs.columns else by_length(F.col("size"))
+    docs = docs.select("doc_id", "source", "size", weight.alias("weight"))
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     targets = written(source_targets(sizes, weights, share, most), "source-targets")
-    t = _expected(docs, targets, most, rounds)
+    t = _expected(docs, targets, most)
     t = t.withColumn("whole", F.floor("expected")).withColumn("p", F.col("expected") - F.floor("expected"))
     odds = F.col("p") / (1 - F.col("p"))
     u = _unit(seed, F.col("doc_id"), F.col("size"))
@@ -110,7 +116,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = CYCLE, share: float = 1.5,
     typical = F.greatest(F.least(ratio - F.floor(ratio), F.lit(0.999)), F.lit(0.001))
     scaled = F.col("rank") * (typical / (1 - typical))
     slices = F.ceil(F.sqrt("n_docs"))
-    t = t.withColumn("slice", F.least(F.floor(scaled / (1 + scaled) * slices), slices - 1).cast("long"))
+    t = t.withColumn("slice", F.when(F.col("rank").isNotNull(), F.least(F.floor(scaled / (1 + scaled) * slices), slices - 1)).cast("long"))
     t = t.drop("p", "expected", "weight")
 
     certain = t.groupBy("source").agg(F.first("target").alias("_target"), F.sum(F.col("whole") * F.col("size")).alias("_certain"))
@@ -124,7 +130,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = CYCLE, share: float = 1.5,
     t = t.join(written(last, "last-slices"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     extra = F.when(F.col("slice").isNotNull() & (F.col("last_slice").isNull() | (F.col("slice") < F.col("last_slice"))), 1).otherwise(0)
     out = ["doc_id", "source", "size", "source_size", "target", "copies"]
-    at_end = F.coalesce(F.col("slice") == F.col("last_slice"), F.lit(False))
+    at_end = F.coalesce(F.col("slice").between(F.col("last_slice"), F.col("last_slice") + LAST - 1), F.lit(False))
     plain = t.filter(~at_end).withColumn("copies", (F.col("whole") + extra).cast("long")).select(*out)
     ranked = t.filter(at_end).select("doc_id", "source", "size", "source_size", "target", "whole", "rank", "left")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
@@ -132,7 +138,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = CYCLE, share: float = 1.5,
 
 
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
-    """The last slice of a source: in rank order, whoever still fits; at the end one more if that comes closer."""
+    """The last slices of a source: in rank order, whoever still fits; at the end one more if that comes closer."""
     rows = rows.sort_values(["rank", "doc_id", "size"], kind="stable")
     left, taken, sizes = float(rows["left"].iloc[0]), [], rows["size"].tolist()
     for size in sizes:
