@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -26,15 +27,20 @@ def _folding() -> tuple[str, str]:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents."""
+    """Lower case without accents. Text of one byte a character has none."""
     old, new = _folding()
-    return F.translate(F.lower(text), old, new)
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(F.lower(text), old, new))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once for each row however often it stands in use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def tokens(text: Column) -> Column:
     """Tokens of a free-text answer: folded, everything but a-z, 0-9 and blanks taken as a blank. Null stays null."""
     words = F.split(F.regexp_replace(fold(text), "[^a-z0-9 ]+", " "), " +")
-    return F.filter(words, lambda w: w != "")
+    return F.array_remove(words, "")
 
 
 def digest(*parts: Column | str) -> Column:

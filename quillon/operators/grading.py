@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import digest, tokens
+from ..functions.text import digest, once, tokens
 
 
 def single_choice(choice: Column, accepted: Column) -> Column:
@@ -22,11 +22,19 @@ def multiple_choice(chosen: Column, accepted: Column, least: Column | None = Non
 
 def free_text(text: Column, groups: list[list[str]], salt: str) -> Column:
     """groups: digests of tokens; every group needs one of its tokens in the text, in any order, among any others."""
-    own = F.transform(F.array_distinct(tokens(text)), lambda t: digest(salt, "tok", t))
-    hit = F.lit(True)
-    for group in groups:
-        hit = hit & F.arrays_overlap(own, F.array(*[F.lit(g) for g in group]))
-    return F.when(F.size(own) > 0, hit)
+    return once(tokens(text), lambda words: free_words(words, groups, salt))
+
+
+def free_words(words: Column, groups: list[list[str]], salt: str) -> Column:
+    """As free_text, of the text's tokens; these should be a plain column, as they stand here more than once."""
+
+    def verdict(own: Column) -> Column:
+        hit = F.lit(True)
+        for group in groups:
+            hit = hit & F.arrays_overlap(own, F.array(*[F.lit(g) for g in group]))
+        return hit
+
+    return F.when(F.size(words) > 0, once(F.transform(F.array_distinct(words), lambda t: digest(salt, "tok", t)), verdict))
 
 
 def graded(kind: Column, single: Column, multiple: Column, text: Column) -> Column:

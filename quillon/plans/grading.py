@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import digest, fold, tokens
+from ..functions.text import digest, fold, once, tokens
 from ..operators import grading as G
 from .registry import query, sql_query, table
 
@@ -29,14 +29,14 @@ _TOKENS = "list_filter(string_split(regexp_replace(strip_accents(lower(text)), '
     """,
 )
 def free_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("n_tokens"), G.free_text(F.col("text"), GROUP_DIGESTS, SALT).alias("verdict"))
+    graded = lambda w: F.struct(F.size(w).cast("long").alias("n_tokens"), G.free_words(w, GROUP_DIGESTS, SALT).alias("verdict"))
+    return table(spark, sf_dir, "documents").select("doc_id", once(tokens(F.col("text")), graded).alias("g")).select("doc_id", "g.n_tokens", "g.verdict")
 
 
 @query("r70_tokens", f"SELECT doc_id, len({_TOKENS}) AS n_tokens, sha256(array_to_string({_TOKENS}, ' ')) AS tokens_sha256 FROM documents")
 def token_digests(spark, sf_dir):
-    own = tokens(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(own).cast("long").alias("n_tokens"), F.sha2(F.array_join(own, " "), 256).alias("tokens_sha256"))
+    digests = lambda w: F.struct(F.size(w).cast("long").alias("n_tokens"), F.sha2(F.array_join(w, " "), 256).alias("tokens_sha256"))
+    return table(spark, sf_dir, "documents").select("doc_id", once(tokens(F.col("text")), digests).alias("d")).select("doc_id", "d.n_tokens", "d.tokens_sha256")
 
 
 @query("r71_sha256", "SELECT doc_id, sha256(text) AS text_sha256 FROM documents")
