@@ -25,9 +25,9 @@ def islands(df: DataFrame, keys: list[str], at: Column, gap: Column, order: list
 
 
 def centred_mean(value: Column, window, width: int = 5) -> Column:
-    """Moving mean of an odd width; what lies beyond the ends counts as zero, so the divisor stays the width."""
-    half = width // 2
-    return F.sum(value).over(window.rowsBetween(-half, half)) / F.lit(width)
+    """Moving mean; what lies beyond the ends counts as zero, so the divisor stays the width. An even width has one row more
+    before than after."""
+    return F.sum(value).over(window.rowsBetween(-(width // 2), (width - 1) // 2)) / F.lit(width)
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:

@@ -75,13 +75,11 @@ def axis_mean(spark, sf_dir):
     """,
 )
 def fold_with_flags(spark, sf_dir):
-    """One pass over each user's ordered events, with the last kind, a counter and a flag as state."""
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))
-    zero = F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("repeats"), F.lit(False).alias("any_error"))
-    step = lambda s, e: F.struct(
-        e["event_type"].alias("last"), (s["n"] + 1).alias("n"), (s["repeats"] + (s["last"] == e["event_type"]).cast("long")).alias("repeats"), (s["any_error"] | (e["event_type"] == "error")).alias("any_error")
-    )
-    return rows.select("user_id", F.aggregate("e", zero, step).alias("s")).select("user_id", "s.n", "s.repeats", "s.any_error")
+    """Each event sees the kind before it; counts and flags are then combined before the shuffle is over. No user's events
+    are ever held as one array."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", (F.col("event_type") == F.lag("event_type").over(order)).alias("again"))
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("again").alias("repeats"), F.bool_or(F.col("event_type") == "error").alias("any_error"))
 
 
 sql_query("a11_invalid_count", "SELECT l_returnflag, CAST(count_if(l_quantity <= 0 OR l_discount > 0.09) AS BIGINT) AS invalid FROM {lineitem} GROUP BY l_returnflag")

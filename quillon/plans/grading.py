@@ -123,10 +123,32 @@ def ordering_check(spark, sf_dir):
     return rows.groupBy("conv_id").agg(F.count_if(good).alias("placed"), F.count("*").alias("total"), F.bool_and(good).alias("solved"))
 
 
-@query("r63_game_trace")
+_WON = " OR ".join(f"(mine & {sum(1 << c for c in line)}) = {sum(1 << c for c in line)}" for line in G.LINES)
+
+
+@query(
+    "r63_game_trace",
+    f"""
+    WITH RECURSIVE m AS (
+        SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, CAST(1 << (event_id % 9) AS BIGINT) AS cell, event_type IN ('view', 'click') AS round,
+            row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS n
+        FROM events
+    ), g(user_id, day, i, o, x, last, winner, good) AS (
+        SELECT user_id, day, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', '', TRUE FROM m WHERE i = 1
+        UNION ALL
+        SELECT user_id, day, i, CASE WHEN round THEN mine ELSE o END, CASE WHEN round THEN x ELSE mine END, mark,
+            CASE WHEN {_WON} THEN mark ELSE winner END, good AND winner = '' AND ((o | x) & cell) = 0 AND mark <> last
+        FROM (
+            SELECT m.user_id, m.day, m.i, m.round, m.cell, g.o, g.x, g.last, g.winner, g.good,
+                CASE WHEN m.round THEN 'O' ELSE 'X' END AS mark, (CASE WHEN m.round THEN g.o ELSE g.x END) | m.cell AS mine
+            FROM g JOIN m ON m.user_id = g.user_id AND m.day = g.day AND m.i = g.i + 1)
+    )
+    SELECT user_id, day, n AS n_moves, good AS valid, CASE WHEN winner <> '' THEN 'won by ' || winner WHEN n = 9 THEN 'draw' ELSE 'in play' END AS label
+    FROM g JOIN (SELECT DISTINCT user_id, day, n FROM m) USING (user_id, day) WHERE i = n
+    """,
+)
 def game_trace(spark, sf_dir):
-    """Each user's events as moves: the cell from the event's number, the mark from its kind. No two engines share a fold,
-    so tests hold this against a plain loop."""
+    """Each user's events of a day as moves: the cell from the event's number, the mark from its kind."""
     cell = (F.col("event_id") % 9).cast("int").alias("cell")
     mark = F.when(F.col("event_type").isin("view", "click"), "O").otherwise("X").alias("mark")
     moves = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", cell, mark))).alias("m"))

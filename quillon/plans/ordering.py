@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .registry import query, sql_query, table
@@ -28,10 +29,11 @@ def first_match(spark, sf_dir):
 )
 def limit_with_rest(spark, sf_dir):
     """The first four lines of each order and how many more there are."""
-    lines = F.sort_array(F.collect_list("l_linenumber"))
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(lines.alias("l"))
-    shown = F.array_join(F.slice("l", 1, 4).cast("array<string>"), ",")
-    return rows.select("l_orderkey", shown.alias("shown"), F.greatest(F.size("l") - 4, F.lit(0)).cast("long").alias("more"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").withColumn("i", place)
+    first = F.sort_array(F.collect_list(F.when(F.col("i") <= 4, F.col("l_linenumber"))))
+    more = F.greatest(F.max("i") - 4, F.lit(0)).cast("long")
+    return rows.groupBy("l_orderkey").agg(F.array_join(first.cast("array<string>"), ",").alias("shown"), more.alias("more"))
 
 
 @query("o06_concatenation", "SELECT event_id, 'view' AS part FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, 'high' AS part FROM events WHERE value > 200")

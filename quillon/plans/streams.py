@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_folder
 from ..streaming import solved as S
 from .registry import query
 
 
 def _folders(spark) -> tuple[str, str]:
-    """(results, checkpoints), new for each run, in the shared checkpoint folder or, without one, a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="quillon-stream-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    root = f"{base}/stream-{uuid.uuid4().hex}"
+    """(results, checkpoints), new for each run, in the shared folder."""
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     return f"{root}/out", f"{root}/checkpoint"
 
 
@@ -71,3 +65,22 @@ def windowed_counts(spark, sf_dir):
     """Beyond the reference: tumbling windows under a watermark."""
     counts = S.windowed_counts(_events(spark, sf_dir), *_folders(spark))
     return counts.select(F.date_format(F.from_utc_timestamp("start", F.current_timezone()), "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query("k06_emitted_rows", """SELECT event_id, to_json({'tipo': event_type, 'id': user_id, 'ok': value > 100}) AS message FROM events""")
+def emitted_rows(spark, sf_dir):
+    """Every event as a message of a stream."""
+    message = F.to_json(F.struct(F.col("event_type").alias("tipo"), F.col("user_id").alias("id"), (F.col("value") > 100).alias("ok")))
+    return S.append_all(_events(spark, sf_dir).select("event_id", message.alias("message")), *_folders(spark))
+
+
+@query(
+    "d_interval_join",
+    """
+    SELECT p.event_id AS purchase_id, v.event_id AS view_id FROM events p JOIN events v ON p.user_id = v.user_id
+    WHERE p.event_type = 'purchase' AND v.event_type = 'view' AND v.ts BETWEEN p.ts - INTERVAL 6 HOUR AND p.ts
+    """,
+)
+def interval_join(spark, sf_dir):
+    """Beyond the reference: two streams joined on a key and a bound in time."""
+    return S.append_all(S.interval_join(_events(spark, sf_dir), "purchase", "view", "6 hours"), *_folders(spark)).select("purchase_id", "view_id")

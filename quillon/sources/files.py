@@ -1,10 +1,14 @@
-"""Sources: nested catalogues, job lists, configurations within pages."""
+"""Sources: nested catalogues, job lists, configurations within pages, tables in files of any format."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_folder
+
 from ..functions.text import or_default
 
 STAGE = "struct<id:string,titulo:string,titulo_bloqueado:string,acceso:string,requiere:array<string>,piezas:array<string>>"
@@ -51,3 +55,10 @@ def page_config(pages: DataFrame, schema: str, name: str = "D", column: str = "h
     """pages with config: the JSON object that a page's script assigns to `name`; null where there is none."""
     body = F.regexp_extract(column, rf"<script>(?:var |window\.)?{name}\s*=\s*(\{{.*?\}});?</script>", 1)
     return pages.withColumn("config", F.from_json(F.nullif(body, F.lit("")), schema))
+
+
+def stored(rows: DataFrame, kind: str, **options) -> DataFrame:
+    """The rows after a round through files of that format in the shared folder, read with their schema."""
+    path = f"{shared_folder(rows.sparkSession)}/{kind}-{uuid.uuid4().hex}"
+    rows.write.format(kind).options(**options).save(path)
+    return rows.sparkSession.read.format(kind).schema(rows.schema).options(**options).load(path)

@@ -68,10 +68,18 @@ def with_resets(events: DataFrame, folder: str, checkpoint: str, reset_kind: str
     ship(spark)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        # Batches of a group are parts in any order, so the last reset and the last time of each kind are kept, not the rows.
         kinds = set(state.get[0].split(",")) if state.exists and state.get[0] else set()
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for kind in rows["event_type"]:
-            kinds = set() if kind == reset_kind else kinds | {kind}
+        reset, last = None, {}
+        for rows in batches:
+            order = list(zip(rows["ts"], rows["event_id"], rows["event_type"]))
+            for kind in set(rows["event_type"]):
+                at = max(o[:2] for o in order if o[2] == kind)
+                if kind == reset_kind:
+                    reset = at if reset is None else max(reset, at)
+                else:
+                    last[kind] = max(at, last.get(kind, at))
+        kinds = {k for k, at in last.items() if reset is None or at > reset} | (kinds if reset is None else set())
         state.update((",".join(sorted(kinds)),))
         yield pd.DataFrame({"user_id": [key[0]], "n_solved": [len(kinds)]})
 
@@ -93,3 +101,11 @@ def windowed_counts(events: DataFrame, folder: str, checkpoint: str, late: str =
 
     _drain(counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     return latest(counts.sparkSession.read.parquet(folder), ["start", "event_type"], ["batch"], ["n"])
+
+
+def interval_join(events: DataFrame, kind: str, earlier: str, within: str, late: str = "1 hour") -> DataFrame:
+    """Ids of events of a kind and of those of the other kind at most `within` before them, by user. Watermarks and the bound
+    tell how long a row of either side can still meet another, so state does not grow with the stream."""
+    side = lambda name, value: events.filter(F.col("event_type") == value).select(F.col("event_id").alias(f"{name}_id"), F.col("user_id").alias(f"{name}_user"), F.col("ts").alias(f"{name}_ts")).withWatermark(f"{name}_ts", late)
+    near = F.expr(f"{kind}_user = {earlier}_user AND {earlier}_ts BETWEEN {kind}_ts - INTERVAL {within} AND {kind}_ts")
+    return side(kind, kind).join(side(earlier, earlier), near)
