@@ -31,7 +31,8 @@ def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.removed(_read(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
+    found = suffix_dedup.removed(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
-    return byte_bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("ids")
+    ids = byte_bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return ids.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,6 +169,28 @@ def test_simhash_dense_group(spark, hot):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_a_hot_key_of_simhash(spark):
+    """30,000 fingerprints of one key, most of them far apart: the key grows longer and the planted pairs are linked."""
+    rng = np.random.default_rng(21)
+    values = set((rng.integers(0, 1 << 45, 30_000, dtype=np.uint64) << np.uint64(19) | np.uint64(0b1010101)).tolist())
+    pairs = []
+    for v in sorted(values)[:40]:
+        w = v
+        for bit in rng.choice(np.arange(19, 64), 4, replace=False):
+            w ^= 1 << int(bit)
+        pairs.append((v, w))
+        values.add(w)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    nodes = spark.createDataFrame([(signed(v),) for v in values], "fp bigint")
+    found = {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.links(nodes).collect()}
+    assert all(bin((a ^ b) & (1 << 64) - 1).count("1") <= 4 for a, b in found)
+    from quillon.llm.components import components as joined
+
+    root = {r.node: r.root for r in joined(spark.createDataFrame(sorted(found), "a bigint, b bigint")).collect()}
+    for v, w in pairs:
+        assert root.get(signed(v), signed(v)) == root.get(signed(w), signed(w))
+
+
 def test_components_of_paths_and_loops(spark):
     from quillon.llm.components import components as joined
 
@@ -200,6 +222,12 @@ def test_suffix_dedup(spark, docs, nothing):
     frame_ = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(frame_, window=24, gram=8, block=500).collect()}
     assert [got[i] for i in range(len(texts))] == removed(texts, 24)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 7)  # how rows lie in files plays no part
+    try:
+        again = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(frame_, window=24, gram=8, block=500).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert again == got
     hot = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(frame_, window=24, gram=8, hot=1).collect()}
     assert hot == got
     rows = docs.filter("length(text) < 1000 or text is null").collect()
