@@ -45,41 +45,60 @@ def _mix(x: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
 class PerfectHash:
     """Minimal perfect hash by hash and displace: n keys fill n slots without gaps or collisions.
 
-    A key's first hash names its group. Groups, the largest first, try displacements until their keys all fall into
-    free slots; the displacement of each group is all that is stored, besides the keys for the check of a hit.
+    A key's first hash names its group. Groups, the largest first, try displacements until their keys all fall into free
+    slots; all groups of one size try the same one at once. A group of one key names a slot that is left. What each group
+    found is all that is stored, besides the keys for the check of a hit.
     """
 
     def __init__(self, keys: list[bytes], per_group: int = 4):
         self.n, self.groups = len(keys), max(1, len(keys) // per_group)
         first = self.digest(keys)
         group = (first % np.uint64(self.groups)).astype(np.int64)
-        self.displace = np.zeros(self.groups, np.uint64)
-        self.slot_key: list[bytes] = [b""] * self.n
-        self.slot_index = np.zeros(self.n, np.int64)
-        taken = np.zeros(self.n, bool)
+        #: A displacement, or a slot as -1 - slot.
+        self.displace = np.zeros(self.groups, np.int64)
+        slot_of = np.zeros(self.n, np.int64)
+        taken, owner = np.zeros(self.n, bool), np.zeros(self.n, np.int64)
         order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(self.groups + 1))
-        tries = np.arange(1, 65, dtype=np.uint64)
-        for g in np.argsort(-np.diff(bounds), kind="stable").tolist():
-            members = order[bounds[g] : bounds[g + 1]]
-            if not len(members):
-                break
-            base = np.uint64(0)
-            while True:
-                slots = (_mix(first[members][None, :], (tries + base)[:, None]) % np.uint64(self.n)).astype(np.int64)
-                good = ~taken[slots].any(axis=1)
-                if len(members) > 1:
-                    ordered = np.sort(slots, axis=1)
-                    good &= (ordered[:, 1:] != ordered[:, :-1]).all(axis=1)
+        size = np.bincount(group, minlength=self.groups)
+        begin = np.cumsum(size) - size
+        for width in range(int(size.max(initial=0)), 1, -1):
+            open_ = np.flatnonzero(size == width)
+            displacement = 0
+            while len(open_) > 64:
+                displacement += 1
+                members = order[begin[open_][:, None] + np.arange(width)]
+                slots = self._slots(first[members], np.uint64(displacement))
+                rows = np.flatnonzero(self._free(slots, taken))
+                owner[slots[rows[::-1]]] = rows[::-1, None]  # of groups that want one slot, the first has it
+                won = rows[(owner[slots[rows]] == rows[:, None]).all(axis=1)]
+                taken[slots[won]] = True
+                slot_of[members[won]] = slots[won]
+                self.displace[open_[won]] = displacement
+                open_ = np.delete(open_, won)
+            for g in open_.tolist():  # the last ones, each with many displacements at once
+                members, tries = order[begin[g] : begin[g] + width], np.arange(1, 4097, dtype=np.uint64)
+                while not (good := self._free(slots := self._slots(first[members][None, :], tries[:, None]), taken)).any():
+                    tries += np.uint64(len(tries))
                 hit = int(good.argmax())
-                if good[hit]:
-                    break
-                base += np.uint64(len(tries))
-                tries = np.arange(1, min(2 * len(tries), 8192) + 1, dtype=np.uint64)
-            self.displace[g] = tries[hit] + base
-            taken[slots[hit]] = True
-            for s, m in zip(slots[hit].tolist(), members.tolist()):
-                self.slot_key[s], self.slot_index[s] = keys[m], m
+                taken[slots[hit]] = True
+                slot_of[members] = slots[hit]
+                self.displace[g] = int(tries[hit])
+        single = np.flatnonzero(size == 1)
+        left = np.flatnonzero(~taken)
+        self.displace[single] = -1 - left
+        slot_of[order[begin[single]]] = left
+        self.slot_index = np.zeros(self.n, np.int64)
+        self.slot_index[slot_of] = np.arange(self.n)
+        self.slot_key = [keys[i] for i in self.slot_index.tolist()]
+
+    @staticmethod
+    def _free(slots: np.ndarray, taken: np.ndarray) -> np.ndarray:
+        """Rows of different slots that are free."""
+        ordered = np.sort(slots, axis=1)
+        return ~taken[slots].any(axis=1) & (ordered[:, 1:] != ordered[:, :-1]).all(axis=1)
+
+    def _slots(self, first: np.ndarray, displacement: np.ndarray | np.uint64) -> np.ndarray:
+        return (_mix(first, displacement) % np.uint64(self.n)).astype(np.int64)
 
     @staticmethod
     def digest(keys: list[bytes]) -> np.ndarray:
@@ -100,7 +119,8 @@ class PerfectHash:
         if not self.n or not keys:
             return np.full(len(keys), -1, np.int64)
         first = self.digest(keys)
-        slots = (_mix(first, self.displace[(first % np.uint64(self.groups)).astype(np.int64)]) % np.uint64(self.n)).astype(np.int64)
+        found = self.displace[(first % np.uint64(self.groups)).astype(np.int64)]
+        slots = np.where(found < 0, -1 - found, self._slots(first, found.astype(np.uint64)))
         held = self.slot_key
         same = np.fromiter((held[s] == k for s, k in zip(slots.tolist(), keys)), bool, len(keys))
         return np.where(same, self.slot_index[slots], -1)

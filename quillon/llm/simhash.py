@@ -219,13 +219,17 @@ def _search(fp: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def rooted(docs: DataFrame, shingle: int = 4, seed: int = 42, hot: int = HOT) -> DataFrame:
-    """doc_id, row, fp and root (the smallest fingerprint reachable over links) of every row of docs."""
-    prints = written(fingerprints(docs, shingle, seed), "fingerprints")
+def _roots(prints: DataFrame, hot: int) -> DataFrame:
+    """fp and root (the smallest fingerprint reachable over links) of every fingerprint."""
     nodes = written(prints.select("fp").distinct(), "fingerprint-nodes")
     roots = components(links(nodes, hot)).withColumnRenamed("node", "fp")
-    named = written(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "fingerprint-roots")
-    return prints.join(named, "fp").select("doc_id", "row", "fp", "root")
+    return written(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "fingerprint-roots")
+
+
+def rooted(docs: DataFrame, shingle: int = 4, seed: int = 42, hot: int = HOT) -> DataFrame:
+    """doc_id, row, fp and root of every row of docs."""
+    prints = written(fingerprints(docs, shingle, seed), "fingerprints")
+    return prints.join(_roots(prints, hot), "fp").select("doc_id", "row", "fp", "root")
 
 
 def near_groups(docs: DataFrame, shingle: int = 4, seed: int = 42, hot: int = HOT) -> DataFrame:
@@ -234,9 +238,11 @@ def near_groups(docs: DataFrame, shingle: int = 4, seed: int = 42, hot: int = HO
     Null and empty texts, and texts of white space, have fingerprint 0 and are linked like any others. Rows that repeat
     count once each. A null doc_id is never a component_id unless its component has no other. An empty table gives no rows.
     """
-    rows = rooted(docs, shingle, seed, hot)
-    least = written(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "component-ids")
-    return rows.join(least, "root").select("doc_id", "fp", "component_id")
+    prints = written(fingerprints(docs, shingle, seed), "fingerprints")
+    named = _roots(prints, hot)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(named, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = written(named.join(least, "root").select("fp", "component_id"), "component-ids")
+    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 4, seed: int = 42, hot: int = HOT) -> DataFrame:
