@@ -107,10 +107,13 @@ def five_words(text):
     return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_near_stage_links_all_similar_pairs(spark, docs, nothing):
+@pytest.mark.parametrize("split", [shingle_sets.SPLIT, 2])
+def test_near_stage_links_all_similar_pairs(spark, docs, nothing, split, monkeypatch):
     """Edited copies of random texts, against all pairs; the stage keeps one row of each component."""
     import corpus_pipeline
 
+    monkeypatch.setattr(shingle_sets, "SPLIT", split)
+
     rng = np.random.default_rng(11)
     texts = []
     for _ in range(12):
