@@ -16,10 +16,15 @@ from ..functions.shipping import ship
 from ..operators.sequences import latest
 
 
-def read_events(spark: SparkSession, glob: str) -> DataFrame:
-    """Events as a stream; the schema comes from the files there are. Zone-less times become UTC times for watermarks."""
-    schema = spark.read.parquet(glob).schema
-    return spark.readStream.schema(schema).parquet(glob).withColumn("ts", F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
+def read_events(spark: SparkSession, glob: str, files_a_batch: int | None = None) -> DataFrame:
+    """Events as a stream; the schema comes from the files there are. Zone-less times become UTC times for watermarks.
+
+    files_a_batch bounds a micro-batch; without it, a first batch holds all files that are there.
+    """
+    reader = spark.readStream.schema(spark.read.parquet(glob).schema)
+    if files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
+    return reader.parquet(glob).withColumn("ts", F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
 
 
 def accepted(events: DataFrame) -> DataFrame:
