@@ -241,6 +241,7 @@ def near_groups(docs: DataFrame, shingle: int = 4, seed: int = 42, hot: int = HO
     prints = written(fingerprints(docs, shingle, seed), "fingerprints")
     named = _roots(prints, hot)
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(named, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    least = written(least, "least-of-components")
     ids = written(named.join(least, "root").select("fp", "component_id"), "component-ids")
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 

@@ -17,7 +17,8 @@ bytes are a longer key. Ranges shrink until few contexts share a key; in the end
 bytes of a window.
 
 The same arrays show strings of SHORT bytes that repeat, and these are counted as well. They are not all there are: two
-places of a string shorter than WINDOW meet only where it holds the anchor of both, as most strings of 300 bytes do.
+places of a string shorter than WINDOW meet only where it holds the anchor of both, as most strings of 300 bytes do, and
+behind the windows of a context only some places are looked at.
 """
 
 from __future__ import annotations
@@ -282,14 +283,17 @@ def _common_prefixes(text: Sorted, order: np.ndarray, chunk: int = 4096) -> np.n
 
 def repeated_starts(contexts: list[bytes], weights: np.ndarray, window: int = WINDOW, short: int = SHORT) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each context: where its strings of `window` bytes start, and those of `short`, that occur twice, counted by
-    weight, among all contexts."""
+    weight, among all contexts. Of the latter, those that start behind the last window are looked at where their first
+    bytes say so, at one place in eight."""
     lengths = np.fromiter(map(len, contexts), np.int64, len(contexts))
     data = np.frombuffer(b"".join(contexts), np.uint8)
     begin = np.cumsum(lengths) - lengths
     owner = np.repeat(np.arange(len(contexts)), lengths)
     left = lengths[owner] - (np.arange(len(data)) - begin[owner])  # bytes to the end of the context
     text = Sorted.of(data, window)
-    order = _suffix_array(text, left >= short)
+    with np.errstate(over="ignore"):
+        picked = (text.key[: len(data)] * np.uint64(_ODD)) >> np.uint64(61) == 0  # the same places in equal strings
+    order = _suffix_array(text, (left >= window) | ((left >= short) & picked))
     shared = _common_prefixes(text, order)
     found = []
     for width in (window, short):
@@ -329,7 +333,7 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, short: int
     texts = numbered(docs, "texts")
     # Of equal texts, one stands for all, with their number; all that is long enough in them repeats.
     shas = written(texts.select("rid", F.unhex(F.sha2("text", 256)).alias("sha")), "text-digests")
-    same = shas.groupBy("sha").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    same = written(shas.groupBy("sha").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "repeated-texts")
     same = written(shas.join(same, "sha").select("rid", F.when(F.col("rid") == F.col("first"), F.col("copies")).alias("copies")), "equal-texts")
     different = texts.join(same.withColumn("equal", F.lit(True)), "rid", "left").filter("equal is null or copies is not null")
     marks = written(_anchor_rows(different.select("rid", F.coalesce("copies", F.lit(1)).alias("copies"), "text"), window, gram), "anchors")
