@@ -25,9 +25,10 @@ _MARK = "\x00"
 
 @dataclass
 class Pieces:
-    """unique: the different pieces; ids: for each piece its place there; starts: first piece of each text, and the end."""
+    """unique: the different pieces, some of them twice; ids: for each piece its place there; starts: first piece of each
+    text, and the end."""
 
-    unique: list[str]
+    unique: pa.Array
     ids: np.ndarray
     starts: np.ndarray
 
@@ -38,15 +39,15 @@ def cut(texts: pa.Array) -> Pieces:
     odd = np.flatnonzero(pc.match_substring_regex(texts, _UNUSUAL).to_numpy(zero_copy_only=False))
     starts = lists.offsets.to_numpy().astype(np.int64)
     coded = lists.flatten().dictionary_encode()
-    unique, ids = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    unique, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
     starts = starts - starts[0]
     if len(odd):
-        place = {piece: i for i, piece in enumerate(unique)}
+        place: dict[str, int] = {}
         runs = np.split(ids, starts[1:-1])
         for i in odd.tolist():
             own = _PIECE.findall(texts[i].as_py())
-            runs[i] = np.fromiter((place.setdefault(piece, len(place)) for piece in own), np.int64, len(own))
-        unique, ids = list(place), np.concatenate(runs)
+            runs[i] = len(unique) + np.fromiter((place.setdefault(piece, len(place)) for piece in own), np.int64, len(own))
+        unique, ids = pa.concat_arrays([unique, pa.array(list(place), unique.type)]), np.concatenate(runs)
         starts = np.concatenate([[0], np.cumsum([len(r) for r in runs])])
     return Pieces(unique, ids, starts)
 
@@ -67,28 +68,59 @@ def ranges(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(end[-1]) if len(end) else 0) + np.repeat(begin - (end - lengths), lengths)
 
 
+def digests(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each piece, all pieces at once: polynomials of its bytes to two odd bases."""
+    if not len(pieces):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    ends = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]  # of large strings
+    data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
+    begin, lengths = ends[:-1] - ends[0], np.diff(ends)
+    place = np.arange(len(data)) - np.repeat(begin, lengths)
+    found = []
+    with np.errstate(over="ignore"):
+        for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+            powers = np.cumprod(np.full(int(lengths.max(initial=0)) + 1, base, np.uint64))
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * powers[place])])
+            x = total[begin + lengths] - total[begin] + lengths.astype(np.uint64)
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            found.append(x ^ (x >> np.uint64(29)))
+    return found[0], found[1]
+
+
 class _Store:
-    """Ids of pieces, in arrays that grow by doubling."""
+    """Ids of pieces by their digests, about 40 bytes a piece: the first digest in order, the second for the check of a hit,
+    and the place of the ids in arrays that grow by doubling."""
 
     def __init__(self):
-        self.place: dict[str, int] = {}
-        self.flat, self.ends, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+        self.first, self.second, self.row = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.ends, self.used, self.rows = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0, 0
 
-    def add(self, pieces: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
-        n = len(self.place)
-        while n + len(pieces) + 1 > len(self.ends):
+    def add(self, first: np.ndarray, second: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> None:
+        """Pieces that are not held yet, each once."""
+        n = len(first)
+        while self.rows + n + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(flat)] = flat
-        self.ends[n + 1 : n + 1 + len(pieces)] = self.used + np.cumsum(lengths)
-        self.used += len(flat)
-        self.place.update(zip(pieces, range(n, n + len(pieces))))
-
-    def get(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
-        begin = self.ends[at]
-        lengths = self.ends[at + 1] - begin
+        self.ends[self.rows + 1 : self.rows + 1 + n] = self.used + np.cumsum(lengths)
+        order = np.argsort(first)
+        at = np.searchsorted(self.first, first[order])
+        self.first, self.second = np.insert(self.first, at, first[order]), np.insert(self.second, at, second[order])
+        self.row = np.insert(self.row, at, self.rows + order)
+        self.used, self.rows = self.used + len(flat), self.rows + n
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Row of each piece, or -1."""
+        if not len(self.first):
+            return np.full(len(first), -1)
+        at = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
+        return np.where((self.first[at] == first) & (self.second[at] == second), self.row[at], -1)
+
+    def get(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, flat ids) of those rows."""
+        begin = self.ends[rows]
+        lengths = self.ends[rows + 1] - begin
         return lengths, self.flat[ranges(begin, lengths)]
 
 
@@ -96,32 +128,42 @@ class Memory:
     """Ids of pieces seen before in this process, in two generations: when the younger one holds `most` pieces, it takes the
     place of the older one. Pieces found in the older one move to the younger, so common ones stay.
 
-    learn: gives (lengths, flat ids) of pieces that are not held; it is given `step` pieces at a time, so that what it
-    makes on the way stays small.
+    Pieces are told apart by 128 bits. learn: gives (lengths, flat ids) of pieces that are not held; it is given `step`
+    pieces at a time, so that what it makes on the way stays small.
     """
 
-    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 150_000, step: int = 1 << 15):
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000, step: int = 1 << 15):
         self.learn, self.most, self.step = learn, most, step
         self.young, self.old = _Store(), _Store()
 
-    def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, flat ids) of the pieces in their order."""
-        if len(self.young.place) > self.most:
+        if self.young.rows > self.most:
             self.young, self.old = _Store(), self.young
-        place, before = self.young.place, self.old.place
-        missing = [p for p in pieces if p not in place]
-        again = [p for p in missing if p in before]
-        if again:
-            self.young.add(again, *self.old.get(again))
-            missing = [p for p in missing if p not in before]
-        if missing:
-            collecting = gc.isenabled()
-            gc.disable()  # millions of small lists without cycles; looking for cycles among them costs a third of the time
-            try:
-                for a in range(0, len(missing), self.step):
-                    part = missing[a : a + self.step]
-                    self.young.add(part, *self.learn(part))
-            finally:
-                if collecting:
-                    gc.enable()
-        return self.young.get(pieces)
+        first, second = digests(pieces)
+        missing = np.flatnonzero(self.young.find(first, second) < 0)
+        missing = missing[np.unique(first[missing], return_index=True)[1]]
+        before = self.old.find(first[missing], second[missing])
+        again = missing[before >= 0]
+        if len(again):
+            self.young.add(first[again], second[again], *self.old.get(before[before >= 0]))
+            missing = missing[before < 0]
+        if len(missing):
+            self._learn(pieces.take(pa.array(missing)), first[missing], second[missing])
+        rows = self.young.find(first, second)
+        clash = np.flatnonzero(rows < 0)  # another piece has the same first digest
+        if not len(clash):
+            return self.young.get(rows)
+        lengths, flat = self.learn(pieces.to_pylist())
+        return lengths, flat
+
+    def _learn(self, pieces: pa.Array, first: np.ndarray, second: np.ndarray) -> None:
+        collecting, parts = gc.isenabled(), []
+        gc.disable()  # millions of small lists without cycles; looking for cycles among them costs a third of the time
+        try:
+            for a in range(0, len(pieces), self.step):
+                parts.append(self.learn(pieces.slice(a, self.step).to_pylist()))
+        finally:
+            if collecting:
+                gc.enable()
+        self.young.add(first, second, *(np.concatenate(x) for x in zip(*parts)))

@@ -6,11 +6,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillon.llm import byte_bpe, chunk_dedup, exact_dedup, knn, mixing, quality, shingle_sets, simhash, sstable, store, suffix_dedup, toxicity
+from quillon.llm import byte_bpe, chunk_dedup, exact_dedup, knn, mixing, pretokens, quality, shingle_sets, simhash, sstable, store, suffix_dedup, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 RANKS, PATTERN, LIBRARY = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
@@ -525,3 +526,20 @@ def test_classifiers_score_every_row(spark, docs, nothing):
         assert module.scored(docs, constant).filter(f"{column} between 0 and 1").count() == docs.count()
     kept = quality.accepted(docs, quality.train(docs, labels))
     assert kept.columns == docs.columns
+
+
+def test_memory_of_pieces():
+    """What is given out is what learn gives, over generations, for pieces that come twice and for none."""
+    asked = []
+
+    def learn(pieces):
+        asked.extend(pieces)
+        return np.array([len(p) for p in pieces]), np.array([ord(c) for p in pieces for c in p], np.uint32)
+
+    memory, rng = pretokens.Memory(learn, most=40, step=16), np.random.default_rng(0)
+    for _ in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 90, rng.integers(0, 30))] + ["", "é", "w1"]
+        lengths, flat = memory.ids(pa.array(words, pa.large_string()).slice(0))
+        assert lengths.tolist() == [len(w) for w in words] and flat.tolist() == [ord(c) for w in words for c in w]
+    assert 92 <= len(asked) < 60 * 20 and asked.count("w1") == 1  # common pieces stay
+    assert memory.ids(pa.array([], pa.large_string()))[0].tolist() == []
