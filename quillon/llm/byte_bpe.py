@@ -235,8 +235,9 @@ def encoded(docs: DataFrame, path: str, pattern: str, most_bytes: int = 3 << 20)
     table gives no rows. Texts are taken in slices of most_bytes, and a longer one by itself.
     """
     ship(docs.sparkSession)
-    schema = "doc_id bigint, n_tokens bigint, ids binary, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: given_back(_encode(batches, path, pattern, most_bytes)), schema)
+    docs = docs.select("doc_id", "text")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids binary, ids_sha256 string, decoded_sha256 string"
+    return docs.mapInArrow(lambda batches: given_back(_encode(batches, path, pattern, most_bytes)), schema)
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -250,6 +251,6 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str, most_byt
             ids_of = [raw[4 * s : 4 * e] for s, e in zip(bounds, bounds[1:])]
             back = [sha(own.decode(ids[s:e])).hexdigest() for s, e in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(np.diff(starts)), pa.array(ids_of, pa.binary()), pa.array([sha(x).hexdigest() for x in ids_of]), pa.array(back)],
+                [batch.column(0).slice(a, b - a), pa.array(np.diff(starts)), pa.array(ids_of, pa.binary()), pa.array([sha(x).hexdigest() for x in ids_of]), pa.array(back)],
                 ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
             )
