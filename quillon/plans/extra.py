@@ -17,6 +17,12 @@ sql_query(
 )
 
 
+# One join in three ways; nation is a fixed list, so it may be broadcast by name.
+_BY_NATION = "SELECT /*+ {hint} */ n_name, count(*) AS n, CAST(sum(CAST(c_acctbal AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM {{customer}} c JOIN {{nation}} n ON c.c_nationkey = n.n_nationkey GROUP BY n_name"
+for _name, _hint in (("d_merge_join", "MERGE(c, n)"), ("d_shuffled_hash_join", "SHUFFLE_HASH(n)"), ("d_broadcast_join", "BROADCAST(n)")):
+    sql_query(_name, _BY_NATION.format(hint=_hint))
+
+
 @query(
     "d_range_join",
     "SELECT s_suppkey, count(*) AS n, min(p_partkey) AS least FROM part JOIN supplier ON p_retailprice BETWEEN s_acctbal - 50 AND s_acctbal + 50 GROUP BY s_suppkey",
