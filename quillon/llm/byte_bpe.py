@@ -226,7 +226,7 @@ def codec(path: str, pattern: str) -> Codec:
     return _HELD[path, pattern]
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, most_bytes: int = 3 << 20) -> DataFrame:
+def encoded(docs: DataFrame, path: str, pattern: str, most_bytes: int = 2 << 20) -> DataFrame:
     """Encodes every whole text and decodes the ids again.
 
     docs: doc_id, text; other columns are not read. path: a rank file that every executor has, like the library itself.

@@ -132,7 +132,7 @@ class Memory:
     pieces at a time, so that what it makes on the way stays small.
     """
 
-    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 600_000, step: int = 1 << 15):
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000, step: int = 1 << 15):
         self.learn, self.most, self.step = learn, most, step
         self.young, self.old = _Store(), _Store()
 

@@ -232,7 +232,7 @@ def _encoder(path: str) -> LibraryEncoder:
         return _ENCODERS[path]
 
 
-def write_shards(docs: DataFrame, target: str, tokenizer: str, end_id: int = 0, shards: int | None = None, shard_bytes: int = 32 << 20, most_bytes: int = 4 << 20) -> None:
+def write_shards(docs: DataFrame, target: str, tokenizer: str, end_id: int = 0, shards: int | None = None, shard_bytes: int = 32 << 20, most_bytes: int = 3 << 20) -> None:
     """Encodes every whole text of docs (doc_id, text) and writes shards in ascending doc_id order to the folder target.
 
     A task holds one shard at a time and begins the next one when that has shard_bytes.
