@@ -11,6 +11,7 @@ from __future__ import annotations
 import gc
 from collections.abc import Callable
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -69,22 +70,10 @@ def ranges(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def digests(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each piece, all pieces at once: polynomials of its bytes to two odd bases."""
-    if not len(pieces):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    ends = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]  # of large strings
-    data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
-    begin, lengths = ends[:-1] - ends[0], np.diff(ends)
-    place = np.arange(len(data)) - np.repeat(begin, lengths)
-    found = []
-    with np.errstate(over="ignore"):
-        for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
-            powers = np.cumprod(np.full(int(lengths.max(initial=0)) + 1, base, np.uint64))
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * powers[place])])
-            x = total[begin + lengths] - total[begin] + lengths.astype(np.uint64)
-            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-            found.append(x ^ (x >> np.uint64(29)))
-    return found[0], found[1]
+    """The two halves of a BLAKE2b digest of 128 bits of each piece's bytes, as no arithmetic hash tells all texts apart."""
+    raw = b"".join([blake2b(p, digest_size=16).digest() for p in pieces.cast(pa.large_binary()).to_pylist()])
+    both = np.frombuffer(raw, "<u8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 class _Store:
@@ -128,7 +117,7 @@ class Memory:
     """Ids of pieces seen before in this process, in two generations: when the younger one holds `most` pieces, it takes the
     place of the older one. Pieces found in the older one move to the younger, so common ones stay.
 
-    Pieces are told apart by 128 bits. learn: gives (lengths, flat ids) of pieces that are not held; it is given `step`
+    Pieces are told apart by digests of 128 bits, whatever their length. learn: gives (lengths, flat ids) of pieces that are not held; it is given `step`
     pieces at a time, so that what it makes on the way stays small.
     """
 

@@ -540,3 +540,23 @@ def test_memory_of_pieces():
         assert lengths.tolist() == [len(w) for w in words] and flat.tolist() == [ord(c) for w in words for c in w]
     assert 92 <= len(asked) < 60 * 20 and asked.count("w1") == 1  # common pieces stay
     assert memory.ids(pa.array([], pa.large_string()))[0].tolist() == []
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+@pytest.mark.parametrize("letters", ["ab", "AB", "01", "aA", "éè"])
+def test_pieces_that_arithmetic_hashes_confuse(n, letters):
+    """A Thue-Morse word and its complement agree in polynomials modulo 2^64, whatever the odd base."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    words = ["".join(letters[(i.bit_count() + k) % 2] for i in range(n)) for k in (0, 1)]
+    texts = [*words, f"{words[1]} {words[0]}", " ".join(words)]
+    column = pa.array(texts, pa.large_string())
+    own = byte_bpe.codec(RANKS, PATTERN)
+    plain = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+    ids, starts = own.encode_batch(column)
+    library, encoder = Tokenizer.from_file(LIBRARY), sstable.LibraryEncoder(LIBRARY)
+    for i, (text, got) in enumerate(zip(texts, encoder.batch(column))):
+        mine = ids[starts[i] : starts[i + 1]].tolist()
+        assert mine == plain.encode_ordinary(text) and own.decode(mine) == text.encode()
+        assert got.tolist() == library.encode(text, add_special_tokens=False).ids
