@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chunk_dedup, exact_dedup, knn, mixing, quality, sampling, simhash, sstable, store, suffix_dedup, toxicity
+from . import byte_bpe, chunk_dedup, exact_dedup, knn, merkle, mixing, quality, sampling, simhash, sstable, store, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -76,6 +76,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = _read(spark, sf_dir, "documents", *columns)
+    lowered = F.when(F.col("text").isNotNull(), exact_dedup.normalised(F.col("text")))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf(*[F.col(c) for c in columns[:-1]], lowered))
+    return merkle.proofs(docs, columns, "source", "doc_id", tampered).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_mixing": op2_mixing,
@@ -87,6 +95,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_top_k": op9_top_k,
     "op10_quality": op10_quality,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLES = {
