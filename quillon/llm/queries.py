@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chunk_dedup, exact_dedup, knn, merkle, mixing, quality, sampling, simhash, sstable, store, suffix_dedup, toxicity
+from . import byte_bpe, chunk_dedup, exact_dedup, knn, merkle, mixing, quality, sampling, simhash, sstable, store, suffix_dedup, toxicity, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -84,6 +84,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(docs, columns, "source", "doc_id", tampered).withColumnRenamed("id", "doc_id")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, whole = _read(spark, sf_dir, "embeddings", "vec_id", "embedding"), {"scale": 1024.0, "shift": 100_000}
+    rows = whitening.whitened(vectors, whitening.fitted(vectors, **whole), **whole)
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_mixing": op2_mixing,
@@ -96,6 +102,7 @@ QUERIES = {
     "op9_top_k": op9_top_k,
     "op10_quality": op10_quality,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLES = {
