@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chunk_dedup, exact_dedup, knn, merkle, mixing, quality, sampling, simhash, sstable, store, suffix_dedup, toxicity, whitening
+from . import byte_bpe, chunk_dedup, combinations, exact_dedup, knn, merkle, mixing, quality, sampling, simhash, sstable, store, suffix_dedup, toxicity, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -90,6 +90,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return combinations.similar_groups(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_mixing": op2_mixing,
@@ -103,6 +107,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_whitening": op12_whitening,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 ORACLES = {
