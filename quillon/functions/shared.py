@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,3 +22,31 @@ def shared_folder(spark: SparkSession) -> str:
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
+
+
+_RUN = uuid.uuid4().hex
+_ROOTS: set[str] = set()
+
+
+def held(df: DataFrame) -> DataFrame:
+    """The rows of df, written as Parquet in the shared folder and read back.
+
+    Iterations go on from there: their plans do not grow from round to round, and a lost executor replays one round at most.
+    The files go when the process ends.
+    """
+    spark = df.sparkSession
+    root = f"{shared_folder(spark)}/quillon-rounds-{_RUN}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(_remove, spark, root)
+    path = f"{root}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session has gone already; the folder is left to the cluster's own cleaning
+        pass

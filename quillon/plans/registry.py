@@ -43,7 +43,7 @@ def sql_query(name: str, text: str, oracle: str | None = None) -> None:
 
 
 def _load() -> None:
-    from . import aggregates, extra, grading, joins, ordering, scalars, scans, streams, windows  # noqa: F401
+    from . import aggregates, beyond, extra, grading, graphs, joins, ordering, scalars, scans, streams, windows  # noqa: F401
 
 
 _load()
