@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.shared import shared_folder
+from ..streaming import keyed as K
 from ..streaming import solved as S
 from .registry import query
 
@@ -51,7 +52,23 @@ def derived_view(spark, sf_dir):
     """,
 )
 def reset(spark, sf_dir):
-    return S.with_resets(_events(spark, sf_dir), *_folders(spark))
+    return K.progress(_events(spark, sf_dir), *_folders(spark)).select("user_id", "n_solved")
+
+
+@query(
+    "t05_recent_views",
+    """
+    WITH r AS (SELECT user_id, max((ts, event_id)) FILTER (event_type = 'error') AS reset_at FROM events GROUP BY user_id),
+    e AS (SELECT *, reset_at IS NULL OR (ts, event_id) > reset_at AS counts, ts + INTERVAL 72 HOUR > (SELECT max(ts) - INTERVAL 1 HOUR FROM events) AS fresh FROM events JOIN r USING (user_id))
+    SELECT user_id, coalesce(string_agg(DISTINCT event_type, ',' ORDER BY event_type) FILTER (event_type <> 'error' AND counts), '') AS kinds,
+        count(*) FILTER (event_type = 'view' AND counts AND fresh) AS n_recent, count(*) FILTER (event_type = 'view' AND counts AND fresh) > 0 AS seen
+    FROM e GROUP BY user_id
+    """,
+)
+def recent_views(spark, sf_dir):
+    """Flags, resets and a marker that expires, as one processor: timers take off what the watermark has left behind."""
+    found = K.progress(_events(spark, sf_dir), *_folders(spark))
+    return found.select("user_id", F.array_join("kinds", ",").alias("kinds"), "n_recent", "seen")
 
 
 @query("t05_seen_marker", "SELECT user_id, count(*) > 0 AS seen FROM events WHERE event_type = 'view' GROUP BY user_id")

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from quillon.operators import ranges
-from quillon.streaming import solved
+from quillon.streaming import keyed, solved
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
 START = datetime(2024, 1, 1, 12)
@@ -64,3 +64,44 @@ def test_as_of_join_takes_equal_times(spark):
     facts = spark.createDataFrame([("a", 5, 1, "x"), ("a", 5, 2, "y"), ("a", 6, 3, "z")], "k string, t int, o int, v string")
     got = {r.o: r.last for r in ranges.as_of_join(rows, facts, "k", "t", "o", "v", "last").collect()}
     assert got == {1: "y", 2: None, 3: None}
+
+
+def snapshot(df):
+    return {r.user_id: (r.kinds, r.n_recent, r.seen) for r in df.collect()}
+
+
+def batch_answer(rows, watermark, hours=72):
+    """What the processor returns, of all rows (event_id, hour, user, kind, value) at once."""
+    out = {}
+    for user in {r[2] for r in rows}:
+        own = [(h, i, k) for i, h, u, k, _ in rows if u == user]
+        reset = max((x[:2] for x in own if x[2] == "error"), default=(-1, -1))
+        own = [x for x in own if x[:2] > reset and x[2] != "error"]
+        n = sum(k == "view" and h + hours > watermark for h, _, k in own)
+        out[user] = (sorted({k for _, _, k in own}), n, n > 0)
+    return out
+
+
+def test_keyed_state_goes_on_after_a_restart(spark, folder):
+    """Three runs from one checkpoint, each with new files: resets that come late, views that expire, and nothing else."""
+    first = [(1, 0, 7, "view", 1.0), (2, 1, 7, "click", 1.0), (3, 2, 8, "view", 1.0), (4, 10, 9, "signup", 1.0), (5, 11, 9, "view", 1.0), (6, 12, 9, "view", 1.0)]
+    second = [(8, 11.5, 7, "error", 1.0), (7, 12, 7, "purchase", 1.0), (9, 60, 8, "click", 1.0), (10, 60, 9, "view", 1.0)]
+    # At an hour of 76 the view of user 8 has left; event 12 is from before the reset of user 9, which came first.
+    third = [(11, 77, 9, "error", 1.0), (13, 77, 8, "view", 1.0)]
+    fourth = [(12, 76.5, 9, "click", 1.0), (14, 78, 9, "signup", 1.0), (15, 140, 7, "click", 1.0)]
+    seen = []
+    for number, rows in enumerate((first, second, third, fourth)):
+        batch_file(spark, folder, number, rows)
+        got = keyed.progress(solved.read_events(spark, f"{folder}/in/*.parquet", files_a_batch=1), f"{folder}/out", f"{folder}/check")
+        seen += rows
+        assert snapshot(got) == batch_answer(seen, max(r[1] for r in seen) - 1), number
+    assert keyed.PROVIDER != spark.conf.get("spark.sql.streaming.stateStore.providerClass")  # other queries keep theirs
+
+
+def test_keyed_state_in_one_run(spark, folder):
+    """Several micro-batches of one run, and an event that is later than the watermark allows."""
+    rows = [[(1, 0, 7, "view", 1.0), (2, 50, 7, "click", 1.0)], [(3, 51, 7, "signup", 1.0)], [(4, 2, 7, "purchase", 1.0), (5, 52, 8, "view", 1.0), (6, 51.5, 8, "view", 1.0)]]
+    for number, part in enumerate(rows):
+        batch_file(spark, folder, number, part)
+    got = snapshot(keyed.progress(solved.read_events(spark, f"{folder}/in/*.parquet", files_a_batch=1), f"{folder}/out", f"{folder}/check"))
+    assert got == batch_answer([r for part in rows for r in part if r[0] != 4], 51)
