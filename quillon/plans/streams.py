@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.shared import shared_folder
+from ..streaming import event_time as E
 from ..streaming import keyed as K
 from ..streaming import solved as S
 from .registry import query
@@ -101,3 +102,42 @@ def emitted_rows(spark, sf_dir):
 def interval_join(spark, sf_dir):
     """Beyond the reference: two streams joined on a key and a bound in time."""
     return S.append_all(S.interval_join(_events(spark, sf_dir), "purchase", "view", "6 hours"), *_folders(spark)).select("purchase_id", "view_id")
+
+
+@query("d_stream_deduplication", "SELECT user_id, event_type, count(DISTINCT event_id) AS n FROM events GROUP BY user_id, event_type")
+def deduplicated_events(spark, sf_dir):
+    """Every event comes twice, on two paths; one of each counts."""
+    events = _events(spark, sf_dir)
+    twice = events.withColumn("way", F.explode(F.array(F.lit("web"), F.lit("app"))))
+    kept = S.append_all(E.different(twice, ["event_id"]).select("event_id", "user_id", "event_type"), *_folders(spark))
+    return kept.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query(
+    "d_stream_sessions",
+    """
+    WITH b AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 2 HOUR, TRUE) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    i AS (SELECT *, sum(new::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM b)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n FROM i GROUP BY user_id, session
+    HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
+    """,
+)
+def stream_sessions(spark, sf_dir):
+    """Sessions of users that the watermark has closed."""
+    found = S.append_all(E.sessions(_events(spark, sf_dir), "user_id", "2 hours"), *_folders(spark))
+    started = F.from_utc_timestamp("started", F.current_timezone())
+    return found.select("user_id", F.date_format(started, "yyyy-MM-dd HH:mm:ss").alias("started"), "n")
+
+
+@query(
+    "d_stream_left_outer",
+    """
+    WITH w AS (SELECT least(max(ts) FILTER (event_type = 'purchase'), max(ts) FILTER (event_type = 'view')) - INTERVAL 1 HOUR AS mark FROM events)
+    SELECT p.event_id AS purchase_id, coalesce(CAST(v.event_id AS VARCHAR), 'none') AS view_id FROM events p LEFT JOIN events v ON p.user_id = v.user_id AND v.event_type = 'view' AND v.ts BETWEEN p.ts - INTERVAL 6 HOUR AND p.ts
+    WHERE p.event_type = 'purchase' AND (v.event_id IS NOT NULL OR p.ts < (SELECT mark FROM w))
+    """,
+)
+def stream_left_outer(spark, sf_dir):
+    """Purchases with the views before them, and those without any once that is sure."""
+    found = S.append_all(E.left_outer(_events(spark, sf_dir), "purchase", "view", "6 hours"), *_folders(spark))
+    return found.select("purchase_id", F.coalesce(F.col("view_id").cast("string"), F.lit("none")).alias("view_id"))

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from quillon.operators import ranges
-from quillon.streaming import keyed, solved
+from quillon.streaming import event_time, keyed, solved
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
 START = datetime(2024, 1, 1, 12)
@@ -105,3 +105,44 @@ def test_keyed_state_in_one_run(spark, folder):
         batch_file(spark, folder, number, part)
     got = snapshot(keyed.progress(solved.read_events(spark, f"{folder}/in/*.parquet", files_a_batch=1), f"{folder}/out", f"{folder}/check"))
     assert got == batch_answer([r for part in rows for r in part if r[0] != 4], 51)
+
+
+def runs(spark, folder, parts, stream):
+    """Rows that have come out after each of several runs from one checkpoint, each with a new file."""
+    for number, rows in enumerate(parts):
+        batch_file(spark, folder, number, rows)
+        yield solved.append_all(stream(solved.read_events(spark, f"{folder}/in/*.parquet", files_a_batch=1)), f"{folder}/out", f"{folder}/check").collect()
+
+
+def test_copies_within_the_watermark(spark, folder):
+    parts = [
+        [(1, 0, 7, "view", 1.0), (1, 0, 7, "view", 1.0), (2, 0.5, 7, "view", 1.0)],
+        [(1, 0, 7, "view", 1.0), (2, 0.5, 7, "view", 1.0), (3, 9, 7, "view", 1.0)],  # copies after a restart
+        [(3, 9, 8, "view", 1.0), (4, 1, 7, "view", 1.0), (5, 9.5, 7, "view", 1.0)],  # event 4 is later than the watermark
+    ]
+    got = [sorted(r.event_id for r in rows) for rows in runs(spark, folder, parts, lambda e: event_time.different(e, ["event_id"]))]
+    assert got[0] == [1, 2] and got[1] == [1, 2, 3] and got[2] in ([1, 2, 3, 5], [1, 2, 3, 4, 5])
+
+
+def test_sessions_close_behind_the_watermark(spark, folder):
+    parts = [
+        [(1, 0, 7, "view", 1.0), (2, 1, 7, "view", 1.0), (3, 0, 8, "view", 1.0)],
+        [(4, 2, 7, "view", 1.0), (5, 1.5, 8, "view", 1.0), (6, 2.5, 7, "view", 1.0)],  # both go on after a restart, 8 by a late row
+        [(7, 20, 9, "view", 1.0)],
+        [(8, 1, 8, "view", 1.0), (9, 40, 9, "view", 1.0)],  # the session of event 8 is over
+    ]
+    *_, third, last = runs(spark, folder, parts, lambda e: event_time.sessions(e, "user_id", "2 hours"))
+    key = lambda rows: sorted((r.user_id, r.n) for r in rows)
+    assert key(third) == [(7, 4), (8, 2)] and key(last) == [(7, 4), (8, 2), (9, 1)]
+
+
+def test_streams_join_outer(spark, folder):
+    parts = [
+        [(1, 0, 7, "view", 1.0), (2, 1, 7, "purchase", 1.0), (3, 1, 8, "purchase", 1.0)],
+        [(4, 0.5, 8, "view", 1.0), (5, 2, 9, "purchase", 1.0)],  # meets event 3 after a restart
+        [(6, 30, 7, "view", 1.0), (7, 30, 7, "purchase", 1.0)],  # event 5 stays alone
+        [(8, 60, 7, "view", 1.0), (9, 60, 8, "purchase", 1.0)],
+    ]
+    got = [sorted((r.purchase_id, r.view_id) for r in rows) for rows in runs(spark, folder, parts, lambda e: event_time.left_outer(e, "purchase", "view", "6 hours"))]
+    assert got[0] == [(2, 1)] and got[1] == [(2, 1), (3, 4)]
+    assert got[3] == [(2, 1), (3, 4), (5, None), (7, 6)]
