@@ -154,9 +154,14 @@ class Keys:
                 found.append(key)
 
 
+def wide_parities(hashes: np.ndarray) -> bytes:
+    """Twice as many bits as shingles at least, and BITS at least: so many tell sets apart whose similarity is 0.03 lower."""
+    return parities(hashes, max(BITS, 1 << (2 * len(hashes) - 1).bit_length() if len(hashes) else 0))
+
+
 def _sets(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """Written: doc_id, fp (digest of the set), n (its size), bits (its parities, at least BITS and as many as shingles) and
-    members (its tokens, packed) of every row of docs."""
+    """Written: doc_id, fp (digest of the set), n (its size), bits (its wide parities) and members (its tokens, packed) of
+    every row of docs."""
     names = ["doc_id", "fp", "n", "bits", "members"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,8 +171,7 @@ def _sets(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
                 rows = []
                 for t in texts.slice(at, 500):
                     whole = np.unique(simhash.shingle_hashes(t.as_py(), shingle, seed))
-                    bits = parities(whole, max(BITS, 1 << max(0, len(whole) - 1).bit_length()))
-                    rows.append((digest_of(whole), len(whole), bits, packed(whole >> np.uint64(64 - 8 * BYTES))))
+                    rows.append((digest_of(whole), len(whole), wide_parities(whole), packed(whole >> np.uint64(64 - 8 * BYTES))))
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), *columns], names)
 
@@ -264,9 +268,14 @@ def _pairs(one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
 
-def _folded(raw: list[bytes]) -> np.ndarray:
-    """Parities of any widths, folded to BITS, as a row of 64-bit numbers each."""
-    return np.array([np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, BITS // 64), axis=0) for b in raw]).reshape(-1, BITS // 64)
+def _apart(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """In how many parities each of one differs from the one of two beside it; the wider ones are folded."""
+    out = []
+    for a, b in zip(one, two):
+        width = min(len(a), len(b)) // 8
+        x, y = (np.bitwise_xor.reduce(np.frombuffer(w, np.uint64).reshape(-1, width), axis=0) for w in (a, b))
+        out.append(int(np.bitwise_count(x ^ y).sum()))
+    return np.array(out, np.int64)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, s: Fraction) -> DataFrame:
@@ -274,11 +283,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, s: Fraction) -> DataFrame:
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for n, m, one, two in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-                width = min(len(one), len(two))
-                x, y = (np.bitwise_xor.reduce(np.frombuffer(w, np.uint64).reshape(-1, width // 8), axis=0) for w in (one, two))
-                good.append(int(np.bitwise_count(x ^ y).sum()) <= most_apart(n + m, s))
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            good = _apart(batch.column(4).to_pylist(), batch.column(5).to_pylist()) <= most_apart(total, s)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +313,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, s: Fraction) -> DataFrame:
 
 
 def _block_pairs(rows: DataFrame, block: int) -> DataFrame:
-    """pair, side, fp, root, n, bits: rows (key, fp, root, n, bits) in blocks of a key, once for each pair of blocks that holds
+    """pair, side, fp, root, n: rows (key, fp, root, n) in blocks of a key, once for each pair of blocks that holds
     several roots. Roots with many rows in a key have blocks of their own, so blocks of one root do not meet each other."""
     own = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("own"))
     own = written(own, "roots-of-keys")
@@ -317,7 +323,7 @@ def _block_pairs(rows: DataFrame, block: int) -> DataFrame:
     named = rows.join(own, ["key", "root"]).join(small, "key", "left")
     large = hashed("root", F.pmod(hashed("fp"), parts("own")))
     label = F.when(F.col("own") * 2 > block, large).otherwise(F.pmod(hashed("root"), parts("small")))
-    named = written(named.withColumn("block", label).select("key", "block", "fp", "root", "n", "bits"), "blocks-of-keys")
+    named = written(named.withColumn("block", label).select("key", "block", "fp", "root", "n"), "blocks-of-keys")
     blocks = named.groupBy("key", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     one, two = (blocks.select("key", F.col("block").alias(f"block_{k}"), F.col("low").alias(f"low_{k}"), F.col("high").alias(f"high_{k}")) for k in "xy")
     met = one.join(two, "key").filter("block_x <= block_y and least(low_x, low_y) <> greatest(high_x, high_y)")
@@ -325,7 +331,7 @@ def _block_pairs(rows: DataFrame, block: int) -> DataFrame:
     sides = []
     for side, k in enumerate("xy"):
         at = met if side == 0 else met.filter("block_x <> block_y")
-        sides.append(named.join(at.select("key", F.col(f"block_{k}").alias("block"), "pair"), ["key", "block"]).select("pair", F.lit(side).alias("side"), "fp", "root", "n", "bits"))
+        sides.append(named.join(at.select("key", F.col(f"block_{k}").alias("block"), "pair"), ["key", "block"]).select("pair", F.lit(side).alias("side"), "fp", "root", "n"))
     return sides[0].unionByName(sides[1])
 
 
@@ -338,21 +344,27 @@ def _pairs_of_blocks(s: Fraction, spanning: bool):
             side, fp, root, n = (rows.column(i).to_numpy() for i in range(1, 5))
             raw = rows.column(5).to_pylist()
             for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                out = pairs(side[x:y], fp[x:y], root[x:y], n[x:y], _folded(raw[x:y]))
+                out = pairs(side[x:y], fp[x:y], root[x:y], n[x:y], raw[x:y])
                 if out is not None:
                     yield out
 
-    def pairs(side, fp, root, n, bits):
+    def pairs(side, fp, root, n, raw):
         m = len(fp)
         near = np.zeros((m, m), bool)
         cross = (side == 1).any()
-        for i in range(m):
-            ok = (root != root[i]) & (np.minimum(n, n[i]) * s.denominator >= np.maximum(n, n[i]) * s.numerator)
-            if cross:
-                ok &= side != side[i]
-            at = np.flatnonzero(ok)
-            if len(at):
-                near[i, at] = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1) <= most_apart(n[at] + n[i], s)
+        width = np.fromiter(map(len, raw), np.int64, m)
+        for w in np.unique(width).tolist():  # sets of similar sizes have one width, or one of them has twice the other's
+            own = np.flatnonzero((width == w) | (width == 2 * w))
+            bits = np.array([np.bitwise_xor.reduce(np.frombuffer(raw[i], np.uint64).reshape(-1, w // 8), axis=0) for i in own.tolist()])
+            for k in np.flatnonzero(width[own] == w).tolist():
+                i = own[k]
+                ok = (root[own] != root[i]) & (np.minimum(n[own], n[i]) * s.denominator >= np.maximum(n[own], n[i]) * s.numerator)
+                if cross:
+                    ok &= side[own] != side[i]
+                at = np.flatnonzero(ok)
+                if len(at):
+                    hit = own[at[np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1) <= most_apart(n[own[at]] + n[i], s)]]
+                    near[i, hit] = near[hit, i] = True
         if not near.any():
             return None
         if not spanning:
@@ -394,7 +406,7 @@ def _more_pairs(shared: DataFrame, roots: DataFrame, sets: DataFrame, s: Fractio
     rows = written(rooted.join(several, "key", "left_semi"), "rows-of-open-keys")
     named = rows.select("fp").distinct()
     bits = written(sets.select("fp", "bits").join(named, "fp", "left_semi").groupBy("fp").agg(F.any_value("bits").alias("bits")), "parities-of-keys")
-    dealt = _block_pairs(rows.join(bits, "fp"), block).repartition("pair").sortWithinPartitions("pair", "side")
+    dealt = _block_pairs(rows, block).join(bits, "fp").select("pair", "side", "fp", "root", "n", "bits").repartition("pair").sortWithinPartitions("pair", "side", "fp")
     return dealt.mapInArrow(lambda b: given_back(_pairs_of_blocks(s, spanning)(b)), "a bigint, b bigint").distinct()
 
 
