@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import escape_html
 from ..operators.sequences import latest
+from ..sources import connectors
 from .registry import query, sql_query, table
 
 
@@ -47,6 +48,19 @@ def link_scrape(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(rows).alias("pos", "l")).select("page_id", F.col("pos").cast("long").alias("pos"), "l.href", "l.label")
 
 
+@query(
+    "r05_link_source",
+    f"""
+    WITH l AS (SELECT page_id, regexp_extract_all(html, '{_LINK}', 1) AS h, regexp_extract_all(html, '{_LINK}', 2) AS t FROM pages)
+    SELECT page_id, unnest(range(len(h))) AS pos, unnest(h) AS href, unnest(t) AS label FROM l
+    """,
+)
+def link_source(spark, sf_dir):
+    """The links by a data source of one's own."""
+    connectors.register(spark)
+    return spark.read.format("quillon_links").option("path", f"{sf_dir}/pages.parquet").load()
+
+
 @query(
     "r06_nested_scrape",
     """

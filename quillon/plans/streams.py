@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.shared import shared_folder
+from ..sources import connectors
 from ..streaming import event_time as E
 from ..streaming import keyed as K
 from ..streaming import solved as S
@@ -141,3 +142,11 @@ def stream_left_outer(spark, sf_dir):
     """Purchases with the views before them, and those without any once that is sure."""
     found = S.append_all(E.left_outer(_events(spark, sf_dir), "purchase", "view", "6 hours"), *_folders(spark))
     return found.select("purchase_id", F.coalesce(F.col("view_id").cast("string"), F.lit("none")).alias("view_id"))
+
+
+@query("k06_message_source", """SELECT event_id, to_json({'tipo': event_type, 'id': user_id, 'ok': value > 100}) AS message FROM events""")
+def message_source(spark, sf_dir):
+    """The messages by a stream source of one's own, with offsets."""
+    connectors.register(spark)
+    stream = spark.readStream.format("quillon_messages").option("path", f"{sf_dir}/events.parquet").load()
+    return S.append_all(stream, *_folders(spark))
