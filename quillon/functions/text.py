@@ -78,3 +78,19 @@ def normalise_path(path: Column) -> Column:
     none = F.array().cast("array<string>")
     step = lambda done, s: F.when(s == "..", F.when(F.size(done) > 0, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(done)).otherwise(F.concat(done, F.array(s)))
     return F.array_join(F.aggregate(segments, none, step), "/")
+
+
+def match_spans(text: Column, pattern: str) -> Column:
+    """Array of found, start (from 0) of every match of pattern in text, in order; null text gives null.
+
+    What lies between the matches is split off by the same pattern, so a match is placed by all that comes before it, however
+    often its own text stands elsewhere. The pattern must not match an empty string.
+    """
+    gaps = F.split(text, pattern, -1)
+    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<found:string,start:int>>").alias("spans"))
+
+    def step(s: Column, m: Column) -> Column:
+        start = s["end"] + F.length(F.get(gaps, F.size(s["spans"])))
+        return F.struct((start + F.length(m)).alias("end"), F.concat(s["spans"], F.array(F.struct(m.alias("found"), start.alias("start")))).alias("spans"))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), none, step, lambda s: s["spans"])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import held
+
 
 def range_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
     """Pairs of a point and an interval with low <= at <= high, all columns of both.
@@ -31,15 +33,20 @@ def as_of_join(rows: DataFrame, facts: DataFrame, key: str, time: str, order: st
     return both.withColumn(name, F.last("_fact", ignorenulls=True).over(before)).filter("_late = 1").drop("_fact", "_late")
 
 
-def ordinal(df: DataFrame, coarse: Column, order: list[str], name: str = "ordinal") -> DataFrame:
+def places(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
     """df with the place of each row in the order of the whole table, from 1.
 
-    coarse: a value that ascends with the order, such as the day of a time. Rows are numbered within each of its values; the
-    rows of all smaller ones are counted beforehand, so the only window without a key sees one row per value.
+    A sample sort: splitters drawn from a sample cut the order in ranges of about equal size, by all order columns, so that
+    rows that agree in the first ones are split by the others. The rows of a range are counted exactly, and what lies before a
+    range is added to the places in it; the only window without a key sees a row per range. Rows that agree in every order
+    column lie in one range and have an order of their own. Nulls come first.
     """
-    rows = df.withColumn("_coarse", coarse)
-    upto = Window.orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("_coarse").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_coarse", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_coarse").orderBy(*order))
-    return rows.withColumn("_place", place).join(before, "_coarse").withColumn(name, F.col("_before") + F.col("_place")).drop("_coarse", "_place", "_before")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.select(F.struct("*").alias("_row"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(order)])
+    by = [f"_by{i}" for i in range(len(order))]
+    rows = held(ranged.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()).select("_row", F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")))
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    placed = rows.join(F.broadcast(before), "_range")  # a row for each of n ranges
+    return placed.select("_row.*", (F.col("_before") + F.col("_place") + 1).alias(name))

@@ -1,12 +1,13 @@
-"""Inequality joins and stored sketches as queries."""
+"""Inequality joins, stored sketches, an aggregate with a merge and tagged unions as queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions.shared import held
-from ..operators import inequality, sequences
+from ..operators import grading, inequality, sequences
 from ..operators import sketches as S
+from ..operators.aggregates import sampled_quantiles
 from .registry import query, table
 
 
@@ -78,3 +79,59 @@ def sketch_sets(spark, sf_dir):
     both = kinds.agg(of("view").alias("v"), of("purchase").alias("p"))
     size = lambda c: S.distinct_by_theta(c).cast("bigint")
     return both.select(size(F.theta_intersection("v", "p")).alias("both"), size(F.theta_difference("v", "p")).alias("viewed_only"), size(F.theta_union("v", "p", F.lit(S.THETA))).alias("either"))
+
+
+@query(
+    "d_merged_aggregate",
+    """
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY sha256(CAST(event_id AS VARCHAR))) AS place, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+    SELECT event_type, any_value(n) AS n, count(*) AS sampled, quantile_disc(value, 0.5) AS middle, quantile_disc(value, 0.9) AS high, TRUE AS near FROM r WHERE place <= 512 GROUP BY event_type
+    """,
+)
+def merged_aggregate(spark, sf_dir):
+    """Quantiles from samples that tasks make and merge; near: their true ranks are within 0.08 of those asked for."""
+    events = table(spark, sf_dir, "events")
+    found = sampled_quantiles(events, "event_type", F.sha2(F.col("event_id").cast("string"), 256), "value", [0.5, 0.9], k=512)
+    cuts = held(found.select("event_type", "n", "sampled", F.get("quantiles", F.lit(0)).alias("middle"), F.get("quantiles", F.lit(1)).alias("high")))
+    rank = lambda c: F.avg((F.col("value") <= F.col(c)).cast("double"))
+    ranks = events.select("event_type", "value").join(F.broadcast(cuts), "event_type").groupBy("event_type").agg(rank("middle").alias("one"), rank("high").alias("two"))  # a row for each kind
+    near = (F.abs(F.col("one") - 0.5) <= 0.08) & (F.abs(F.col("two") - 0.9) <= 0.08)
+    return cuts.join(ranks.select("event_type", near.alias("near")), "event_type")
+
+
+@query(
+    "r61d_tagged_union",
+    """
+    WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id % 4 AS kind FROM events)
+    SELECT event_id, CASE kind WHEN 0 THEN 'unica' WHEN 1 THEN 'multiple' WHEN 2 THEN 'texto' ELSE 'otra' END AS kind,
+        CASE kind WHEN 0 THEN k % 3 = 1 WHEN 1 THEN CASE WHEN k % 4 = 0 THEN NULL ELSE k % 4 >= 2 AND k % 7 < 3 END WHEN 2 THEN k % 2 = 0 ELSE FALSE END AS verdict,
+        CASE kind WHEN 0 THEN 'OBJECT<choice: BIGINT, kind: STRING>' WHEN 1 THEN CASE WHEN k % 4 = 0 THEN 'OBJECT<chosen: ARRAY<VOID>, kind: STRING, min: BIGINT>' ELSE 'OBJECT<chosen: ARRAY<BIGINT>, kind: STRING, min: BIGINT>' END
+            WHEN 2 THEN 'OBJECT<kind: STRING, text: STRING>' ELSE 'OBJECT<kind: STRING>' END AS shape
+    FROM e
+    """,
+)
+def tagged_union(spark, sf_dir):
+    """Answers of differing shapes in one VARIANT column, graded by kind: nothing is widened to a struct of all fields.
+
+    A single choice is right if it is 1; several are right if all are below 3 and there are at least `min`, and none chosen is
+    no answer; a text is right if it says even; any other kind is wrong.
+    """
+    k, kind = F.from_json("props", "k bigint")["k"], F.pmod("event_id", F.lit(4))
+    number = lambda c: c.cast("string")
+    chosen = F.array_join(F.transform(F.slice(F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(3)), F.lit(1), (k % 4).cast("int")), lambda x: number(F.when(x == 0, k % 7).otherwise(x % 3))), ",")
+    body = (
+        F.when(kind == 0, F.concat(F.lit('{"kind":"unica","choice":'), number(k % 3), F.lit("}")))
+        .when(kind == 1, F.concat(F.lit('{"kind":"multiple","min":2,"chosen":['), chosen, F.lit("]}")))
+        .when(kind == 2, F.concat(F.lit('{"kind":"texto","text":"'), F.when(k % 2 == 0, F.lit("even")).otherwise(F.lit("odd")), F.lit('"}')))
+        .otherwise(F.lit('{"kind":"otra"}'))
+    )
+    answers = table(spark, sf_dir, "events").select("event_id", F.parse_json(body).alias("v"))
+    part = lambda path, type_: F.try_variant_get("v", path, type_)
+    several, least = part("$.chosen", "array<bigint>"), part("$.min", "bigint")
+    verdict = grading.graded(
+        part("$.kind", "string"),
+        grading.single_choice(part("$.choice", "bigint"), F.array(F.lit(1).cast("bigint"))),
+        grading.multiple_choice(several, F.array(*[F.lit(x).cast("bigint") for x in (0, 1, 2)]), least),
+        part("$.text", "string") == "even",
+    )
+    return answers.select("event_id", part("$.kind", "string").alias("kind"), verdict.alias("verdict"), F.schema_of_variant("v").alias("shape"))

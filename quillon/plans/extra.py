@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.functions import arrow_udtf, pandas_udf
 
 from ..functions.shipping import ship
 from ..operators import ranges as R
@@ -159,17 +160,20 @@ def aggregate_function(spark, sf_dir):
 
 @query("d_table_function", "SELECT event_id, CAST(unnest(range(1, CAST(json_extract(props, '$.k') AS BIGINT) % 4 + 1)) AS INTEGER) AS step FROM events")
 def table_function(spark, sf_dir):
-    """A table function of one's own, joined laterally."""
+    """A table function of one's own, over whole batches."""
 
-    @udtf(returnType="step int")
+    @arrow_udtf(returnType="event_id bigint, step int")
     class Steps:
-        def eval(self, k: int):
-            for step in range(1, k % 4 + 1):
-                yield (step,)
+        def eval(self, batch: pa.RecordBatch):
+            import numpy as np
+
+            n = batch.column("k").to_numpy(zero_copy_only=False) % 4
+            last = np.cumsum(n)
+            step = np.arange(1, int(n.sum()) + 1) - np.repeat(last - n, n)
+            yield pa.table({"event_id": batch.column("event_id").take(pa.array(np.repeat(np.arange(len(n)), n))), "step": pa.array(step, pa.int32())})
 
-    spark.udtf.register("quillon_steps", Steps)
     rows = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
-    return spark.sql("SELECT e.event_id, s.step FROM {rows} e, LATERAL quillon_steps(e.k) s", rows=rows)
+    return Steps(rows.asTable())
 
 
 @query("d_csv_source", "SELECT o_orderpriority, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM orders GROUP BY o_orderpriority")
@@ -192,7 +196,7 @@ def _totals(orders):
 
 def _numbered(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "ts", "value")
-    return R.ordinal(events, F.to_date("ts"), ["ts", "event_id"])
+    return R.places(events, ["ts", "event_id"])
 
 
 @query("w05_row_number_of_all", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS ordinal FROM events")

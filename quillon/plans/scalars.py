@@ -83,8 +83,30 @@ def roman_dates(spark, sf_dir):
     months = F.array(*[F.lit(m) for m in "I II III IV V VI VII VIII IX X XI XII".split()])
     date = F.concat_ws("-", F.day("o_orderdate").cast("string"), F.element_at(months, F.month("o_orderdate")), F.year("o_orderdate").cast("string"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("due "), date, F.lit(" at the latest")).alias("s"))
-    found = F.explode(F.regexp_extract_all("s", F.lit(_DATES), F.lit(0))).alias("found")
-    return rows.select("o_orderkey", "s", found).select("o_orderkey", "found", (F.instr("s", F.col("found")) - 1).cast("long").alias("start"))
+    return _spans(rows)
+
+
+def _spans(rows):
+    """A row for each match of a date in s."""
+    return rows.select("o_orderkey", F.explode(T.match_spans(F.col("s"), _DATES)).alias("m")).select("o_orderkey", "m.found", F.col("m.start").cast("long").alias("start"))
+
+
+@query(
+    "r74_repeated_dates",
+    rf"""
+    WITH d AS (SELECT o_orderkey, o_custkey, day(o_orderdate) || '-' || ['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X', 'XI', 'XII'][month(o_orderdate)] || '-' || year(o_orderdate) AS date FROM orders),
+    t AS (SELECT o_orderkey, date || ' or 1' || date || ', no: 9' || date || '; ' || date || ' é ' || date AS s FROM d),
+    m AS (SELECT o_orderkey, regexp_extract_all(s, '{_DATES}') AS found, string_split_regex(s, '{_DATES}') AS gaps FROM t),
+    i AS (SELECT *, unnest(range(len(found))) AS i FROM m)
+    SELECT o_orderkey, found[i + 1] AS found, CAST(list_sum(list_transform(gaps[1 : i + 1], lambda g: len(g))) + coalesce(list_sum(list_transform(found[1 : i], lambda f: len(f))), 0) AS BIGINT) AS start FROM i
+    """,
+)
+def repeated_dates(spark, sf_dir):
+    """Texts that hold one date several times, some of them with a digit before it, which may make another date of it or none."""
+    months = F.array(*[F.lit(m) for m in "I II III IV V VI VII VIII IX X XI XII".split()])
+    date = F.concat_ws("-", F.day("o_orderdate").cast("string"), F.element_at(months, F.month("o_orderdate")), F.year("o_orderdate").cast("string"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", date.alias("d"))
+    return _spans(rows.select("o_orderkey", F.concat("d", F.lit(" or 1"), "d", F.lit(", no: 9"), "d", F.lit("; "), "d", F.lit(" é "), "d").alias("s")))
 
 
 @query("r75_clock", "SELECT event_id, CAST(floor(floor(greatest(value - 5, 0)) / 60) AS BIGINT) || ':' || lpad(CAST(CAST(floor(greatest(value - 5, 0)) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS shown FROM events")

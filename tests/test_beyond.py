@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import graphs, inequality, sketches
+from quillon.functions import text
+from quillon.operators import aggregates, graphs, inequality, ranges, sketches
 
 from .conftest import DATA
 
@@ -140,3 +141,65 @@ def test_plans_join_by_keys(spark, name):
 
     plan = registry.QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"CartesianProduct|NestedLoop", plan)
+
+
+def test_places_when_all_rows_share_a_day(spark):
+    """All rows of one day, and many of one time: ranges stay even, as later order columns split ties."""
+    rows = spark.range(20_000).select(F.pmod(F.col("id") * 7919, F.lit(20_000)).alias("id"), F.lit("2024-01-01").cast("date").alias("day"), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("ordinal_"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        placed = ranges.places(rows, ["day", "ordinal_", "id"])
+        got = placed.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    order = sorted(got, key=lambda r: (r.day, r.ordinal_, r.id))
+    assert [r.ordinal for r in order] == list(range(1, 20_001)) and placed.columns == ["id", "day", "ordinal_", "ordinal"]
+    files = placed.inputFiles()
+    sizes = sorted(spark.read.parquet(f).count() for f in files)
+    assert len(sizes) == 16 and sizes[-1] < 2 * sizes[8]
+
+
+def test_places_of_odd_rows(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 1), (3, 2), (1, None), (1, 0)], "a int, _row int")
+    got = sorted((r.ordinal, r.a, r._row) for r in ranges.places(rows, ["a", "_row"]).collect())
+    assert got == [(1, None, 1), (2, None, 1), (3, 1, None), (4, 1, 0), (5, 3, 2)]
+    assert ranges.places(rows.limit(0), ["a"]).count() == 0
+
+
+def test_spans_of_matches(spark):
+    pattern = r"\b[0-9]{1,2}-[IVX]+-[0-9]{4}\b"
+    texts = ["9-VI-2000", "x 9-VI-2000 9-VI-2000,9-VI-2000", "19-VI-2000 and 9-VI-2000", "129-VI-2000 29-VI-2000", "é9-VI-20001 9-VI-2000", "none", "", None]
+    got = {r.t: r.m for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.match_spans(F.col("t"), pattern).alias("m")).collect()}
+    for t in texts[:-1]:
+        assert [(m.found, m.start) for m in got[t]] == [(m[0], m.start()) for m in re.finditer(pattern.replace("\\b", r"(?<![0-9A-Za-z_])", 1).replace("\\b", r"(?![0-9A-Za-z_])"), t)], t
+    assert got[None] is None
+
+
+def test_samples_merge_in_any_order(spark):
+    """States of any split of the rows, merged in any order, are one; ranks are near."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    digests = pa.array([f"{x:016x}" for x in rng.integers(0, 1 << 62, 5_000)])
+    sample = aggregates.Sample(300)
+    whole = sorted(digests.take(sample.kept(digests)).to_pylist())
+    for _ in range(3):
+        parts = [digests.take(pa.array(p)) for p in np.array_split(rng.permutation(5_000), 7)]
+        held = None
+        for i in rng.permutation(7):
+            both = parts[i] if held is None else pa.concat_arrays([held, parts[i]])
+            held = both.take(sample.kept(both))
+        assert sorted(held.to_pylist()) == whole
+    rows = spark.range(9_000).select((F.col("id") % 3).alias("kind"), F.col("id").alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("d"))
+    rows = rows.unionByName(spark.createDataFrame([(None, 5, "a"), (None, None, "b"), (9, None, "c")], "kind bigint, v bigint, d string"))
+    seen = []
+    for parts in (1, 5, 40):
+        got = aggregates.sampled_quantiles(rows.repartition(parts), "kind", F.col("d"), "v", [0.1, 0.5, 0.9], k=400).collect()
+        seen.append(sorted(map(str, got)))
+        for r in got:
+            if r.kind is None:
+                assert (r.n, r.sampled, r.quantiles) == (1, 1, [5.0, 5.0, 5.0])
+            else:
+                assert r.n == 3_000 and r.sampled == 400 and all(abs(q / 9_000 - share) < 0.08 for q, share in zip(r.quantiles, (0.1, 0.5, 0.9)))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 4
+    assert aggregates.sampled_quantiles(rows.limit(0), "kind", F.col("d"), "v", [0.5]).count() == 0

@@ -9,8 +9,8 @@ from quillon.plans import registry
 from .conftest import DATA
 
 #: Functions of one's own and keyed state are Python by their nature.
-PYTHON = {"d_aggregate_function", "d_table_function", "t04_reset", "d_inequality_join"}
-STREAMS = {n for n in registry.QUERIES if n.startswith("t0")} | {"d_windowed_counts", "d_interval_join", "k06_emitted_rows"}
+PYTHON = {"d_aggregate_function", "d_table_function", "t04_reset", "d_inequality_join", "d_merged_aggregate", "r05_link_source"}
+STREAMS = {n for n in registry.QUERIES if n.startswith("t0")} | {"d_windowed_counts", "d_interval_join", "k06_emitted_rows", "k06_message_source"} | {n for n in registry.QUERIES if n.startswith("d_stream_")}
 
 
 def plan(spark, name):
