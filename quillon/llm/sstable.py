@@ -270,7 +270,8 @@ def write_shards(docs: DataFrame, target: str, tokenizer: str, end_id: int = 0,
 
     # Bytes stay bytes in this cast and in the file; every line has a file of its own.
     lines = ordered.mapInArrow(lambda batches: given_back(write(batches)), "shard binary").select(F.col("shard").cast("string"))
-    lines.write.option("maxRecordsPerFile", 1).text(target)
+    # Whatever the cluster compresses, shards are read as they are.
+    lines.write.option("maxRecordsPerFile", 1).option("compression", "none").text(target)
 
 
 def _files(spark: SparkSession, target: str) -> DataFrame:

@@ -26,6 +26,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -92,7 +93,7 @@ def anchors(data: np.ndarray, hasher: _Hasher, window: int = WINDOW, gram: int =
     """Of one text: anchor hash, a digest of the context, and the first and last window start of each anchor.
 
     A text shorter than the window has none. Long texts are taken piece by piece, so memory does not grow with them
-    beyond a few numbers a byte. Anchor and digest are 128 bits for a context, and contexts are compared within an anchor.
+    beyond a few numbers a byte. Contexts of one anchor are told apart by 64 bits of a digest of their bytes.
     """
     n = len(data) - window + 1
     if n <= 0:
@@ -103,14 +104,16 @@ def anchors(data: np.ndarray, hasher: _Hasher, window: int = WINDOW, gram: int =
     at = _smallest(hashes, window - gram + 1)  # place of the anchor of each window
     cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     low, high = cuts, np.r_[cuts[1:], len(at)] - 1
-    return hashes[at[cuts]], _digests(hasher, prefix, at[cuts], low, high, window), low, high
+    return hashes[at[cuts]], _digests(data, at[cuts], low, high, window), low, high
 
 
-def _digests(hasher: _Hasher, prefix: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, window: int) -> np.ndarray:
-    """Of contexts: a hash of their bytes and of where in them the windows stand relative to the anchor."""
+def _digests(data: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, window: int) -> np.ndarray:
+    """Of contexts: 64 bits of a BLAKE2b digest of their bytes and of where in them the windows stand relative to the anchor."""
+    raw = memoryview(np.ascontiguousarray(data)).cast("B")
+    own = b"".join([blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(low.tolist(), (high + window).tolist())])
     with np.errstate(over="ignore"):
         shape = ((at - low).astype(np.uint64) << np.uint64(20)) ^ (high - low).astype(np.uint64)
-        return hasher.spans(prefix, low, high + window, low) ^ (shape * np.uint64(_ODD_2))
+        return np.frombuffer(own, "<u8") ^ (shape * np.uint64(_ODD_2))
 
 
 def _smallest(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -472,7 +475,7 @@ def _finer(batches: Iterator[pa.RecordBatch], width: int, window: int) -> Iterat
                 with np.errstate(over="ignore"):
                     own = np.uint64(batch.column(0)[i].as_py() & (1 << 64) - 1) * np.uint64(_ODD) + ranges.astype(np.uint64) * np.uint64(2 * width + 1)
                     key = hasher.spans(prefix, begin, end, begin) ^ (own * np.uint64(_ODD))
-                part = _digests(hasher, prefix, np.full(len(low), place), low, high, window)
+                part = _digests(np.frombuffer(raw, np.uint8), np.full(len(low), place), low, high, window)
                 same = [pa.array(np.full(len(low), batch.column(c)[i].as_py())) for c in range(3)]
                 cut = pa.array([raw[a : b + window] for a, b in zip(low.tolist(), high.tolist())], pa.binary())
                 columns = [*same, pa.array(key.view(np.int64)), pa.array(part.view(np.int64)), pa.array((place - low).astype(np.int32)), pa.array(low.astype(np.int32)), cut]

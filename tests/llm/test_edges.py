@@ -560,3 +560,17 @@ def test_pieces_that_arithmetic_hashes_confuse(n, letters):
         mine = ids[starts[i] : starts[i + 1]].tolist()
         assert mine == plain.encode_ordinary(text) and own.decode(mine) == text.encode()
         assert got.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_shards_where_hadoop_compresses(spark, docs):
+    """Shards are read as they are, whatever the cluster does to output files."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("mapreduce.output.fileoutputformat.compress", "true")
+    conf.set("mapreduce.output.fileoutputformat.compress.codec", "org.apache.hadoop.io.compress.GzipCodec")
+    try:
+        target = store.fresh_path(spark, "compressed")
+        sstable.write_shards(docs, target, LIBRARY)
+        assert sstable.read_shards(spark, target).count() == docs.count()
+    finally:
+        conf.unset("mapreduce.output.fileoutputformat.compress")
+        conf.unset("mapreduce.output.fileoutputformat.compress.codec")
