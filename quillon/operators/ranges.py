@@ -8,16 +8,36 @@ from pyspark.sql import functions as F
 from ..functions.shared import held
 
 
-def range_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
+def range_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, width: float | None = None) -> DataFrame:
     """Pairs of a point and an interval with low <= at <= high, all columns of both.
 
-    Numbers are cut in bins of `width`: a point lies in one, an interval in every bin that it touches. The join is then one
-    of equal bins, which is dealt out; intervals much longer than the width repeat often, so it should be near their length.
+    Numbers are cut in bins, and the join is then one of equal bins, which is dealt out. Bins follow the intervals: those of
+    up to 2^k in length lie in bins of that width, so each touches two or three of them, however long it is, and a point lies in
+    one bin of each width that occurs. There are at most as many widths as a double has exponents. Nulls and NaN meet nothing.
+
+    width: one width for all, where the intervals are known to be of about that length.
     """
-    bin_of = lambda c: F.floor(F.col(c) / F.lit(float(width)))
-    left = points.withColumn("_bin", bin_of(at))
-    right = intervals.filter(F.col(low) <= F.col(high)).withColumn("_bin", F.explode(F.sequence(bin_of(low), bin_of(high))))
-    return left.join(right, "_bin").filter(F.col(at).between(F.col(low), F.col(high))).drop("_bin")
+    spans = intervals.filter((F.col(low) <= F.col(high)) & ~F.isnan(F.col(high).cast("double")))
+    known = points.filter(F.col(at).isNotNull() & ~F.isnan(F.col(at).cast("double")))
+    if width is not None:
+        bin_of = lambda c: F.floor(F.col(c) / F.lit(float(width)))
+        left = known.withColumn("_bin", bin_of(at))
+        right = spans.withColumn("_bin", F.explode(F.sequence(bin_of(low), bin_of(high))))
+        return left.join(right, "_bin").filter(F.col(at).between(F.col(low), F.col(high))).drop("_bin")
+    length = F.col(high).cast("double") - F.col(low).cast("double")
+    # Bins so narrow that a number over them passes 2^52 would not tell numbers apart; infinite ends are a width of their own.
+    large = F.greatest(F.abs(F.col(low).cast("double")), F.abs(F.col(high).cast("double")))
+    narrow = F.coalesce(F.ceil(F.log2(F.nullif(large, F.lit(0.0)))) - 50, F.lit(-1000))
+    exponent = F.greatest(F.coalesce(F.ceil(F.log2(F.when(length > 0, length))), narrow), narrow)
+    level = F.when(length < float("inf"), exponent.cast("int")).otherwise(F.lit(5000))
+    sized = spans.withColumn("_level", level)
+    widths = sorted(r["_level"] for r in sized.select("_level").distinct().collect())
+    bin_at = lambda c: F.when(F.col("_level") == 5000, F.lit(0.0)).otherwise(F.floor(F.col(c).cast("double") * F.pow(F.lit(2.0), -F.col("_level"))).cast("double"))
+    left = known.withColumn("_level", F.explode(F.array(*[F.lit(w) for w in widths]).cast("array<int>"))).withColumn("_bin", bin_at(at))
+    first, last = bin_at(low), bin_at(high)
+    right = sized.withColumn("_first", first).withColumn("_steps", (last - first).cast("int"))
+    right = right.withColumn("_step", F.explode(F.sequence(F.lit(0), F.col("_steps")))).withColumn("_bin", F.col("_first") + F.col("_step")).drop("_first", "_step", "_steps")
+    return left.join(right, ["_level", "_bin"]).filter(F.col(at).between(F.col(low), F.col(high))).drop("_level", "_bin")
 
 
 def as_of_join(rows: DataFrame, facts: DataFrame, key: str, time: str, order: str, value: str, name: str) -> DataFrame:

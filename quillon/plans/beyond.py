@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.shared import held
-from ..operators import grading, inequality, sequences
+from ..operators import grading, inequality, ranges, sequences
 from ..operators import sketches as S
 from ..operators.aggregates import sampled_quantiles
 from .registry import query, table
@@ -69,7 +69,7 @@ def sketch_rollup(spark, sf_dir):
     "d_sketch_sets",
     """
     WITH u AS (SELECT user_id, bool_or(event_type = 'view') AS viewed, bool_or(event_type = 'purchase') AS bought FROM events GROUP BY user_id)
-    SELECT count(*) FILTER (viewed AND bought) AS both, count(*) FILTER (viewed AND NOT bought) AS viewed_only, count(*) FILTER (viewed OR bought) AS either FROM u
+    SELECT count(*) FILTER (viewed AND bought) AS in_both, count(*) FILTER (viewed AND NOT bought) AS viewed_only, count(*) FILTER (viewed OR bought) AS in_either FROM u
     """,
 )
 def sketch_sets(spark, sf_dir):
@@ -78,7 +78,7 @@ def sketch_sets(spark, sf_dir):
     of = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("theta")))
     both = kinds.agg(of("view").alias("v"), of("purchase").alias("p"))
     size = lambda c: S.distinct_by_theta(c).cast("bigint")
-    return both.select(size(F.theta_intersection("v", "p")).alias("both"), size(F.theta_difference("v", "p")).alias("viewed_only"), size(F.theta_union("v", "p", F.lit(S.THETA))).alias("either"))
+    return both.select(size(F.theta_intersection("v", "p")).alias("in_both"), size(F.theta_difference("v", "p")).alias("viewed_only"), size(F.theta_union("v", "p", F.lit(S.THETA))).alias("in_either"))
 
 
 @query(
@@ -135,3 +135,61 @@ def tagged_union(spark, sf_dir):
         part("$.text", "string") == "even",
     )
     return answers.select("event_id", part("$.kind", "string").alias("kind"), verdict.alias("verdict"), F.schema_of_variant("v").alias("shape"))
+
+
+@query(
+    "d_range_join_of_any_length",
+    """
+    WITH s AS (SELECT user_id, min(value) AS low, max(value) AS high FROM events GROUP BY user_id UNION ALL SELECT -event_id, value - 0.01, value + 0.01 FROM events WHERE event_type = 'signup')
+    SELECT user_id, count(*) AS n, max(l_orderkey) AS last FROM s JOIN lineitem ON l_quantity * 10 + l_discount BETWEEN low AND high GROUP BY user_id
+    """,
+)
+def range_join_of_any_length(spark, sf_dir):
+    """Lines whose number lies within the values of a user, or within 0.01 of a single value: intervals of very unlike lengths."""
+    events = table(spark, sf_dir, "events")
+    users = events.groupBy("user_id").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    single = events.filter("event_type = 'signup'").select((-F.col("event_id")).alias("user_id"), (F.col("value") - 0.01).alias("low"), (F.col("value") + 0.01).alias("high"))
+    points = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_quantity") * 10 + F.col("l_discount")).alias("number"))
+    pairs = ranges.range_join(points, users.unionByName(single), "number", "low", "high")
+    return pairs.groupBy("user_id").agg(F.count("*").alias("n"), F.max("l_orderkey").alias("last"))
+
+
+@query(
+    "d_time_zones",
+    """
+    WITH u AS (SELECT o_orderkey, timezone('UTC', o_orderdate + INTERVAL 15 HOUR) AS moment FROM orders),
+    l AS (SELECT *, timezone('Europe/Berlin', moment) AS berlin, timezone('America/New_York', moment) AS new_york FROM u)
+    SELECT o_orderkey, strftime(berlin, '%Y-%m-%d %H:%M') AS berlin, strftime(new_york, '%Y-%m-%d %H:%M') AS new_york, date_diff('minute', new_york, berlin) AS minutes_apart,
+        date_diff('hour', moment, timezone('Europe/Berlin', berlin + INTERVAL 7 DAY)) AS hours_of_week
+    FROM l
+    """,
+)
+def time_zones(spark, sf_dir):
+    """Wall clocks of two places, and how many hours a week of wall-clock time has in one of them: 168 but for changes of the
+    clock. Times without a zone are taken as UTC, and zones are given by name, so the session's own plays no part."""
+    utc = F.col("o_orderdate") + F.expr("INTERVAL 15 HOURS")
+    local = lambda zone, c: F.convert_timezone(F.lit("UTC"), F.lit(zone), c)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", utc.alias("at")).select("o_orderkey", "at", local("Europe/Berlin", F.col("at")).alias("b"), local("America/New_York", F.col("at")).alias("n"))
+    later = F.convert_timezone(F.lit("Europe/Berlin"), F.lit("UTC"), F.col("b") + F.expr("INTERVAL 7 DAYS"))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")
+    between = lambda unit, a, b: F.timestamp_diff(unit, a, b).cast("bigint")
+    return rows.select("o_orderkey", text("b").alias("berlin"), text("n").alias("new_york"), between("MINUTE", F.col("n"), F.col("b")).alias("minutes_apart"), between("HOUR", F.col("at"), later).alias("hours_of_week"))
+
+
+@query(
+    "d_intervals",
+    """
+    WITH w AS (SELECT o_orderpriority, o_orderdate, date_diff('day', o_orderdate, l_shipdate) AS days FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
+    SELECT o_orderpriority, CAST(sum(days) AS BIGINT) AS total_days, max(days) AS longest_days, count(*) FILTER (days > 60) AS late, strftime(max(o_orderdate + to_months(CAST(days % 14 AS INTEGER))), '%Y-%m-%d') AS renewed
+    FROM w GROUP BY o_orderpriority
+    """,
+)
+def intervals(spark, sf_dir):
+    """Columns of day-time and year-month intervals: differences of times, added up, compared and added to dates."""
+    orders, lines = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
+    wait = (F.col("l_shipdate") - F.col("o_orderdate")).alias("wait")
+    rows = orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderpriority", "o_orderdate", wait)
+    months = F.make_ym_interval(F.lit(0), (F.extract(F.lit("DAY"), F.col("wait")) % 14).cast("int"))
+    found = rows.groupBy("o_orderpriority").agg(F.sum("wait").alias("total"), F.max("wait").alias("longest"), F.count_if(F.col("wait") > F.expr("INTERVAL '60' DAY")).alias("late"), F.max(F.col("o_orderdate") + months).alias("renewed"))
+    days = lambda c: F.extract(F.lit("DAY"), F.col(c)).cast("bigint")
+    return found.select("o_orderpriority", days("total").alias("total_days"), days("longest").alias("longest_days"), "late", F.date_format("renewed", "yyyy-MM-dd").alias("renewed"))

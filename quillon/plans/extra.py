@@ -31,7 +31,7 @@ for _name, _hint in (("d_merge_join", "MERGE(c, n)"), ("d_shuffled_hash_join", "
 def range_join(spark, sf_dir):
     """Parts whose price lies within 50 of a supplier's balance."""
     near = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") - 50).alias("low"), (F.col("s_acctbal") + 50).alias("high"))
-    pairs = R.range_join(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), near, "p_retailprice", "low", "high", 100.0)
+    pairs = R.range_join(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), near, "p_retailprice", "low", "high")
     return pairs.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.min("p_partkey").alias("least"))
 
 

@@ -75,15 +75,11 @@ def with_resets(events: DataFrame, folder: str, checkpoint: str, reset_kind: str
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         # Batches of a group are parts in any order, so the last reset and the last time of each kind are kept, not the rows.
         kinds = set(state.get[0].split(",")) if state.exists and state.get[0] else set()
-        reset, last = None, {}
-        for rows in batches:
-            order = list(zip(rows["ts"], rows["event_id"], rows["event_type"]))
-            for kind in set(rows["event_type"]):
-                at = max(o[:2] for o in order if o[2] == kind)
-                if kind == reset_kind:
-                    reset = at if reset is None else max(reset, at)
-                else:
-                    last[kind] = max(at, last.get(kind, at))
+        order = ["ts", "event_id"]
+        parts = [rows.sort_values(order).drop_duplicates("event_type", keep="last") for rows in batches]
+        found = pd.concat(parts).sort_values(order).drop_duplicates("event_type", keep="last")
+        last = dict(zip(found["event_type"], zip(found["ts"], found["event_id"])))
+        reset = last.pop(reset_kind, None)
         kinds = {k for k, at in last.items() if reset is None or at > reset} | (kinds if reset is None else set())
         state.update((",".join(sorted(kinds)),))
         yield pd.DataFrame({"user_id": [key[0]], "n_solved": [len(kinds)]})

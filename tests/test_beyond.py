@@ -203,3 +203,17 @@ def test_samples_merge_in_any_order(spark):
                 assert r.n == 3_000 and r.sampled == 400 and all(abs(q / 9_000 - share) < 0.08 for q, share in zip(r.quantiles, (0.1, 0.5, 0.9)))
     assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 4
     assert aggregates.sampled_quantiles(rows.limit(0), "kind", F.col("d"), "v", [0.5]).count() == 0
+
+
+def test_range_join_of_any_length(spark):
+    """Points and intervals over many orders of magnitude, with ends that touch, repeated, infinite and odd ones."""
+    rng = random.Random(3)
+    numbers = [0.0, -0.0, 1.0, -1.0, 0.5, 1e-300, 1e300, -1e12, 1e12, 2.0**52, math.inf, -math.inf, math.nan, None] + [rng.uniform(-1, 1) * 10 ** rng.randrange(-6, 7) for _ in range(120)]
+    spans = [(a, a + rng.choice((0.0, 1e-9, 1.0, 1e3, 1e9))) for a in numbers if a is not None] + [(3.0, 2.0), (None, 1.0), (1.0, None), (-math.inf, math.inf), (0.0, math.inf), (-math.inf, 1.0)]
+    points = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "p int, at double")
+    frames = spark.createDataFrame([(i, *s) for i, s in enumerate(spans)], "s int, low double, high double")
+    expected = sorted((i, j) for i, x in enumerate(numbers) for j, (a, b) in enumerate(spans) if None not in (x, a, b) and a <= x <= b)
+    got = ranges.range_join(points, frames, "at", "low", "high")
+    assert sorted((r.p, r.s) for r in got.collect()) == expected and got.columns == ["p", "at", "s", "low", "high"]
+    assert ranges.range_join(points, frames.limit(0), "at", "low", "high").count() == 0
+    assert not re.search(r"CartesianProduct|NestedLoop", got._jdf.queryExecution().executedPlan().toString())
