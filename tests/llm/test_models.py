@@ -180,3 +180,92 @@ def test_long_labelled_texts_train(spark):
     assert len(whole.y) == 12 and whole.words.counts.tolist() == [16_000 + i % 2 for i in whole.ids]
     some = toxicity.sample(docs, labels, "toxic", 100, 500_000, 1 << 12)
     assert 2 <= len(some.y) < 12 and set(some.y) == {0.0, 1.0}
+
+
+def test_gradients_of_a_training_step():
+    """What a step hands to the optimiser, against differences of the loss as plain loops compute it."""
+    from quillon.llm.words import Words
+
+    rng = np.random.default_rng(11)
+    buckets, dim, each = 15, 3, 2
+    lengths = [0, 1, 2, 3, 7, 12]
+    ids = rng.integers(0, 9, sum(lengths))
+    w = Words(pa.array([f"w{i}" for i in range(9)]), ids, np.concatenate([[0], np.cumsum(lengths)]))
+    pieces = rng.integers(0, buckets, (9, toxicity.PIECES))
+    y, weight, decay = np.array([0.0, 1, 1, 0, 1, 0]), rng.uniform(0.5, 2, 6), 0.01
+    filters = [rng.normal(0, 0.7, (k, dim, each)) for k in toxicity.WIDTHS]
+    model = toxicity.ConvolutionalModel(rng.normal(0, 0.7, (buckets, dim)), filters, [rng.normal(0, 0.1, each) for _ in filters], rng.normal(0, 0.7, each * len(filters)), 0.3, np.zeros(len(toxicity.LANGUAGES)))
+    rows = np.array([4, 0, 2, 5, 1])
+    found = {}
+
+    class Recorder:
+        def update(self, name, value, grad, rows=None):
+            found[name] = (value, np.array(grad, float), rows)
+
+    toxicity._step(model, w, pieces, y, weight, rows, Recorder(), decay)
+    touched = found["embed"][2]
+
+    def loss():
+        total = 0.0
+        for r in rows:
+            own = ids[w.starts[r] : w.starts[r + 1]]
+            vectors = [np.mean([model.embed[b] for b in pieces[i]], axis=0) for i in own]
+            pooled = []
+            for f, b in zip(model.filters, model.bias):
+                for c in range(each):
+                    values = [b[c] + sum(vectors[s + j] @ f[j, :, c] for j in range(len(f)) if s + j < len(own)) for s in range(len(own))]
+                    pooled.append(max([0.0, *values]))
+            p = 1 / (1 + math.exp(-(np.dot(pooled, model.out) + model.shift)))
+            total -= weight[r] * (y[r] * math.log(p) + (1 - y[r]) * math.log(1 - p)) / len(rows)
+        held = sum((f**2).sum() for f in model.filters) + (model.out**2).sum() + (model.embed[touched] ** 2).sum()
+        return total + decay / 2 * held
+
+    def slope(array, at):
+        old = array[at]
+        out = []
+        for step in (1e-5, -1e-5):
+            array[at] = old + step
+            out.append(loss())
+        array[at] = old
+        return (out[0] - out[1]) / 2e-5
+
+    parts = {f"f{k}": f for k, f in enumerate(model.filters)} | {f"b{k}": b for k, b in enumerate(model.bias)} | {"out": model.out}
+    for name, array in parts.items():
+        for at in np.ndindex(array.shape):
+            assert found[name][1][at] == pytest.approx(slope(array, at), rel=1e-3, abs=2e-6), (name, at)
+    for k, b in enumerate(touched.tolist()):
+        for d in range(dim):
+            assert found["embed"][1][k, d] == pytest.approx(slope(model.embed, (b, d)), rel=1e-3, abs=2e-6)
+    shift = model.shift
+    model.shift = shift + 1e-5
+    up = loss()
+    model.shift = shift - 1e-5
+    assert found["shift"][1][0] == pytest.approx((up - loss()) / 2e-5, rel=1e-3, abs=2e-6)
+
+
+def test_pairs_of_features():
+    """The best cut in four against all cuts by plain sums; pairs learn what no table of one feature can."""
+    rng = np.random.default_rng(12)
+    for shape in ((2, 2), (5, 3), (1, 4), (6, 6)):
+        grad, hess = rng.normal(size=shape), rng.uniform(0.1, 2, shape)
+        best, cells = 0.0, np.zeros(shape)
+        for a in range(1, shape[0]):
+            for b in range(1, shape[1]):
+                parts = [np.s_[:a, :b], np.s_[:a, b:], np.s_[a:, :b], np.s_[a:, b:]]
+                gain = sum(grad[p].sum() ** 2 / (hess[p].sum() + 1) for p in parts) - grad.sum() ** 2 / (hess.sum() + 1)
+                if gain > best + 1e-12:
+                    best, cells = gain, np.zeros(shape)
+                    for p in parts:
+                        cells[p] = grad[p].sum() / (hess[p].sum() + 1)
+        got, out = quality._quadrants(grad, hess)
+        assert got == pytest.approx(best, abs=1e-9) and np.allclose(out, cells)
+    x = rng.uniform(0, 1, (1200, 3))
+    y = ((x[:, 0] > 0.5) != (x[:, 2] > 0.5)).astype(float)
+    alone, both = (quality.fit(x, y, rounds=20, n_pairs=n) for n in (0, 1))
+    assert [(i, j) for i, j, _ in both.pairs] == [(2, 0)]
+    right = lambda model: ((model.score(x) > 0.5) == (y > 0.5)).mean()
+    assert right(alone) < 0.7 < 0.95 < right(both)
+    bins = both.bins(x)
+    for r in range(50):
+        total = both.bias + sum(t[bins[r, i]] for i, t in enumerate(both.tables)) + sum(t[bins[r, i] // both.coarse, bins[r, j] // both.coarse] for i, j, t in both.pairs)
+        assert both.score(x[r : r + 1])[0] == pytest.approx(1 / (1 + math.exp(-total)))
