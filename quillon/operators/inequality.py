@@ -2,7 +2,7 @@
 
 1. Each side is range-partitioned by its first attribute, and a partition is cut in blocks of the second one's order. The
    smallest and the largest value of both attributes are known of each block, so most pairs of blocks are ruled out: a few
-   very long intervals only make few blocks wide. These bounds, a row a block, are what the driver sees.
+   very long intervals only make few blocks wide. Where there are many blocks, their bounds are joined in this same way.
 2. The pairs of blocks that are left are tasks. A task joins by sorted orders: right rows are sorted by either attribute, and
    a permutation leads from the second order to the first. Left rows come in the order of the second attribute; right rows
    whose second attribute fits are marked in a bit array in the first order, where those whose first attribute fits lie in a
@@ -24,6 +24,8 @@ from ..functions.shipping import ship
 OPERATORS = ("<", "<=", ">", ">=")
 #: Rows of a block; a task makes the square of it at most.
 BLOCK = 1_024
+#: Blocks of a side whose bounds the driver compares.
+FEW = 2_048
 
 
 def matches(one: np.ndarray, two: np.ndarray, x: np.ndarray, y: np.ndarray, first: str, second: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -53,35 +55,43 @@ def matches(one: np.ndarray, two: np.ndarray, x: np.ndarray, y: np.ndarray, firs
             yield np.full(len(hit), i), by_x[hit + low[i]]
 
 
-def _blocks(df: DataFrame, first: str, second: str, block: int) -> DataFrame:
+def _blocks(df: DataFrame, first: str, second: str, block: int, parts: int) -> DataFrame:
     """Written: block, _a, _b and row (all columns) of the rows of df without nulls in the attributes."""
     rows = df.select(F.col(first).alias("_a"), F.col(second).alias("_b"), F.struct("*").alias("row")).filter("_a is not null and _b is not null")
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # A hash of the row deals out rows of one value.
-    ordered = rows.repartitionByRange(n, "_a", F.xxhash64(F.to_json("row"))).sortWithinPartitions("_b").withColumn("_at", F.monotonically_increasing_id())
+    ordered = rows.repartitionByRange(parts, "_a", F.xxhash64(F.to_json("row"))).sortWithinPartitions("_b").withColumn("_at", F.monotonically_increasing_id())
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     label = (F.shiftleft(part, 33) + F.floor(place / block)).cast("bigint")
     return held(ordered.select(label.alias("block"), "_a", "_b", "row"))
 
 
-def _bounds(blocks: DataFrame) -> list:
-    return blocks.groupBy("block").agg(*[f(c).alias(f"{f.__name__}{c}") for c in ("_a", "_b") for f in (F.min, F.max)]).collect()
+def _bounds(blocks: DataFrame, first: str, second: str, left: bool, names: list[str]) -> DataFrame:
+    """Of each block, the value of either attribute that matches most: a block pair has a match only if these match."""
+    most = [F.min(c) if (op[0] == "<") == left else F.max(c) for c, op in (("_a", first), ("_b", second))]
+    found = blocks.groupBy("block").agg(*[m.alias(n) for m, n in zip(most, names[1:])])
+    return held(found.withColumnRenamed("block", names[0]))
 
 
 def _meeting(left: list, right: list, first: str, second: str) -> list[tuple[int, int]]:
-    """Pairs of blocks whose bounds leave room for a match."""
-    if not left or not right:
-        return []
+    """Of rows (block, value, value) of either side, the pairs of blocks whose values match."""
     can = np.ones((len(left), len(right)), bool)
-    for column, op in (("_a", first), ("_b", second)):
-        if op[0] == "<":  # the smallest left value against the largest right one
-            l, r = [b[f"min{column}"] for b in left], [b[f"max{column}"] for b in right]  # noqa: E741
-        else:
-            l, r = [b[f"max{column}"] for b in left], [b[f"min{column}"] for b in right]  # noqa: E741
-        values = {v: i for i, v in enumerate(sorted({*l, *r}, key=lambda v: (isinstance(v, float) and v != v, v)))}
-        l, r = (np.array([values[v] for v in vs])[shape] for vs, shape in ((l, np.s_[:, None]), (r, np.s_[None, :])))  # noqa: E741
-        can &= {"<": np.less, "<=": np.less_equal, ">": np.greater, ">=": np.greater_equal}[op](l, r)
-    return [(left[i]["block"], right[j]["block"]) for i, j in zip(*np.nonzero(can))]
+    for c, op in ((1, first), (2, second)):
+        sides = [[r[c] for r in rows] for rows in (left, right)]
+        ranks = {v: i for i, v in enumerate(sorted({*sides[0], *sides[1]}, key=lambda v: (isinstance(v, float) and v != v, v)))}
+        own, other = (np.array([ranks[v] for v in vs], np.int64) for vs in sides)
+        can &= {"<": np.less, "<=": np.less_equal, ">": np.greater, ">=": np.greater_equal}[op](own[:, None], other[None, :])
+    return [(left[i][0], right[j][0]) for i, j in zip(*(x.tolist() for x in np.nonzero(can)))]
+
+
+def _block_pairs(ours: DataFrame, theirs: DataFrame, first: str, second: str, block: int, few: int) -> DataFrame:
+    """one, two: the pairs of blocks that may hold a match. Up to `few` blocks a side are compared on the driver; more of them
+    are rows of a join like this one, a thousandth of the size."""
+    one, two = _bounds(ours, first, second, True, ["one", "_l1", "_l2"]), _bounds(theirs, first, second, False, ["two", "_r1", "_r2"])
+    n = max(one.count(), two.count())
+    if n > few:
+        return held(inequality_join(one, two, ("_l1", first, "_r1"), ("_l2", second, "_r2"), block, few, max(1, n // block)).select("one", "two"))
+    met = _meeting(one.collect(), two.collect(), first, second)
+    return held(ours.sparkSession.createDataFrame(met, "one bigint, two bigint"))
 
 
 def _values(column: pa.ChunkedArray) -> np.ndarray:
@@ -99,21 +109,22 @@ def _values(column: pa.ChunkedArray) -> np.ndarray:
     return values
 
 
-def inequality_join(left: DataFrame, right: DataFrame, first: tuple[str, str, str], second: tuple[str, str, str], block: int = BLOCK) -> DataFrame:
+def inequality_join(left: DataFrame, right: DataFrame, first: tuple[str, str, str], second: tuple[str, str, str], block: int = BLOCK, few: int = FEW, parts: int | None = None) -> DataFrame:
     """Pairs of a row of left and one of right for which both inequalities hold, with all columns of both.
 
     first, second: (column of left, one of < <= > >=, column of right). Columns of the two sides must differ in name. A null
     attribute matches nothing; NaN is larger than any number and equal to itself, as everywhere in Spark. Rows that repeat
-    match as often as they stand. Where a side is empty, there are no rows.
+    match as often as they stand. Where a side is empty, there are no rows. parts: range partitions of a side; as many as Spark
+    shuffles to, if not given.
     """
     spark = left.sparkSession
     ship(spark)
     (a, op_a, x), (b, op_b, y) = first, second
     if op_a not in OPERATORS or op_b not in OPERATORS:
         raise ValueError(f"only {', '.join(OPERATORS)} can be joined on")
-    ours, theirs = _blocks(left, a, b, block), _blocks(right, x, y, block)
-    met = _meeting(_bounds(ours), _bounds(theirs), op_a, op_b)
-    pairs = held(spark.createDataFrame([(i, *p) for i, p in enumerate(met)], "pair bigint, one bigint, two bigint"))
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ours, theirs = _blocks(left, a, b, block, parts), _blocks(right, x, y, block, parts)
+    pairs = _block_pairs(ours, theirs, op_a, op_b, block, few)
     names = [*left.columns, *right.columns]
 
     def join(one: pa.Table, two: pa.Table) -> pa.Table:
@@ -124,6 +135,6 @@ def inequality_join(left: DataFrame, right: DataFrame, first: tuple[str, str, st
         return pa.Table.from_arrays(columns, names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*left.schema.fields, *right.schema.fields])
-    one = ours.join(pairs.select(F.col("one").alias("block"), F.col("pair").alias("_left")), "block").drop("block").groupBy("_left")
-    two = theirs.join(pairs.select(F.col("two").alias("block"), F.col("pair").alias("_right")), "block").drop("block").groupBy("_right")
-    return one.cogroup(two).applyInArrow(join, schema)
+    one = ours.join(pairs.select(F.col("one").alias("block"), F.col("one").alias("_one"), F.col("two").alias("_two")), "block").drop("block")
+    two = theirs.join(pairs.select(F.col("two").alias("block"), F.col("one").alias("_first"), F.col("two").alias("_second")), "block").drop("block")
+    return one.groupBy("_one", "_two").cogroup(two.groupBy("_first", "_second")).applyInArrow(join, schema)
