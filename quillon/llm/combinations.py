@@ -50,6 +50,8 @@ FREQUENT = 1 << 17
 SHARE = 4
 #: Keys of up to this many sets pair all; sets of a larger key that are compared in one task, squared.
 SHORT, BLOCK = 8, 512
+#: Sets of a family that meet in one task, about.
+GROUP = 256
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -268,48 +270,68 @@ def _pairs(one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
 
-def _apart(one: list[bytes], two: list[bytes]) -> np.ndarray:
-    """In how many parities each of one differs from the one of two beside it; the wider ones are folded."""
-    out = []
-    for a, b in zip(one, two):
-        width = min(len(a), len(b)) // 8
-        x, y = (np.bitwise_xor.reduce(np.frombuffer(w, np.uint64).reshape(-1, width), axis=0) for w in (a, b))
-        out.append(int(np.bitwise_count(x ^ y).sum()))
-    return np.array(out, np.int64)
+def _one_by_one(pairs: DataFrame, sets: DataFrame, column: str, decode, fits) -> DataFrame:
+    """Those of the different pairs a, b for which fits(n of a, n of b, value of a, value of b) holds; decode makes a value of
+    what the column holds.
 
+    Pairs of one family are looked at together, so that a set travels once for all of them, not once for each: a family is
+    what has one smallest neighbour, and families of more than GROUP sets are cut in parts, each pair of parts being a task.
+    """
+    ends = pairs.select(F.col("a").alias("fp"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    nodes = written(ends.groupBy("fp").agg(F.min("other").alias("other")).select("fp", F.least("fp", "other").alias("family")), "families")
+    parts = nodes.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("bigint").alias("parts"))
+    sized = nodes.join(parts, "family")
+    one, two = (sized.select(F.col("fp").alias(k), F.col("family").alias(f"family_{k}"), F.col("parts").alias(f"parts_{k}")) for k in "ab")
+    first = F.col("family_a") <= F.col("family_b")
+    within = F.when(first, F.col("parts_a")).otherwise(F.col("parts_b"))
+    x, y = (F.pmod(F.xxhash64(k), within) for k in "ab")
+    task = F.xxhash64(F.least("family_a", "family_b"), F.least(x, y), F.greatest(x, y))
+    placed = written(pairs.join(one, "a").join(two, "b").select(task.alias("task"), "a", "b"), "placed-pairs")
+    wanted = placed.select("task", F.col("a").alias("fp")).union(placed.select("task", "b")).distinct()
+    values = sets.select("fp", "n", F.col(column).alias("v")).join(nodes.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.any_value("n").alias("n"), F.any_value("v").alias("v"))
+    rows = wanted.join(values, "fp").select("task", F.lit(0).alias("side"), F.col("fp").alias("a"), F.lit(0).cast("bigint").alias("b"), "n", "v")
+    rows = rows.unionByName(placed.select("task", F.lit(1).alias("side"), "a", "b", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("v")))
 
-def _verified(pairs: DataFrame, sets: DataFrame, s: Fraction) -> DataFrame:
-    """Written: those of the different pairs a, b whose sets are similar, by parities first and then by the sets."""
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in _whole_runs(batches):
+            side, a, b, n = (table.column(i).to_numpy() for i in range(1, 5))
+            for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                cut = x + int((side[x:y] == 0).sum())
+                held = {fp: (size, decode(v.as_buffer())) for fp, size, v in zip(a[x:cut].tolist(), n[x:cut].tolist(), table.column(5).slice(x, cut - x))}
+                good = []
+                for i, j in zip(a[cut:y].tolist(), b[cut:y].tolist()):
+                    (n_i, v_i), (n_j, v_j) = held[i], held[j]
+                    good.append(fits(n_i, n_j, v_i, v_j))
+                good = np.array(good, bool)
+                if good.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(a[cut:y][good]), pa.array(b[cut:y][good])], ["a", "b"])
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            good = _apart(batch.column(4).to_pylist(), batch.column(5).to_pylist()) <= most_apart(total, s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+    dealt = rows.repartition("task").sortWithinPartitions("task", "side")
+    return dealt.mapInArrow(lambda batches: given_back(check(batches)), "a bigint, b bigint")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for n, m, one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
-                x, y = (np.unique(unpacked(w.as_buffer())) for w in (one, two))
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                good.append(shared * s.denominator >= (n + m - shared) * s.numerator)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    def joined(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-        one, two = (sets.select(F.col("fp").alias(k), F.col("n").alias(f"n_{k}"), F.col(column).alias(f"v_{k}")) for k in "ab")
-        return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "v_a", "v_b")
+def _near(pairs: DataFrame, sets: DataFrame, s: Fraction) -> DataFrame:
+    """Written: the different pairs a, b but those whose parities are too far apart; the wider ones are folded."""
+
+    def fits(n: int, m: int, one: np.ndarray, two: np.ndarray) -> bool:
+        width = min(len(one), len(two))
+        x, y = (np.bitwise_xor.reduce(w.reshape(-1, width), axis=0) for w in (one, two))
+        return int(np.bitwise_count(x ^ y).sum()) <= most_apart(n + m, s)
+
+    return written(_one_by_one(pairs, sets, "bits", lambda raw: np.frombuffer(raw, np.uint64), fits), "close-pairs")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, s: Fraction) -> DataFrame:
+    """Written: those of the different pairs a, b whose sets are similar."""
 
-    def of(pairs: DataFrame, columns: list[str]) -> DataFrame:
-        """One row of each set that pairs name."""
-        named = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-        rows = sets.select("fp", *columns).join(named, "fp", "left_semi")
-        return rows.groupBy("fp").agg(*[F.any_value(c).alias(c) for c in columns])
+    def fits(n: int, m: int, one: np.ndarray, two: np.ndarray) -> bool:
+        if len(one) > len(two):
+            one, two = two, one
+        at = np.searchsorted(two, one)
+        shared = int((two[np.minimum(at, len(two) - 1)] == one).sum())
+        return shared * s.denominator >= (n + m - shared) * s.numerator
 
-    near = written(joined(pairs, written(of(pairs, ["n", "bits"]), "parities-of-pairs"), "bits").mapInArrow(lambda b: given_back(close(b)), "a bigint, b bigint"), "close-pairs")
-    whole = written(of(near, ["n", "members"]), "sets-of-pairs")
-    return written(joined(near, whole, "members").mapInArrow(lambda b: given_back(check(b)), "a bigint, b bigint"), "similar-pairs")
+    return written(_one_by_one(pairs, sets, "members", lambda raw: np.unique(unpacked(raw)), fits), "similar-pairs")
 
 
 def _block_pairs(rows: DataFrame, block: int) -> DataFrame:
@@ -370,22 +392,29 @@ def _pairs_of_blocks(s: Fraction, spanning: bool):
         if not spanning:
             i, j = np.nonzero(np.triu(near))
             return _pairs(fp[i], fp[j])
-        left, queue, one, two = np.ones(m, bool), [], [], []
-        while True:
-            if not queue:
-                rest = np.flatnonzero(left)
-                if not len(rest):
-                    break
-                queue.append(int(rest[0]))
-                left[rest[0]] = False
-            i = queue.pop()
-            new = left & (near[i] | (root == root[i]))
-            hit = np.flatnonzero(new & near[i])
-            one.append(np.full(len(hit), i))
-            two.append(hit)
-            queue += np.flatnonzero(new).tolist()
-            left &= ~new
-        i, j = np.concatenate(one), np.concatenate(two)
+        order = np.argsort(fp)  # a set is joined to its smallest neighbour, so that keys ask for the same pairs
+        label, place = np.unique(root, return_inverse=True)[1], np.argsort(order)
+        one, two = [], []
+
+        def join(i: int, j: int) -> None:
+            if label[i] != label[j]:
+                one.append(i)
+                two.append(j)
+                label[label == label[j]] = label[i]
+
+        for i in order.tolist():
+            lower = np.flatnonzero(near[i])
+            if len(lower):
+                j = int(lower[np.argmin(place[lower])])
+                if place[j] < place[i]:
+                    join(i, j)
+        i, j = np.nonzero(near)
+        while len(i):
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            if len(i):
+                join(int(i[0]), int(j[0]))
+        i, j = np.array(one, np.int64), np.array(two, np.int64)
         return _pairs(fp[i], fp[j]) if len(i) else None
 
     return find
@@ -428,7 +457,7 @@ def similar_groups(
     shared = _shared(sets, Keys(tokens, kinds, s, classes))
     dealt = shared.select("key", "n", "fp").repartition("key").sortWithinPartitions("key", "n", "fp")
     tried = written(dealt.mapInArrow(lambda b: given_back(_first_pairs(s)(b)), "a bigint, b bigint").distinct(), "first-pairs")
-    links = _verified(tried, sets, s)
+    links = _verified(_near(tried, sets, s), sets, s)
     roots = _roots(links)
     for spanning in (True, False):
         more = _more_pairs(shared, roots, sets, s, block, spanning)
