@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shared import held
@@ -40,17 +42,32 @@ def range_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high:
     return left.join(right, ["_level", "_bin"]).filter(F.col(at).between(F.col(low), F.col(high))).drop("_level", "_bin")
 
 
-def as_of_join(rows: DataFrame, facts: DataFrame, key: str, time: str, order: str, value: str, name: str) -> DataFrame:
+def as_of_join(rows: DataFrame, facts: DataFrame, key: str, time: str, order: str, value: str, name: str, stretch: Callable[[Column], Column] | None = None) -> DataFrame:
     """rows with name: value of the last of facts with the same key and a time not after theirs; null if there is none.
 
-    Both have key, time and order, which decides between equal times. One window over both takes the place of a join, so
-    pairs are never made.
+    Both have key, time and order, which decides between equal times. Facts whose value is null do not count. One window over
+    both takes the place of a join, so pairs are never made.
+
+    stretch: cuts time in stretches that ascend with it, such as days, so that a key with very many rows is many tasks: each
+    stretch is a window of its own, and rows before its first fact take the last one of the stretches before, of which there
+    is a row for each key and stretch.
     """
     both = rows.withColumn("_fact", F.lit(None).cast(facts.schema[value].dataType)).withColumn("_late", F.lit(1)).unionByName(
         facts.select(key, time, order, F.col(value).alias("_fact"), F.lit(0).alias("_late")), allowMissingColumns=True
     )
-    before = Window.partitionBy(key).orderBy(time, "_late", order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn(name, F.last("_fact", ignorenulls=True).over(before)).filter("_late = 1").drop("_fact", "_late")
+    parts = [key] if stretch is None else [key, "_stretch"]
+    both = both if stretch is None else both.withColumn("_stretch", stretch(F.col(time)))
+    before = Window.partitionBy(*parts).orderBy(time, "_late", order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn(name, F.last("_fact", ignorenulls=True).over(before)).filter("_late = 1").drop("_fact", "_late")
+    if stretch is None:
+        return found
+    known = facts.filter(F.col(value).isNotNull()).select(F.col(key).alias("_key"), stretch(F.col(time)).alias("_stretch"), F.struct(time, order, F.col(value).alias("fact")).alias("_at"))
+    lasts = known.groupBy("_key", "_stretch").agg(F.max("_at").alias("_at")).unionByName(rows.select(F.col(key).alias("_key"), stretch(F.col(time)).alias("_stretch")).distinct(), allowMissingColumns=True)
+    lasts = lasts.groupBy("_key", "_stretch").agg(F.max("_at").alias("_at"))
+    earlier = Window.partitionBy("_key").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select("_key", F.col("_stretch").alias("_of"), F.last("_at", ignorenulls=True).over(earlier)["fact"].alias("_carried")).filter("_carried is not null")
+    same = (F.col(key) == F.col("_key")) & (F.col("_stretch") == F.col("_of"))
+    return found.join(carried, same, "left").withColumn(name, F.coalesce(name, "_carried")).drop("_key", "_of", "_stretch", "_carried")
 
 
 def places(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:

@@ -47,7 +47,7 @@ def as_of_join(spark, sf_dir):
     """The last view of the user before each purchase."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
     kind = lambda k: events.filter(F.col("event_type") == k).drop("event_type").withColumn("seen", F.col("event_id"))
-    return R.as_of_join(kind("purchase").drop("seen"), kind("view"), "user_id", "ts", "event_id", "seen", "view_id").select("event_id", F.col("view_id").cast("string"))
+    return R.as_of_join(kind("purchase").drop("seen"), kind("view"), "user_id", "ts", "event_id", "seen", "view_id", F.to_date).select("event_id", F.col("view_id").cast("string"))
 
 
 sql_query(

@@ -217,3 +217,21 @@ def test_range_join_of_any_length(spark):
     assert sorted((r.p, r.s) for r in got.collect()) == expected and got.columns == ["p", "at", "s", "low", "high"]
     assert ranges.range_join(points, frames.limit(0), "at", "low", "high").count() == 0
     assert not re.search(r"CartesianProduct|NestedLoop", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_as_of_join_by_stretches(spark):
+    """Stretches of time give what one window gives: first rows of a stretch, equal times, null keys and values, keys without facts."""
+    rng = random.Random(4)
+    make = lambda n: [(rng.choice("aab") if rng.random() > 0.1 else None, rng.randrange(60), i, rng.choice((None, f"v{i}"))) for i in range(n)]
+    rows, facts = make(200) + [("none", 5, 999, "x")], make(40)
+    frames = [spark.createDataFrame(x, "k string, t int, o int, v string") for x in (rows, facts)]
+    frames[0] = frames[0].drop("v")
+    plain = ranges.as_of_join(*frames, "k", "t", "o", "v", "last")
+    cut = ranges.as_of_join(*frames, "k", "t", "o", "v", "last", lambda c: F.floor(c / 7))
+    assert cut.columns == plain.columns == ["k", "t", "o", "last"]
+    got = {r.o: r.last for r in cut.collect()}
+    for k, t, o, _ in rows:
+        before = [(x[1], x[2], x[3]) for x in facts if x[0] == k and k is not None and x[1] <= t and x[3] is not None]
+        if k is not None:
+            assert got[o] == (max(before)[2] if before else None), (k, t, o)
+    assert len(got) == len(rows) == cut.count()
