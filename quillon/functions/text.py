@@ -32,6 +32,28 @@ def fold(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(F.lower(text), old, new))
 
 
+@lru_cache
+def pictographs() -> str:
+    """Pattern of a pictograph with what belongs to it: variation selectors, and further pictographs behind joiners. Java 17 has
+    no class for the property Extended_Pictographic, so its ranges are taken from a library that has."""
+    import regex
+
+    one, ranges = regex.compile(r"\p{Extended_Pictographic}"), []
+    for code in range(0x20000):
+        if not 0xD800 <= code < 0xE000 and one.match(chr(code)):
+            if ranges and ranges[-1][1] == code - 1:
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+    any_of = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" if a < b else f"\\x{{{a:X}}}" for a, b in ranges) + "]"
+    return rf"{any_of}(?:\x{{FE0F}}|\x{{200D}}{any_of})*"
+
+
+def wrap_pictographs(text: Column, before: str, after: str) -> Column:
+    """Every pictograph between before and after; digits, flags of letters and skin tones are none."""
+    return F.regexp_replace(text, f"({pictographs()})", f"{before}$1{after}")
+
+
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value evaluated once for each row however often it stands in use."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -59,13 +59,27 @@ def html_escape(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(T.escape_html(F.col("html")), 256).alias("escaped_sha256"))
 
 
-#: Code-point ranges of pictographs; Java 17 has no class for them.
-_PICTOGRAPHS = r"[\x{2190}-\x{21FF}\x{2600}-\x{27BF}\x{1F300}-\x{1FAFF}][\x{FE0F}\x{200D}\x{2600}-\x{27BF}\x{1F300}-\x{1FAFF}]*"
+@query("r73_emoji_wrapping", rf"SELECT doc_id, sha256(regexp_replace(text, '({T.pictographs()})', '<span>\1</span>', 'g')) AS wrapped_sha256 FROM documents")
+def emoji_wrapping(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.wrap_pictographs(F.col("text"), "<span>", "</span>"), 256).alias("wrapped_sha256"))
 
 
-@query("r73_emoji_wrapping", rf"SELECT doc_id, sha256(regexp_replace(text, '({_PICTOGRAPHS})', '<span>\1</span>', 'g')) AS wrapped_sha256 FROM documents")
-def emoji_wrapping(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.regexp_replace("text", f"({_PICTOGRAPHS})", "<span>$1</span>"), 256).alias("wrapped_sha256"))
+#: Pictographs alone, with a selector, joined, with a skin tone; signs of old blocks; and what is none: a flag, a keycap, a letter.
+_MARKS = ("\U0001f44d", "❤\ufe0f", "\U0001f469\u200d\U0001f4bb", "\U0001f44d\U0001f3fd", "©", "™\u231a", "\U0001f1ea\U0001f1f8", "1\ufe0f\u20e3", "é")
+
+
+@query(
+    "r73_pictographs",
+    rf"""
+    WITH m AS (SELECT event_id, 'x' || [{", ".join(f"'{m}'" for m in _MARKS)}][event_id % {len(_MARKS)} + 1] || [{", ".join(f"'{m}'" for m in _MARKS)}][user_id % {len(_MARKS)} + 1] || ' y' AS s FROM events)
+    SELECT event_id, regexp_replace(s, '({T.pictographs()})', '<b>\1</b>', 'g') AS wrapped FROM m
+    """,
+)
+def marked_messages(spark, sf_dir):
+    """Messages made of events with two marks each, next to each other."""
+    mark = lambda c: F.element_at(F.array(*[F.lit(m) for m in _MARKS]), (F.col(c) % len(_MARKS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("x"), mark("event_id"), mark("user_id"), F.lit(" y")).alias("s"))
+    return rows.select("event_id", T.wrap_pictographs(F.col("s"), "<b>", "</b>").alias("wrapped"))
 
 
 _DATES = r"\b[0-9]{1,2}-[IVX]+-[0-9]{4}\b"

@@ -235,3 +235,14 @@ def test_as_of_join_by_stretches(spark):
         if k is not None:
             assert got[o] == (max(before)[2] if before else None), (k, t, o)
     assert len(got) == len(rows) == cut.count()
+
+
+def test_pictographs_by_property(spark):
+    """The pattern for the JVM against the property itself, over every code point below the private planes and some sequences."""
+    import regex
+
+    texts = ["".join(chr(c) for c in range(a, min(a + 512, 0x20000)) if not 0xD800 <= c < 0xE000 and c not in (0xFE0F, 0x200D)) for a in range(0, 0x20000, 512)]
+    texts += ["a\U0001f469‍\U0001f4bbb\U0001f469‍x", "❤️️❤", "‍\U0001f44d‍‍\U0001f44d", "1️⃣ \U0001f1ea\U0001f1f8", ""]
+    plain = regex.compile("(\\p{Extended_Pictographic}(️|‍\\p{Extended_Pictographic})*)")
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts) if t], "i int, t string").select("i", text.wrap_pictographs(F.col("t"), "<", ">").alias("w")).collect()
+    assert {r.i: r.w for r in rows} == {i: plain.sub(r"<\1>", t) for i, t in enumerate(texts) if t}
