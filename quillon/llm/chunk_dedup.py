@@ -97,7 +97,8 @@ def repeats(docs: DataFrame, least: int = LEAST, most: int = MOST, run: int = RU
 
     docs: doc_id, text. The first occurrence is that of the smallest doc_id (null first), then of the smallest row and
     place. Shared chunks count only in runs of at least `run` bytes or of the whole text. Null text counts as empty and has no chunk; rows
-    that repeat a text are different documents, of which one stays whole. An empty table gives no rows.
+    that repeat a text are different documents, of which one stays whole. Texts are cut whole, however long. Columns other than
+    doc_id and text are not read, whatever their names. An empty table gives no rows.
 
     A chunk that very many documents share is combined before the shuffle, and its rows are split by the join.
     """

@@ -94,8 +94,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = CYCLE, share: float = 1.5,
     Returns doc_id, source, size, source_size, target, copies; one row for each row of docs.
 
     Documents of size 0, or of no weight above 0, get no copies; a source of size 0 has target 0; a null source is a source
-    like any other; rows that repeat doc_id and size rank alike, and doc_id, then size decide ties. An empty table gives
-    no rows.
+    like any other; rows that repeat doc_id and size rank alike, and doc_id, then size decide ties. A document longer than its
+    source's target leaves is passed over for the next ones that fit. Other columns are not read, whatever their names. An
+    empty table gives no rows.
 
     The sample of a source ends within one of about sqrt(n) slices of its ranks (n: its documents). Slices before that
     one are taken whole; only the documents of that and the next few slices are gone through one by one, so no task holds
@@ -152,7 +153,8 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size (words) of every document, written once so that the texts are read once."""
+    """doc_id, source and size (words of the whole text, however long; null: 0) of every document, written once so that the
+    texts are read once. Other columns are not read, whatever their names."""
     return written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
 
 

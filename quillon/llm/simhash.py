@@ -236,7 +236,8 @@ def near_groups(docs: DataFrame, shingle: int = 4, seed: int = 42, hot: int = HO
     """doc_id, fp and component_id (the smallest doc_id reachable over links) of every row of docs.
 
     Null and empty texts, and texts of white space, have fingerprint 0 and are linked like any others. Rows that repeat
-    count once each. A null doc_id is never a component_id unless its component has no other. An empty table gives no rows.
+    count once each. A null doc_id is never a component_id unless its component has no other. Texts count whole, however long,
+    and columns other than doc_id and text only for telling rows apart, whatever their names. An empty table gives no rows.
     """
     prints = written(fingerprints(docs, shingle, seed), "fingerprints")
     named = _roots(prints, hot)

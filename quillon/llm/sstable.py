@@ -238,7 +238,9 @@ def write_shards(docs: DataFrame, target: str, tokenizer: str, end_id: int = 0,
     A task holds one shard at a time and begins the next one when that has shard_bytes.
 
     Null text counts as empty: the end id alone. A null doc_id comes first. Rows that repeat a doc_id stand next to each
-    other, ordered by a hash of their texts, and may fill several shards. An empty table gives no shards.
+    other, ordered by a hash of their texts, and may fill several shards. A text is encoded whole, however long, and is one entry, so a
+    shard may grow past shard_bytes by one. Other columns are not read, whatever their names. doc_ids are whole numbers of 64
+    bits. An empty table gives no shards.
     """
     ship(docs.sparkSession)
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -329,7 +329,8 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, short: int
 
     docs: doc_id, text. Null text counts as empty. A text shorter than the window stays whole. Rows that repeat a text are
     different places, so all of such a text of at least `window` bytes goes. Null and repeated doc_ids are documents
-    like any others. An empty table gives no rows.
+    like any others. Texts count whole, however long: their anchors are found piece by piece. Columns other than doc_id and
+    text are not read, whatever their names. An empty table gives no rows.
     """
     ship(docs.sparkSession)
     short = min(short, window)
