@@ -110,7 +110,39 @@ QUERIES = {
     "op13_jaccard_join": op13_jaccard_join,
 }
 
+def _merkle_sql(levels: int = 6) -> str:
+    """DuckDB SQL for op11: as many levels of runs, in the sources and above them, so for 16^levels rows of a source. A tree of
+    one node stays as it is from level to level."""
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # crc32: bit by bit, over the digits of doc_id.
+    turn = "list_reduce(list_concat([xor(c, b)], range(8)), lambda v, _: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+    crc = f"xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: {turn}), 4294967295)"
+    parts = [
+        f"x AS (SELECT *, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(lowered)} ELSE {leaf('text')} END AS shown FROM documents)",
+        "d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM x)",
+        "n0 AS (SELECT tree, place, leaf AS h FROM d)",
+        "pn0 AS (SELECT doc_id, leaf, tree, place AS own, place, shown, '' AS proof FROM d)",
+    ]
+    for k in "nt":
+        if k == "t":
+            parts.append(f"t0 AS (SELECT 0 AS tree, tree AS place, h FROM n{levels})")
+            parts.append(f"pt0 AS (SELECT doc_id, leaf, 0 AS tree, tree AS own, tree AS place, shown, proof FROM pn{levels})")
+        for i in range(levels):
+            parts.append(f"g{k}{i} AS (SELECT tree, place // 16 AS run, list(h ORDER BY place) AS hs, any_value(n) AS n FROM {k}{i} JOIN (SELECT tree, count(*) AS n FROM {k}{i} GROUP BY tree) USING (tree) GROUP BY tree, place // 16)")
+            parts.append(f"{k}{i + 1} AS (SELECT tree, run AS place, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM g{k}{i})")
+            sides = [f"CASE WHEN n = 1 THEN '' ELSE coalesce(array_to_string(hs[{cut}], ''), '') END" for cut in ("1 : place % 16", "place % 16 + 2 : 16")]
+            parts.append(
+                f"p{k}{i + 1} AS (SELECT doc_id, leaf, tree, own, run AS place, CASE WHEN n = 1 THEN shown ELSE sha256(before || shown || behind) END AS shown, proof || before || behind AS proof "
+                f"FROM (SELECT p.*, g.run, g.n, {sides[0]} AS before, {sides[1]} AS behind FROM p{k}{i} p JOIN g{k}{i} g ON p.tree = g.tree AND p.place // 16 = g.run))"
+            )
+    final = f"SELECT doc_id, leaf, s.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, shown AS folded_root, shown = r.h AS verified FROM pt{levels} p JOIN n{levels} s ON s.tree = p.own JOIN t{levels} r ON r.tree = 0"
+    return f"WITH {', '.join(parts)} {final}"
+
+
 ORACLES = {
+    "op11_merkle_manifest": _merkle_sql(),
     "op8_exact_dedup": """
         WITH t AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
