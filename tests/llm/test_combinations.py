@@ -64,7 +64,7 @@ def found(df):
     return sorted([tuple(r) for r in df.collect()], key=repr)
 
 
-@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+@pytest.mark.parametrize("sf", ["sf0.001"])  # larger tables are held against SQL
 def test_as_registered(spark, sf):
     got = queries.QUERIES["op13_jaccard_join"](spark, f"{DATA}/{sf}")
     assert got.columns == ["doc_id", "n_shingles", "component_id"]
