@@ -157,8 +157,8 @@ class Keys:
 
 
 def wide_parities(hashes: np.ndarray) -> bytes:
-    """Twice as many bits as shingles at least, and BITS at least: so many tell sets apart whose similarity is 0.03 lower."""
-    return parities(hashes, max(BITS, 1 << (2 * len(hashes) - 1).bit_length() if len(hashes) else 0))
+    """As many bits as shingles at least, and BITS at least."""
+    return parities(hashes, max(BITS, 1 << (len(hashes) - 1).bit_length() if len(hashes) else 0))
 
 
 def _sets(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
@@ -359,16 +359,19 @@ def _block_pairs(rows: DataFrame, block: int) -> DataFrame:
 
 def _pairs_of_blocks(s: Fraction, spanning: bool):
     """Pairs a, b of sorted rows (pair, side, fp, root, n, bits) that may be similar, of different roots: all, or with spanning
-    as many as connect what they and equal roots connect."""
+    as many as connect what they and equal roots connect. Where that leaves any out, a row says so by its pair of blocks,
+    left, alone."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds in _whole_runs(batches):
             side, fp, root, n = (rows.column(i).to_numpy() for i in range(1, 5))
             raw = rows.column(5).to_pylist()
             for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                out = pairs(side[x:y], fp[x:y], root[x:y], n[x:y], raw[x:y])
-                if out is not None:
-                    yield out
+                found, more = pairs(side[x:y], fp[x:y], root[x:y], n[x:y], raw[x:y])
+                if found is not None:
+                    yield pa.RecordBatch.from_arrays([*found.columns, pa.nulls(found.num_rows, pa.int64())], ["a", "b", "left"])
+                if more:
+                    yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 2, rows.column(0).slice(x, 1).combine_chunks().cast(pa.int64())], ["a", "b", "left"])
 
     def pairs(side, fp, root, n, raw):
         m = len(fp)
@@ -388,10 +391,10 @@ def _pairs_of_blocks(s: Fraction, spanning: bool):
                     hit = own[at[np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1) <= most_apart(n[own[at]] + n[i], s)]]
                     near[i, hit] = near[hit, i] = True
         if not near.any():
-            return None
+            return None, False
         if not spanning:
             i, j = np.nonzero(np.triu(near))
-            return _pairs(fp[i], fp[j])
+            return _pairs(fp[i], fp[j]), False
         order = np.argsort(fp)  # a set is joined to its smallest neighbour, so that keys ask for the same pairs
         label, place = np.unique(root, return_inverse=True)[1], np.argsort(order)
         one, two = [], []
@@ -415,7 +418,7 @@ def _pairs_of_blocks(s: Fraction, spanning: bool):
             if len(i):
                 join(int(i[0]), int(j[0]))
         i, j = np.array(one, np.int64), np.array(two, np.int64)
-        return _pairs(fp[i], fp[j]) if len(i) else None
+        return _pairs(fp[i], fp[j]), 2 * len(i) < int(near.sum())
 
     return find
 
@@ -424,8 +427,9 @@ def _roots(links: DataFrame) -> DataFrame:
     return written(components(links).withColumnRenamed("node", "fp"), "set-roots")
 
 
-def _more_pairs(shared: DataFrame, roots: DataFrame, sets: DataFrame, s: Fraction, block: int, spanning: bool) -> DataFrame | None:
-    """Pairs between components of one key that the first pairs need not have compared; None if no such key is left."""
+def _open_blocks(shared: DataFrame, roots: DataFrame, sets: DataFrame, block: int) -> tuple[DataFrame, DataFrame] | None:
+    """Written: the rows of _block_pairs of all keys that hold several components which the first pairs need not have compared,
+    and fp, bits of the sets there; None if there is no such key."""
     large = shared.groupBy("key").count().filter(F.col("count") > SHORT).select("key")
     rooted = shared.join(large, "key", "left_semi").join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"), "n")
     rooted = written(rooted, "rooted-keys")
@@ -435,8 +439,13 @@ def _more_pairs(shared: DataFrame, roots: DataFrame, sets: DataFrame, s: Fractio
     rows = written(rooted.join(several, "key", "left_semi"), "rows-of-open-keys")
     named = rows.select("fp").distinct()
     bits = written(sets.select("fp", "bits").join(named, "fp", "left_semi").groupBy("fp").agg(F.any_value("bits").alias("bits")), "parities-of-keys")
-    dealt = _block_pairs(rows, block).join(bits, "fp").select("pair", "side", "fp", "root", "n", "bits").repartition("pair").sortWithinPartitions("pair", "side", "fp")
-    return dealt.mapInArrow(lambda b: given_back(_pairs_of_blocks(s, spanning)(b)), "a bigint, b bigint").distinct()
+    return written(_block_pairs(rows, block), "rows-of-blocks"), bits
+
+
+def _compared(blocks: DataFrame, bits: DataFrame, s: Fraction, spanning: bool) -> DataFrame:
+    """Written: a, b, left as _pairs_of_blocks gives them, of rows (pair, side, fp, root, n)."""
+    dealt = blocks.join(bits, "fp").select("pair", "side", "fp", "root", "n", "bits").repartition("pair").sortWithinPartitions("pair", "side", "fp")
+    return written(dealt.mapInArrow(lambda b: given_back(_pairs_of_blocks(s, spanning)(b)), "a bigint, b bigint, left bigint").distinct(), "compared-blocks")
 
 
 def similar_groups(
@@ -459,16 +468,21 @@ def similar_groups(
     tried = written(dealt.mapInArrow(lambda b: given_back(_first_pairs(s)(b)), "a bigint, b bigint").distinct(), "first-pairs")
     links = _verified(_near(tried, sets, s), sets, s)
     roots = _roots(links)
-    for spanning in (True, False):
-        more = _more_pairs(shared, roots, sets, s, block, spanning)
-        if more is None:
-            break
-        more = written(more.join(tried, ["a", "b"], "left_anti"), "more-pairs")
-        found = _verified(more, sets, s)
-        tried = tried.unionByName(more)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = _roots(links)
+    opened = _open_blocks(shared, roots, sets, block)
+    if opened is not None:
+        blocks, bits = opened
+        for spanning in (True, False):
+            found = _compared(blocks, bits, s, spanning)
+            more = written(found.filter("left is null").select("a", "b").join(tried, ["a", "b"], "left_anti"), "more-pairs")
+            tried, similar = tried.unionByName(more), _verified(more, sets, s)
+            if not similar.isEmpty():
+                links = links.unionByName(similar)
+                roots = _roots(links)
+            # Only blocks whose pairs have been left out are compared again, by the components of now.
+            again = found.filter("left is not null").select(F.col("left").alias("pair"))
+            if not spanning or again.isEmpty():
+                break
+            blocks = written(blocks.drop("root").join(again, "pair", "left_semi").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "blocks-again")
     least = sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = written(least.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "least-of-sets")
     best = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "least-of-components")
