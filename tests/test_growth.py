@@ -32,3 +32,9 @@ def test_days_beyond_what_an_interval_holds(spark, folder):
     got = run(spark, folder, "d_intervals", orders=orders, lineitem=lines).first()
     days = spark.sql("SELECT datediff(date'9998-12-31', date'0001-01-02')").first()[0]
     assert (got.total_days, got.longest_days, got.late) == (60 * days, days, 60)
+
+
+def test_no_percentiles_by_part(spark):
+    plan = registry.QUERIES["d_approximate"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    by_part = re.findall(r"Aggregate\(keys=\[[^]]*l_partkey.*", plan)
+    assert by_part and not any("percentile" in line for line in by_part)
