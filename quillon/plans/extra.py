@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udtf, pandas_udf
 
 from ..functions.shipping import ship
+from ..operators import dominance
 from ..operators import ranges as R
 from ..sources import files
 from .registry import query, sql_query, table
@@ -31,8 +32,8 @@ for _name, _hint in (("d_merge_join", "MERGE(c, n)"), ("d_shuffled_hash_join", "
 def range_join(spark, sf_dir):
     """Parts whose price lies within 50 of a supplier's balance."""
     near = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") - 50).alias("low"), (F.col("s_acctbal") + 50).alias("high"))
-    pairs = R.range_join(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), near, "p_retailprice", "low", "high")
-    return pairs.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.min("p_partkey").alias("least"))
+    found = dominance.inequality_aggregate(table(spark, sf_dir, "part"), near, ("p_retailprice", ">=", "low"), ("p_retailprice", "<=", "high"), {"least": (F.min, "p_partkey")})
+    return found.groupBy("s_suppkey").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
 
 
 @query(

@@ -61,7 +61,7 @@ def test_aggregates_of_inequalities_against_pairs(spark, first, second, same):
     assert dominance.inequality_aggregate(one.limit(0), two, ("a", first, "x"), ("b", second, "y"), {}).count() == 0
 
 
-@pytest.mark.parametrize("name", ["d_inequality_join"])
+@pytest.mark.parametrize("name", ["d_inequality_join", "d_range_join", "d_range_join_of_any_length"])
 def test_no_pairs_are_made(spark, name):
     plan = registry.QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"CoGroup|_bin|_level|NestedLoop", plan)
