@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.functions import text
 from quillon.operators import dominance
 from quillon.plans import registry
 
@@ -65,3 +66,13 @@ def test_aggregates_of_inequalities_against_pairs(spark, first, second, same):
 def test_no_pairs_are_made(spark, name):
     plan = registry.QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"CoGroup|_bin|_level|NestedLoop", plan)
+
+
+def test_wide_ranges_hold_every_pictograph(spark):
+    """And letters of most scripts lie outside of them, so the narrow ranges are not asked about those."""
+    about, one = (re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: re.escape(chr(int(m[1], 16))), p)) for p in (text._about_pictographs(), text.pictographs().split("(?:")[0]))
+    codes = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    assert all(about.match(c) for c in codes if one.match(c))
+    assert not any(about.match(c) for c in "aé–ßжλ日本한")
+    frame = spark.createDataFrame([("plain",), ("é \U0001f469\u200d\U0001f4bb©!",), ("",), (None,)], "s string")
+    assert [r[0] for r in frame.select(text.wrap_pictographs(F.col("s"), "<", ">")).collect()] == ["plain", "é <\U0001f469\u200d\U0001f4bb><©>!", "", None]
