@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
@@ -93,6 +93,25 @@ def with_resets(events: DataFrame, folder: str, checkpoint: str, reset_kind: str
     return latest(spark.read.parquet(folder), ["user_id"], ["batch"], ["n_solved"])
 
 
+def since_reset(events: DataFrame, folder: str, checkpoint: str, reset_kind: str = "error") -> DataFrame:
+    """(user_id, n_solved): kinds of event since the user's last reset, by time and number, in whatever order they come.
+
+    The state is the last place of each kind of a user, a reset's among them, so it stays on the JVM and has a row for each.
+    A kind whose last event is before the reset does not count. Null users are no users, and a null kind is none.
+    """
+    rows = events.filter("user_id is not null").select("user_id", "event_type", F.struct("ts", "event_id").alias("place"))
+    state = rows.groupBy("user_id", "event_type").agg(F.max("place").alias("last"))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/batch_no={number}")
+
+    _drain(state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    found = latest(state.sparkSession.read.parquet(folder), ["user_id", "event_type"], ["batch"], ["last"])
+    reset = F.max(F.when(F.col("event_type") == reset_kind, F.col("last"))).over(Window.partitionBy("user_id"))
+    counts = (F.col("event_type") != reset_kind) & (F.col("reset").isNull() | (F.col("last") > F.col("reset")))
+    return found.withColumn("reset", reset).groupBy("user_id").agg(F.count_if(counts).alias("n_solved"))
+
+
 def windowed_counts(events: DataFrame, folder: str, checkpoint: str, late: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Events by kind and time window, with a watermark that lets state of old windows go."""
     counts = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))

@@ -76,3 +76,12 @@ def test_wide_ranges_hold_every_pictograph(spark):
     assert not any(about.match(c) for c in "aé–ßжλ日本한")
     frame = spark.createDataFrame([("plain",), ("é \U0001f469\u200d\U0001f4bb©!",), ("",), (None,)], "s string")
     assert [r[0] for r in frame.select(text.wrap_pictographs(F.col("s"), "<", ">")).collect()] == ["plain", "é <\U0001f469\u200d\U0001f4bb><©>!", "", None]
+
+
+def test_resets_without_python_state(spark, folder):
+    """Events in any order, a reset between two of one kind, a user without one, null kinds and null users."""
+    events = [(1, 5, "view", 10), (2, 5, "error", 20), (3, 5, "view", 30), (4, 5, "signup", 15), (6, 6, "view", 1), (5, 6, "signup", 1), (7, 7, "error", 9), (8, 8, None, 3), (9, None, "view", 4), (11, 9, "error", 5), (12, 9, "view", 5)]
+    rows = spark.createDataFrame([(i, u, k, s, 1.0, "{}") for i, u, k, s in reversed(events)], "event_id bigint, user_id bigint, event_type string, s bigint, value double, props string")
+    rows = rows.select("event_id", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, s)").alias("ts"), "user_id", "event_type", "value", "props")
+    got = run(spark, folder, "t04_reset", events=rows)
+    assert sorted(map(tuple, got.collect())) == [(5, 1), (6, 2), (7, 0), (8, 0), (9, 1)]
