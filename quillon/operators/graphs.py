@@ -56,18 +56,33 @@ def levels(edges: DataFrame, seeds: DataFrame, hub: int = HUB) -> DataFrame:
     return found
 
 
+#: Ways from passages that are told to all tasks; more are joined by a shuffle.
+TOLD = 200_000
+
+
 def closure(edges: DataFrame, hub: int = HUB) -> DataFrame:
     """src, dst and hops (the fewest edges between them) of every pair where dst can be reached from src. A node on a cycle
-    reaches itself."""
+    reaches itself.
+
+    Rounds go on from passages alone, the nodes with edges to and from them. What a node reaches that no edge leads to is
+    taken from its passages' ways in one aggregation afterwards, by its own key, so these pairs go through no round.
+    """
     graph = Graph.of(edges, hub)
-    found = frontier = held(graph.edges.select("src", "dst", F.lit(1).alias("hops")))
+    passages = held(graph.edges.select("src").distinct().join(graph.edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
+    found = frontier = held(graph.edges.join(passages, "src", "left_semi").select("src", "dst", F.lit(1).alias("hops")))
     hops = 1
     while not frontier.isEmpty():
         hops += 1
         pairs = graph.follow(frontier.select("src", "dst"), "dst").select("src", F.col("next").alias("dst")).distinct()
         frontier = held(pairs.join(found, ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops)))
         found = found.unionByName(frontier)
-    return found
+    first = graph.edges.join(passages, "src", "left_anti").select("src", "dst")
+    ways = found.select(F.col("src").alias("_at"), F.col("dst").alias("_end"), (F.col("hops") + 1).alias("hops"))
+    ways = F.broadcast(ways) if found.limit(TOLD + 1).count() <= TOLD else ways
+    further = first.repartition("src").join(ways, F.col("dst") == F.col("_at"), "left")
+    ends = F.array(F.struct("dst", F.lit(1).alias("hops")), F.struct(F.col("_end").alias("dst"), "hops"))
+    reached = further.select("src", F.explode(ends).alias("_x")).select("src", "_x.dst", "_x.hops").filter("dst is not null")
+    return found.unionByName(reached.groupBy("src", "dst").agg(F.min("hops").alias("hops")))
 
 
 def cycles(edges: DataFrame, hub: int = HUB) -> DataFrame:

@@ -56,6 +56,27 @@ def test_graphs_of_nothing(spark):
     assert graphs.levels(none, spark.createDataFrame([("a",)], "node string")).collect() == [("a", 0)]
 
 
+def test_rounds_go_on_from_passages(spark, monkeypatch):
+    """Nodes that no edge leads to go through no round, however many there are; ways beyond what is told to all tasks agree."""
+    edges = [(1000 + i, i % 3) for i in range(300)] + [(i, i + 1) for i in range(8)]
+    pairs = {(a, b): h for a in {a for a, _ in edges} for b, h in reach(edges, a).items()}
+    frame = spark.createDataFrame(edges, "src int, dst int")
+    sizes, held = [], graphs.held
+
+    def counted(df):
+        rows = held(df)
+        sizes.append(rows.count() if "hops" in df.columns else 0)
+        return rows
+
+    for told in (graphs.TOLD, 3):
+        monkeypatch.setattr(graphs, "TOLD", told, raising=False)
+        monkeypatch.setattr(graphs, "held", counted)
+        sizes.clear()
+        got = graphs.closure(frame).collect()
+        assert len(got) == len(pairs) and {(r.src, r.dst): r.hops for r in got} == pairs
+        assert sum(sizes) <= 8 * 8
+
+
 def test_rounds_leave_no_lineage(spark):
     """The plan of what a long way has found reads files alone."""
     chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "src int, dst int")
