@@ -18,13 +18,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from ..functions.shipping import ship
-from .memory import given_back
+from .memory import given_back, kept
 from .pretokens import Memory, cut, ranges, spread
 from .words import slices, texts_of
 
 #: No token's id; pairs with nothing.
 _NOTHING = 0xFFFFFFFF
-_HELD: dict[tuple[str, str], Codec] = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -220,10 +219,8 @@ def _pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
 
 
 def codec(path: str, pattern: str) -> Codec:
-    """The codec of a rank file, built once in each Python process."""
-    if (path, pattern) not in _HELD:
-        _HELD[path, pattern] = Codec(read_ranks(path), pattern)
-    return _HELD[path, pattern]
+    """The codec of a rank file, built once in each Python process and kept while its tasks encode."""
+    return kept(("byte_bpe", path, pattern), lambda: Codec(read_ranks(path), pattern))
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, most_bytes: int = 2 << 20) -> DataFrame:
@@ -237,7 +234,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, most_bytes: int = 2 << 20)
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids binary, ids_sha256 string, decoded_sha256 string"
-    return docs.mapInArrow(lambda batches: given_back(_encode(batches, path, pattern, most_bytes)), schema)
+    return docs.mapInArrow(lambda batches: given_back(_encode(batches, path, pattern, most_bytes), ("byte_bpe", path, pattern)), schema)
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str, most_bytes: int) -> Iterator[pa.RecordBatch]:

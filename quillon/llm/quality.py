@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.shipping import ship
 from . import sampling
 from .memory import given_back
-from .words import Words, slices, split_words, sums, texts_of
+from .words import Words, slices, split_words, sums, sums_of, texts_of
 
 #: Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = frozenset(
@@ -71,8 +71,9 @@ def _different(ids: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def features(texts: pa.Array) -> np.ndarray:
-    """One row of FEATURES for each text, over the whole text; an empty text has zeros."""
-    parts = [_features(texts.slice(a, b - a)) for a, b in slices(texts)]
+    """One row of FEATURES for each text, over the whole text; an empty text has zeros. A word takes some 200 bytes on the way,
+    so texts are taken in slices of about 1 MB; a longer one by itself."""
+    parts = [_features(texts.slice(a, b - a)) for a, b in slices(texts, 1 << 20)]
     return np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
 
 
@@ -81,12 +82,12 @@ def _features(texts: pa.Array) -> np.ndarray:
     n, counts = len(texts), w.counts
     share = np.maximum(counts, 1).astype(float)
     owner = np.repeat(np.arange(n), counts)
-    traits = _word_traits(w.unique)[w.ids] if len(w.ids) else np.zeros((0, 9))
-    by_text = sums(traits, w.starts)
+    traits = _word_traits(w.unique)
+    by_text = sums_of(traits, w.ids, w.starts)
     longest = np.zeros(n)
     filled = counts > 0
     if filled.any():
-        longest[filled] = np.maximum.reduceat(traits[:, 0], w.starts[:-1][filled])
+        longest[filled] = np.maximum.reduceat(traits[:, 0][w.ids], w.starts[:-1][filled])
 
     def again(step: int) -> np.ndarray:
         same = np.zeros(len(w.ids))
