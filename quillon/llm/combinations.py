@@ -13,7 +13,9 @@ All pairs of sets with a Jaccard similarity of s or more are linked; the result
    a part only, so their number grows with the prefix and not with its square. The number of parts follows the size of the
    sets in steps of two; a set close below a step has the keys of both sides.
 4. In a key, sets are paired with one set of about their size first. What these links leave apart in a key of several
-   components is compared in blocks, each pair of blocks in a task of its own, but for blocks of one component.
+   components is compared in blocks, each pair of blocks in a task of its own, but for blocks of one component: first only as
+   many pairs as could connect a block, then, where some of these failed, the sets of the block are verified in one place, so
+   that no more is given out than links that connect it.
 5. Pairs are dropped if sizes or parity bits tell them apart, and verified on the sets otherwise.
 
 Keys and parities come from 64-bit hashes of the shingles; the sets that are verified hold the upper 8 * `BYTES` bits of
@@ -325,11 +327,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, s: Fraction) -> DataFrame:
     """Written: those of the different pairs a, b whose sets are similar."""
 
     def fits(n: int, m: int, one: np.ndarray, two: np.ndarray) -> bool:
-        if len(one) > len(two):
-            one, two = two, one
-        at = np.searchsorted(two, one)
-        shared = int((two[np.minimum(at, len(two) - 1)] == one).sum())
-        return shared * s.denominator >= (n + m - shared) * s.numerator
+        return _similar(one, two, n + m, s)
 
     return written(_one_by_one(pairs, sets, "members", lambda raw: np.unique(unpacked(raw)), fits), "similar-pairs")
 
@@ -357,10 +355,30 @@ def _block_pairs(rows: DataFrame, block: int) -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
-def _pairs_of_blocks(s: Fraction, spanning: bool):
-    """Pairs a, b of sorted rows (pair, side, fp, root, n, bits) that may be similar, of different roots: all, or with spanning
-    as many as connect what they and equal roots connect. Where that leaves any out, a row says so by its pair of blocks,
-    left, alone."""
+def _near_in_block(side: np.ndarray, root: np.ndarray, n: np.ndarray, raw: list[bytes], s: Fraction) -> np.ndarray:
+    """By pairs of rows of two blocks, or of one: whether sizes, roots and parities leave it open that they are similar."""
+    m = len(root)
+    near = np.zeros((m, m), bool)
+    cross = (side == 1).any()
+    width = np.fromiter(map(len, raw), np.int64, m)
+    for w in np.unique(width).tolist():  # sets of similar sizes have one width, or one of them has twice the other's
+        own = np.flatnonzero((width == w) | (width == 2 * w))
+        bits = np.array([np.bitwise_xor.reduce(np.frombuffer(raw[i], np.uint64).reshape(-1, w // 8), axis=0) for i in own.tolist()])
+        for k in np.flatnonzero(width[own] == w).tolist():
+            i = own[k]
+            ok = (root[own] != root[i]) & (np.minimum(n[own], n[i]) * s.denominator >= np.maximum(n[own], n[i]) * s.numerator)
+            if cross:
+                ok &= side[own] != side[i]
+            at = np.flatnonzero(ok)
+            if len(at):
+                hit = own[at[np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1) <= most_apart(n[own[at]] + n[i], s)]]
+                near[i, hit] = near[hit, i] = True
+    return near
+
+
+def _pairs_of_blocks(s: Fraction):
+    """Pairs a, b of sorted rows (pair, side, fp, root, n, bits) that may be similar, of different roots: as many as connect
+    what all of them and equal roots connect. Where that leaves any out, a row says so by its pair of blocks, left, alone."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds in _whole_runs(batches):
@@ -374,27 +392,9 @@ def _pairs_of_blocks(s: Fraction, spanning: bool):
                     yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 2, rows.column(0).slice(x, 1).combine_chunks().cast(pa.int64())], ["a", "b", "left"])
 
     def pairs(side, fp, root, n, raw):
-        m = len(fp)
-        near = np.zeros((m, m), bool)
-        cross = (side == 1).any()
-        width = np.fromiter(map(len, raw), np.int64, m)
-        for w in np.unique(width).tolist():  # sets of similar sizes have one width, or one of them has twice the other's
-            own = np.flatnonzero((width == w) | (width == 2 * w))
-            bits = np.array([np.bitwise_xor.reduce(np.frombuffer(raw[i], np.uint64).reshape(-1, w // 8), axis=0) for i in own.tolist()])
-            for k in np.flatnonzero(width[own] == w).tolist():
-                i = own[k]
-                ok = (root[own] != root[i]) & (np.minimum(n[own], n[i]) * s.denominator >= np.maximum(n[own], n[i]) * s.numerator)
-                if cross:
-                    ok &= side[own] != side[i]
-                at = np.flatnonzero(ok)
-                if len(at):
-                    hit = own[at[np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1) <= most_apart(n[own[at]] + n[i], s)]]
-                    near[i, hit] = near[hit, i] = True
+        near = _near_in_block(side, root, n, raw, s)
         if not near.any():
             return None, False
-        if not spanning:
-            i, j = np.nonzero(np.triu(near))
-            return _pairs(fp[i], fp[j]), False
         order = np.argsort(fp)  # a set is joined to its smallest neighbour, so that keys ask for the same pairs
         label, place = np.unique(root, return_inverse=True)[1], np.argsort(order)
         one, two = [], []
@@ -423,6 +423,77 @@ def _pairs_of_blocks(s: Fraction, spanning: bool):
     return find
 
 
+def _open_ends(s: Fraction):
+    """The rows (pair, side, fp, root, n) of sorted rows (pair, side, fp, root, n, bits) that may be similar to another of their
+    pair of blocks and of another root."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in _whole_runs(batches):
+            side, _, root, n = (rows.column(i).to_numpy() for i in range(1, 5))
+            raw = rows.column(5).to_pylist()
+            near = [_near_in_block(side[x:y], root[x:y], n[x:y], raw[x:y], s).any(axis=1) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            take = np.flatnonzero(np.concatenate(near)) if near else np.zeros(0, np.int64)
+            if len(take):
+                yield from rows.take(pa.array(take)).drop_columns(["bits"]).combine_chunks().to_batches()
+
+    return find
+
+
+def _similar(one: np.ndarray, two: np.ndarray, n: int, s: Fraction) -> bool:
+    """Whether two sets of n tokens together are similar; different tokens, ascending."""
+    if len(one) > len(two):
+        one, two = two, one
+    at = np.searchsorted(two, one)
+    shared = int((two[np.minimum(at, len(two) - 1)] == one).sum())
+    return shared * s.denominator >= (n - shared) * s.numerator
+
+
+def _links_at_home(s: Fraction):
+    """Links a, b of sorted rows (home, kind, pair, side, fp, root, n, bits, members): similar sets of one pair of blocks, as many
+    as connect with equal roots what all of them connect. Rows of kind 0 are the sets of a home, each once, those of
+    kind 1 say which pairs of blocks they are in. Sets are verified here, so nothing is given out for what is not similar."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in _whole_runs(batches):
+            kind, pair, side, fp, root, n = (rows.column(i).to_numpy() for i in range(1, 7))
+            for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                cut = x + int((kind[x:y] == 0).sum())
+                bits, members = (rows.column(i).slice(x, cut - x).to_pylist() for i in (7, 8))
+                place = {v: i for i, v in enumerate(fp[x:cut].tolist())}
+                at = np.fromiter((place[v] for v in fp[cut:y].tolist()), np.int64, y - cut)
+                found = links(fp[x:cut], n[x:cut], bits, members, at, pair[cut:y], side[cut:y], root[cut:y])
+                if found:
+                    yield _pairs(*np.array(found, np.int64).T)
+
+    def links(fp, n, bits, members, at, pair, side, root):
+        label = np.unique(root, return_inverse=True)[1]
+        join, found, refused, held = np.arange(len(label) + 1), [], set(), {}
+        for a, b in _runs(pair):
+            own = at[a:b]
+            i, j = np.nonzero(np.triu(_near_in_block(side[a:b], join[label[a:b]], n[own], [bits[k] for k in own.tolist()], s)))
+            for p, q, k, m in zip(own[i].tolist(), own[j].tolist(), label[a:b][i].tolist(), label[a:b][j].tolist()):
+                both = (p, q) if p < q else (q, p)
+                if join[k] == join[m] or both in refused:
+                    continue
+                for v in both:
+                    if v not in held:
+                        held[v] = np.unique(unpacked(members[v]))
+                if _similar(held[p], held[q], int(n[p] + n[q]), s):
+                    found.append((int(fp[p]), int(fp[q])))
+                    join[join == join[m]] = join[k]
+                else:
+                    refused.add(both)
+        return found
+
+    return find
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of the runs of equal values."""
+    bounds = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return list(zip(bounds[:-1], bounds[1:])) if len(values) else []
+
+
 def _roots(links: DataFrame) -> DataFrame:
     return written(components(links).withColumnRenamed("node", "fp"), "set-roots")
 
@@ -442,10 +513,39 @@ def _open_blocks(shared: DataFrame, roots: DataFrame, sets: DataFrame, block: in
     return written(_block_pairs(rows, block), "rows-of-blocks"), bits
 
 
-def _compared(blocks: DataFrame, bits: DataFrame, s: Fraction, spanning: bool) -> DataFrame:
+def _dealt(blocks: DataFrame, bits: DataFrame) -> DataFrame:
+    """Rows (pair, side, fp, root, n) with bits, by pair of blocks."""
+    return blocks.join(bits, "fp").select("pair", "side", "fp", "root", "n", "bits").repartition("pair").sortWithinPartitions("pair", "side", "fp")
+
+
+def _compared(blocks: DataFrame, bits: DataFrame, s: Fraction) -> DataFrame:
     """Written: a, b, left as _pairs_of_blocks gives them, of rows (pair, side, fp, root, n)."""
-    dealt = blocks.join(bits, "fp").select("pair", "side", "fp", "root", "n", "bits").repartition("pair").sortWithinPartitions("pair", "side", "fp")
-    return written(dealt.mapInArrow(lambda b: given_back(_pairs_of_blocks(s, spanning)(b)), "a bigint, b bigint, left bigint").distinct(), "compared-blocks")
+    found = _dealt(blocks, bits).mapInArrow(lambda b: given_back(_pairs_of_blocks(s)(b)), "a bigint, b bigint, left bigint")
+    return written(found.distinct(), "compared-blocks")
+
+
+def _rest(blocks: DataFrame, roots: DataFrame, bits: DataFrame, sets: DataFrame, s: Fraction) -> DataFrame:
+    """Written: links a, b that connect all similar sets of each pair of blocks, given the roots; blocks: pair, side, fp, n.
+
+    Near copies share many keys. What two blocks compare is sent to a home, named by the smallest set of either that is
+    still open, so that a set travels once to a home for all keys that lead there, and is verified there. A home has as many
+    pairs of blocks as two sets share keys.
+    """
+    rooted = blocks.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = written(rooted.select("pair", "side", "fp", "root", "n"), "blocks-again")
+    several = rooted.groupBy("pair").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("pair")
+    schema = "pair bigint, side int, fp bigint, root bigint, n bigint"
+    ends = written(_dealt(rooted.join(several, "pair", "left_semi"), bits).mapInArrow(lambda b: given_back(_open_ends(s)(b)), schema), "open-ends")
+    least = [F.min(F.when(F.col("side") == i, F.col("fp"))) for i in (0, 1)]
+    homes = ends.groupBy("pair").agg(F.xxhash64(*least).alias("home"))
+    placed = written(ends.join(homes, "pair").select("home", "pair", "side", "fp", "root"), "homes-of-blocks")
+    wanted = placed.select("home", "fp").distinct()
+    values = sets.select("fp", "n", "bits", "members").join(placed.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(*(F.any_value(c).alias(c) for c in ("n", "bits", "members")))
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("binary")
+    rows = wanted.join(values, "fp").select("home", F.lit(0).alias("kind"), zero.alias("pair"), F.lit(0).alias("side"), "fp", zero.alias("root"), "n", "bits", "members")
+    rows = rows.unionByName(placed.select("home", F.lit(1).alias("kind"), "pair", "side", "fp", "root", zero.alias("n"), none.alias("bits"), none.alias("members")))
+    dealt = rows.repartition("home").sortWithinPartitions("home", "kind", "pair", "side", "fp")
+    return written(dealt.mapInArrow(lambda b: given_back(_links_at_home(s)(b)), "a bigint, b bigint"), "links-at-home")
 
 
 def similar_groups(
@@ -471,18 +571,17 @@ def similar_groups(
     opened = _open_blocks(shared, roots, sets, block)
     if opened is not None:
         blocks, bits = opened
-        for spanning in (True, False):
-            found = _compared(blocks, bits, s, spanning)
-            more = written(found.filter("left is null").select("a", "b").join(tried, ["a", "b"], "left_anti"), "more-pairs")
-            tried, similar = tried.unionByName(more), _verified(more, sets, s)
+        found = _compared(blocks, bits, s)
+        similar = _verified(written(found.filter("left is null").select("a", "b").join(tried, ["a", "b"], "left_anti"), "more-pairs"), sets, s)
+        if not similar.isEmpty():
+            links = links.unionByName(similar)
+            roots = _roots(links)
+        # Only blocks whose pairs have been left out are compared again, by the components of now.
+        again = found.filter("left is not null").select(F.col("left").alias("pair"))
+        if not again.isEmpty():
+            similar = _rest(blocks.drop("root").join(again, "pair", "left_semi"), roots, bits, sets, s)
             if not similar.isEmpty():
-                links = links.unionByName(similar)
-                roots = _roots(links)
-            # Only blocks whose pairs have been left out are compared again, by the components of now.
-            again = found.filter("left is not null").select(F.col("left").alias("pair"))
-            if not spanning or again.isEmpty():
-                break
-            blocks = written(blocks.drop("root").join(again, "pair", "left_semi").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "blocks-again")
+                roots = _roots(links.unionByName(similar))
     least = sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = written(least.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "least-of-sets")
     best = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "least-of-components")
