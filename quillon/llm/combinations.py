@@ -38,7 +38,7 @@ from ..functions.shipping import ship
 from . import simhash
 from .components import components
 from .memory import given_back
-from .shingle_sets import BITS, SHINGLE, SIMILARITY, _whole_runs, digest_of, most_apart, parities
+from .set_bits import BITS, SHINGLE, SIMILARITY, _whole_runs, digest_of, most_apart, parities
 from .store import written
 from .words import texts_of
 
@@ -448,7 +448,7 @@ def _similar(one: np.ndarray, two: np.ndarray, n: int, s: Fraction) -> bool:
     return shared * s.denominator >= (n - shared) * s.numerator
 
 
-def _links_at_home(s: Fraction):
+def _links_at_home(s: Fraction, decode):
     """Links a, b of sorted rows (home, kind, pair, side, fp, root, n, bits, members): similar sets of one pair of blocks, as many
     as connect with equal roots what all of them connect. Rows of kind 0 are the sets of a home, each once, those of
     kind 1 say which pairs of blocks they are in. Sets are verified here, so nothing is given out for what is not similar."""
@@ -477,7 +477,7 @@ def _links_at_home(s: Fraction):
                     continue
                 for v in both:
                     if v not in held:
-                        held[v] = np.unique(unpacked(members[v]))
+                        held[v] = np.unique(decode(members[v]))
                 if _similar(held[p], held[q], int(n[p] + n[q]), s):
                     found.append((int(fp[p]), int(fp[q])))
                     join[join == join[m]] = join[k]
@@ -524,8 +524,9 @@ def _compared(blocks: DataFrame, bits: DataFrame, s: Fraction) -> DataFrame:
     return written(found.distinct(), "compared-blocks")
 
 
-def _rest(blocks: DataFrame, roots: DataFrame, bits: DataFrame, sets: DataFrame, s: Fraction) -> DataFrame:
+def _rest(blocks: DataFrame, roots: DataFrame, bits: DataFrame, sets: DataFrame, s: Fraction, decode=unpacked) -> DataFrame:
     """Written: links a, b that connect all similar sets of each pair of blocks, given the roots; blocks: pair, side, fp, n.
+    sets: fp, n, bits, members, of which decode makes tokens.
 
     Near copies share many keys. What two blocks compare is sent to a home, named by the smallest set of either that is
     still open, so that a set travels once to a home for all keys that lead there, and is verified there. A home has as many
@@ -545,7 +546,7 @@ def _rest(blocks: DataFrame, roots: DataFrame, bits: DataFrame, sets: DataFrame,
     rows = wanted.join(values, "fp").select("home", F.lit(0).alias("kind"), zero.alias("pair"), F.lit(0).alias("side"), "fp", zero.alias("root"), "n", "bits", "members")
     rows = rows.unionByName(placed.select("home", F.lit(1).alias("kind"), "pair", "side", "fp", "root", zero.alias("n"), none.alias("bits"), none.alias("members")))
     dealt = rows.repartition("home").sortWithinPartitions("home", "kind", "pair", "side", "fp")
-    return written(dealt.mapInArrow(lambda b: given_back(_links_at_home(s)(b)), "a bigint, b bigint"), "links-at-home")
+    return written(dealt.mapInArrow(lambda b: given_back(_links_at_home(s, decode)(b)), "a bigint, b bigint"), "links-at-home")
 
 
 def similar_groups(
