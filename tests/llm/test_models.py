@@ -269,3 +269,16 @@ def test_pairs_of_features():
     for r in range(50):
         total = both.bias + sum(t[bins[r, i]] for i, t in enumerate(both.tables)) + sum(t[bins[r, i] // both.coarse, bins[r, j] // both.coarse] for i, j, t in both.pairs)
         assert both.score(x[r : r + 1])[0] == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_toxicity_learns_from_all_rows(spark):
+    """Words that only rows far on in the order of hashes have are learned, however many rows come before them."""
+    rows = spark.range(5200).selectExpr("id doc_id", "cast(id % 2 as int) toxic", "row_number() over (partition by id % 2 order by xxhash64(id)) place")
+    text = "concat('plain', place % 7, ' words here ', if(place <= 2000, 'and', if(toxic = 1, 'vile', 'mild')), ' there')"
+    rows = rows.selectExpr("doc_id", "toxic", f"{text} text").repartition(5)
+    model = toxicity.train(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    df = spark.createDataFrame([(0, "plain3 words here mild there"), (1, "plain3 words here vile there"), (2, "plain4 words here and there")], "doc_id bigint, text string")
+    got = {r.doc_id: r.toxic_score for r in toxicity.scored(df, model).collect()}
+    assert got[0] < 0.5 <= got[1] and got[0] < got[2] < got[1]
+    held, n = toxicity._counted(toxicity._labelled(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), "toxic"), 1 << 15)
+    assert n.tolist() == [2600, 2600] and held[:, zlib.crc32(b"0:vile") % (1 << 15)].tolist() == [0, 600]
