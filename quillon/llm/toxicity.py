@@ -41,6 +41,8 @@ BUCKETS = 1 << 15
 SHARD, ROUNDS, LEAST = 4096, 2, 6000
 #: Steps of a margin that thresholds lie between; numbers of a vector's part.
 STEPS, PART = 128, 1 << 14
+#: Bits that say which doc_ids may have a label: 16 MB at most are told to all tasks.
+BITMAP = 1 << 26
 VECTOR = "part int, at bigint, v binary"
 
 
@@ -307,14 +309,21 @@ def calibrate(model: ConvolutionalModel, rows: list[tuple[int, int, int, int]],
 
 def _labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """Written: h (the place in the order of learning), doc_id, y, apart (sets thresholds) and text of every labelled row of docs."""
-    known = labels.filter(F.col(label).isin(0, 1)).filter("doc_id is not null").groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    kind = docs.schema["doc_id"].dataType
+    known = labels.filter(F.col(label).isin(0, 1)).filter("doc_id is not null").select(F.col("doc_id").cast(kind), label)
+    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     apart = F.pmod(F.crc32(F.concat(F.lit("calibrate "), F.col("doc_id").cast("string"))), F.lit(5)) == 0
-    return written(docs.select("doc_id", text).join(known, "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "y", apart.alias("apart"), "text"), "labelled-texts")
+    # A bitmap of hashed doc_ids, bounded in size, drops most rows without a label before texts are moved; the join decides.
+    bit = lambda: F.pmod(F.xxhash64(F.col("doc_id"), F.lit("bit")), F.lit(BITMAP))
+    words = known.select(bit().alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask"))
+    rows = docs.select("doc_id", text, bit().alias("bit")).withColumn("word", F.shiftright("bit", 6)).join(F.broadcast(words), "word")
+    rows = rows.filter(F.expr("getbit(mask, cast(bit & 63 as int)) = 1")).select("doc_id", "text").join(known.hint("merge"), "doc_id")
+    return written(rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "y", apart.alias("apart"), "text"), "labelled-texts")
 
 
 def _summed(rows: DataFrame) -> dict[int, np.ndarray]:
-    """By part, the sum of the float64 vectors in rows (part int, at bigint, v binary), in the order of at: PART numbers each."""
+    """By part, the sum of the float32 vectors in rows (part int, at bigint, v binary) in float64, in the order of at."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, total = None, np.zeros(0)
@@ -323,8 +332,8 @@ def _summed(rows: DataFrame) -> dict[int, np.ndarray]:
                 if p != part:
                     if part is not None:
                         yield _vectors([part], 0, [total])
-                    part, total = p, np.zeros(len(v.as_buffer()) // 8)
-                total = total + np.frombuffer(v.as_buffer())
+                    part, total = p, np.zeros(len(v.as_buffer()) // 4)
+                total += np.frombuffer(v.as_buffer(), np.float32)
         if part is not None:
             yield _vectors([part], 0, [total])
 
@@ -333,11 +342,12 @@ def _summed(rows: DataFrame) -> dict[int, np.ndarray]:
 
 
 def _vectors(parts, at: int, values: list[np.ndarray]) -> pa.RecordBatch:
-    columns = [pa.array(parts, pa.int32()), pa.array([at] * len(parts), pa.int64()), pa.array([np.asarray(v, float).tobytes() for v in values], pa.binary())]
+    columns = [pa.array(parts, pa.int32()), pa.array([at] * len(parts), pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())]
     return pa.RecordBatch.from_arrays(columns, ["part", "at", "v"])
 
 
 def _in_parts(values: np.ndarray, at: int) -> pa.RecordBatch:
+    values = values.astype(np.float32)
     return _vectors(list(range(-(-len(values) // PART))), at, [values[i : i + PART] for i in range(0, len(values), PART)])
 
 
