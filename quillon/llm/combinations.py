@@ -13,9 +13,9 @@ All pairs of sets with a Jaccard similarity of s or more are linked; the result
    a part only, so their number grows with the prefix and not with its square. The number of parts follows the size of the
    sets in steps of two; a set close below a step has the keys of both sides.
 4. In a key, sets are paired with one set of about their size first. What these links leave apart in a key of several
-   components is compared in blocks, each pair of blocks in a task of its own, but for blocks of one component: first only as
-   many pairs as could connect a block, then, where some of these failed, the sets of the block are verified in one place, so
-   that no more is given out than links that connect it.
+   components is compared in blocks, each pair of blocks in a task of its own, but for blocks of one component: sets that sizes
+   and parities leave open go to one home for all keys that lead there and are verified in that place, so that no more is given
+   out than links that connect them.
 5. Pairs are dropped if sizes or parity bits tell them apart, and verified on the sets otherwise.
 
 Keys and parities come from 64-bit hashes of the shingles; the sets that are verified hold the upper 8 * `BYTES` bits of
@@ -376,53 +376,6 @@ def _near_in_block(side: np.ndarray, root: np.ndarray, n: np.ndarray, raw: list[
     return near
 
 
-def _pairs_of_blocks(s: Fraction):
-    """Pairs a, b of sorted rows (pair, side, fp, root, n, bits) that may be similar, of different roots: as many as connect
-    what all of them and equal roots connect. Where that leaves any out, a row says so by its pair of blocks, left, alone."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, bounds in _whole_runs(batches):
-            side, fp, root, n = (rows.column(i).to_numpy() for i in range(1, 5))
-            raw = rows.column(5).to_pylist()
-            for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                found, more = pairs(side[x:y], fp[x:y], root[x:y], n[x:y], raw[x:y])
-                if found is not None:
-                    yield pa.RecordBatch.from_arrays([*found.columns, pa.nulls(found.num_rows, pa.int64())], ["a", "b", "left"])
-                if more:
-                    yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 2, rows.column(0).slice(x, 1).combine_chunks().cast(pa.int64())], ["a", "b", "left"])
-
-    def pairs(side, fp, root, n, raw):
-        near = _near_in_block(side, root, n, raw, s)
-        if not near.any():
-            return None, False
-        order = np.argsort(fp)  # a set is joined to its smallest neighbour, so that keys ask for the same pairs
-        label, place = np.unique(root, return_inverse=True)[1], np.argsort(order)
-        one, two = [], []
-
-        def join(i: int, j: int) -> None:
-            if label[i] != label[j]:
-                one.append(i)
-                two.append(j)
-                label[label == label[j]] = label[i]
-
-        for i in order.tolist():
-            lower = np.flatnonzero(near[i])
-            if len(lower):
-                j = int(lower[np.argmin(place[lower])])
-                if place[j] < place[i]:
-                    join(i, j)
-        i, j = np.nonzero(near)
-        while len(i):
-            apart = label[i] != label[j]
-            i, j = i[apart], j[apart]
-            if len(i):
-                join(int(i[0]), int(j[0]))
-        i, j = np.array(one, np.int64), np.array(two, np.int64)
-        return _pairs(fp[i], fp[j]), 2 * len(i) < int(near.sum())
-
-    return find
-
-
 def _open_ends(s: Fraction):
     """The rows (pair, side, fp, root, n) of sorted rows (pair, side, fp, root, n, bits) that may be similar to another of their
     pair of blocks and of another root."""
@@ -518,12 +471,6 @@ def _dealt(blocks: DataFrame, bits: DataFrame) -> DataFrame:
     return blocks.join(bits, "fp").select("pair", "side", "fp", "root", "n", "bits").repartition("pair").sortWithinPartitions("pair", "side", "fp")
 
 
-def _compared(blocks: DataFrame, bits: DataFrame, s: Fraction) -> DataFrame:
-    """Written: a, b, left as _pairs_of_blocks gives them, of rows (pair, side, fp, root, n)."""
-    found = _dealt(blocks, bits).mapInArrow(lambda b: given_back(_pairs_of_blocks(s)(b)), "a bigint, b bigint, left bigint")
-    return written(found.distinct(), "compared-blocks")
-
-
 def _rest(blocks: DataFrame, roots: DataFrame, bits: DataFrame, sets: DataFrame, s: Fraction, decode=unpacked) -> DataFrame:
     """Written: links a, b that connect all similar sets of each pair of blocks, given the roots; blocks: pair, side, fp, n.
     sets: fp, n, bits, members, of which decode makes tokens.
@@ -572,17 +519,9 @@ def similar_groups(
     opened = _open_blocks(shared, roots, sets, block)
     if opened is not None:
         blocks, bits = opened
-        found = _compared(blocks, bits, s)
-        similar = _verified(written(found.filter("left is null").select("a", "b").join(tried, ["a", "b"], "left_anti"), "more-pairs"), sets, s)
+        similar = _rest(blocks.drop("root"), roots, bits, sets, s)
         if not similar.isEmpty():
-            links = links.unionByName(similar)
-            roots = _roots(links)
-        # Only blocks whose pairs have been left out are compared again, by the components of now.
-        again = found.filter("left is not null").select(F.col("left").alias("pair"))
-        if not again.isEmpty():
-            similar = _rest(blocks.drop("root").join(again, "pair", "left_semi"), roots, bits, sets, s)
-            if not similar.isEmpty():
-                roots = _roots(links.unionByName(similar))
+            roots = _roots(links.unionByName(similar))
     least = sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = written(least.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "least-of-sets")
     best = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "least-of-components")

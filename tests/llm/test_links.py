@@ -78,3 +78,27 @@ def test_few_rows_between_components_of_a_key(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(sorted(i for i, r in enumerate(root) if r == k) for k in set(root))
     assert 30 < len(set(root)) < len(texts)
     assert made and sum(made.values()) <= 8 * n, made
+
+
+def test_blocks_are_dealt_once(spark, monkeypatch):
+    """The parities of all blocks of a key, which are what the join moves most of, travel once."""
+    rng, calls = random.Random(5), []
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for t in range(24):
+        own = list(base)
+        for slot in rng.sample(range(49), 4):
+            own[6 * slot : 6 * slot + 2] = [f"x{t}y{slot}", f"z{t}y{slot}"]
+        texts.append(" ".join(own))
+    dealt = combinations._dealt
+    monkeypatch.setattr(combinations, "_dealt", lambda *given: calls.append(1) or dealt(*given))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in combinations.similar_groups(docs).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert got == dict(enumerate(root)) and len(calls) == 1
