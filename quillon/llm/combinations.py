@@ -54,6 +54,8 @@ SHARE = 4
 SHORT, BLOCK = 8, 512
 #: Sets of a family that meet in one task, about.
 GROUP = 256
+#: Bits of the bitmap of names that rows are held against before they are moved.
+BITMAP = 1 << 26
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -210,8 +212,9 @@ def _frequent(sets: DataFrame, classes, most: int) -> tuple[np.ndarray, np.ndarr
     return tokens[order], np.searchsorted([c[0] for c in classes], n[order], side="right") - 1
 
 
-def _shared(sets: DataFrame, keys: Keys) -> DataFrame:
-    """Written: key, fp, n of every key that several sets have."""
+def _shared(sets: DataFrame, keys: Keys, s: Fraction) -> DataFrame:
+    """Written: what the keys that several sets have lead to, keys being moved once. Rows key, size, fp, n of the sets of a long
+    key, size being how many it has, and rows fp, other of the first pairs of any key, whose key is null."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -224,54 +227,78 @@ def _shared(sets: DataFrame, keys: Keys) -> DataFrame:
                     owner.append(np.full(len(found[-1]), i))
             if found:
                 at = pa.array(np.concatenate(owner))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), batch.column(0).take(at), batch.column(1).take(at)], ["key", "fp", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), batch.column(1).take(at), batch.column(0).take(at)], ["key", "n", "fp"])
 
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, bounds in _whole_runs(batches):
-            key, fp = (rows.column(i).to_numpy() for i in range(2))
-            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])])
-            size = np.add.reduceat(fresh.astype(np.int64), bounds[:-1])
-            take = np.flatnonzero(fresh & np.repeat(size > 1, np.diff(bounds)))
-            if len(take):
-                yield from rows.take(pa.array(take)).combine_chunks().to_batches()
+    rows = sets.filter("n > 0").select("fp", "n", "members").mapInArrow(lambda b: given_back(emit(b)), "key bigint, n bigint, fp bigint")
+    dealt = rows.repartition("key").sortWithinPartitions("key", "n", "fp")
+    return written(dealt.mapInArrow(lambda b: given_back(_met(s)(b)), "key bigint, size bigint, fp bigint, other bigint, n bigint"), "shared-keys")
 
-    schema = "key bigint, fp bigint, n bigint"
-    rows = sets.filter("n > 0").select("fp", "n", "members").mapInArrow(lambda b: given_back(emit(b)), schema)
-    return written(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lambda b: given_back(several(b)), schema), "shared-keys")
 
-
-def _first_pairs(s: Fraction):
-    """Pairs a, b of sorted rows (key, n, fp): all of a short key; in a longer one, each set with the smallest of about its size."""
+def _met(s: Fraction):
+    """Rows as of _shared from sorted rows (key, n, fp), which may repeat."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds in _whole_runs(batches):
-            n, fp = (rows.column(i).to_numpy() for i in (1, 2))
-            a, b = [], []
-            size, run = np.diff(bounds), np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            for step in range(1, SHORT):
-                i = np.flatnonzero((run[step:] == run[:-step]) & (size[run[step:]] <= SHORT))
-                a.append(i)
-                b.append(i + step)
-            for r in np.flatnonzero(size > SHORT).tolist():
-                x, y = int(bounds[r]), int(bounds[r + 1])
-                while x < y:
-                    end = x + int(np.searchsorted(n[x:y], int(n[x] / s), side="right"))
-                    a.append(np.full(end - x - 1, x))
-                    b.append(np.arange(x + 1, end))
-                    x = end
-            a, b = np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
-            good = n[a] * s.denominator >= n[b] * s.numerator  # rows ascend by n
-            if good.any():
-                yield _pairs(fp[a[good]], fp[b[good]])
+            key, n, fp = (rows.column(i).to_numpy() for i in range(3))
+            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])])
+            count = np.add.reduceat(fresh.astype(np.int64), bounds[:-1])
+            take = fresh & np.repeat(count > 1, np.diff(bounds))
+            size = count[count > 1]
+            if not len(size):
+                continue
+            key, n, fp = key[take], n[take], fp[take]
+            long = np.repeat(size, size) > SHORT
+            if long.any():
+                none = pa.nulls(int(long.sum()), pa.int64())
+                yield _met_rows(pa.array(key[long]), pa.array(np.repeat(size, size)[long]), pa.array(fp[long]), none, pa.array(n[long]))
+            a, b = _first_pairs(size, n, s)
+            if len(a):
+                both = _pairs(fp[a], fp[b])
+                none = pa.nulls(both.num_rows, pa.int64())
+                yield _met_rows(none, none, *both.columns, none)
 
     return find
 
 
+def _met_rows(*columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), ["key", "size", "fp", "other", "n"])
+
+
+def _first_pairs(size: np.ndarray, n: np.ndarray, s: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of sets, given how many the keys have and, key by key, their sizes n, ascending in a key: all of a short
+    key; in a longer one, each set with the smallest of about its size."""
+    a, b = [], []
+    bounds, run = np.concatenate([[0], np.cumsum(size)]), np.repeat(np.arange(len(size)), size)
+    for step in range(1, SHORT):
+        i = np.flatnonzero((run[step:] == run[:-step]) & (size[run[step:]] <= SHORT))
+        a.append(i)
+        b.append(i + step)
+    for r in np.flatnonzero(size > SHORT).tolist():
+        x, y = int(bounds[r]), int(bounds[r + 1])
+        while x < y:
+            end = x + int(np.searchsorted(n[x:y], int(n[x] / s), side="right"))
+            a.append(np.full(end - x - 1, x))
+            b.append(np.arange(x + 1, end))
+            x = end
+    a, b = np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
+    good = n[a] * s.denominator >= n[b] * s.numerator
+    return a[good], b[good]
+
+
 def _pairs(one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
     both = np.unique(np.column_stack([np.minimum(one, two), np.maximum(one, two)]), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
 
+def _likely(rows: DataFrame, wanted: DataFrame, name: str = "fp") -> DataFrame:
+    """The rows whose name, a 64-bit hash, is among wanted, and few others: a bitmap, bounded in size, drops most of them before
+    rows are moved, and what follows decides."""
+    bit = F.pmod(name, F.lit(BITMAP))
+    words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask"))
+    held = rows.withColumn("bit", bit).withColumn("word", F.shiftright("bit", 6)).join(F.broadcast(words), "word")
+    return held.filter(F.expr("getbit(mask, cast(bit & 63 as int)) = 1")).select(*rows.columns)
+
+
 def _one_by_one(pairs: DataFrame, sets: DataFrame, column: str, decode, fits) -> DataFrame:
     """Those of the different pairs a, b for which fits(n of a, n of b, value of a, value of b) holds; decode makes a value of
     what the column holds.
@@ -290,7 +317,7 @@ def _one_by_one(pairs: DataFrame, sets: DataFrame, column: str, decode, fits) ->
     task = F.xxhash64(F.least("family_a", "family_b"), F.least(x, y), F.greatest(x, y))
     placed = written(pairs.join(one, "a").join(two, "b").select(task.alias("task"), "a", "b"), "placed-pairs")
     wanted = placed.select("task", F.col("a").alias("fp")).union(placed.select("task", "b")).distinct()
-    values = sets.select("fp", "n", F.col(column).alias("v")).join(nodes.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.any_value("n").alias("n"), F.any_value("v").alias("v"))
+    values = _likely(sets.select("fp", "n", F.col(column).alias("v")), nodes.select("fp")).groupBy("fp").agg(F.any_value("n").alias("n"), F.any_value("v").alias("v"))
     rows = wanted.join(values, "fp").select("task", F.lit(0).alias("side"), F.col("fp").alias("a"), F.lit(0).cast("bigint").alias("b"), "n", "v")
     rows = rows.unionByName(placed.select("task", F.lit(1).alias("side"), "a", "b", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("v")))
 
@@ -452,18 +479,21 @@ def _roots(links: DataFrame) -> DataFrame:
 
 
 def _open_blocks(shared: DataFrame, roots: DataFrame, sets: DataFrame, block: int) -> tuple[DataFrame, DataFrame] | None:
-    """Written: the rows of _block_pairs of all keys that hold several components which the first pairs need not have compared,
-    and fp, bits of the sets there; None if there is no such key."""
-    large = shared.groupBy("key").count().filter(F.col("count") > SHORT).select("key")
-    rooted = shared.join(large, "key", "left_semi").join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"), "n")
-    rooted = written(rooted, "rooted-keys")
-    several = written(rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key"), "open-keys")
-    if several.isEmpty():
+    """pair, side, fp, n of the sets of all keys which the first pairs need not have compared, as _rest takes them, and fp, bits
+    of the sets there; None if there is no such key. A key of up to `block` sets is one block, a larger one goes
+    through _block_pairs if it has several components."""
+    rows = shared.filter("key is not null")
+    if rows.isEmpty():
         return None
-    rows = written(rooted.join(several, "key", "left_semi"), "rows-of-open-keys")
-    named = rows.select("fp").distinct()
-    bits = written(sets.select("fp", "bits").join(named, "fp", "left_semi").groupBy("fp").agg(F.any_value("bits").alias("bits")), "parities-of-keys")
-    return written(_block_pairs(rows, block), "rows-of-blocks"), bits
+    blocks = rows.filter(F.col("size") <= block).select(F.xxhash64("key").alias("pair"), F.lit(0).alias("side"), "fp", "n")
+    large = rows.filter(F.col("size") > block)
+    if not large.isEmpty():
+        rooted = written(large.join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"), "n"), "rooted-keys")
+        several = written(rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key"), "open-keys")
+        cut = written(_block_pairs(rooted.join(several, "key", "left_semi"), block), "rows-of-blocks")
+        blocks = blocks.unionByName(cut.drop("root"))
+    bits = _likely(sets.select("fp", "bits"), rows.select("fp")).groupBy("fp").agg(F.any_value("bits").alias("bits"))
+    return blocks, bits
 
 
 def _dealt(blocks: DataFrame, bits: DataFrame) -> DataFrame:
@@ -483,12 +513,12 @@ def _rest(blocks: DataFrame, roots: DataFrame, bits: DataFrame, sets: DataFrame,
     rooted = written(rooted.select("pair", "side", "fp", "root", "n"), "blocks-again")
     several = rooted.groupBy("pair").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("pair")
     schema = "pair bigint, side int, fp bigint, root bigint, n bigint"
-    ends = written(_dealt(rooted.join(several, "pair", "left_semi"), bits).mapInArrow(lambda b: given_back(_open_ends(s)(b)), schema), "open-ends")
+    ends = written(_dealt(_likely(rooted, several, "pair"), bits).mapInArrow(lambda b: given_back(_open_ends(s)(b)), schema), "open-ends")
     least = [F.min(F.when(F.col("side") == i, F.col("fp"))) for i in (0, 1)]
     homes = ends.groupBy("pair").agg(F.xxhash64(*least).alias("home"))
     placed = written(ends.join(homes, "pair").select("home", "pair", "side", "fp", "root"), "homes-of-blocks")
     wanted = placed.select("home", "fp").distinct()
-    values = sets.select("fp", "n", "bits", "members").join(placed.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(*(F.any_value(c).alias(c) for c in ("n", "bits", "members")))
+    values = _likely(sets.select("fp", "n", "bits", "members"), placed.select("fp")).groupBy("fp").agg(*(F.any_value(c).alias(c) for c in ("n", "bits", "members")))
     zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("binary")
     rows = wanted.join(values, "fp").select("home", F.lit(0).alias("kind"), zero.alias("pair"), F.lit(0).alias("side"), "fp", zero.alias("root"), "n", "bits", "members")
     rows = rows.unionByName(placed.select("home", F.lit(1).alias("kind"), "pair", "side", "fp", "root", zero.alias("n"), none.alias("bits"), none.alias("members")))
@@ -511,15 +541,14 @@ def similar_groups(
     s = Fraction(similarity)
     sets = _sets(docs, shingle, seed)
     tokens, kinds = _frequent(sets, classes, frequent)
-    shared = _shared(sets, Keys(tokens, kinds, s, classes))
-    dealt = shared.select("key", "n", "fp").repartition("key").sortWithinPartitions("key", "n", "fp")
-    tried = written(dealt.mapInArrow(lambda b: given_back(_first_pairs(s)(b)), "a bigint, b bigint").distinct(), "first-pairs")
+    shared = _shared(sets, Keys(tokens, kinds, s, classes), s)
+    tried = written(shared.filter("key is null").select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct(), "first-pairs")
     links = _verified(_near(tried, sets, s), sets, s)
     roots = _roots(links)
     opened = _open_blocks(shared, roots, sets, block)
     if opened is not None:
         blocks, bits = opened
-        similar = _rest(blocks.drop("root"), roots, bits, sets, s)
+        similar = _rest(blocks, roots, bits, sets, s)
         if not similar.isEmpty():
             roots = _roots(links.unionByName(similar))
     least = sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))

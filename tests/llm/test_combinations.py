@@ -143,3 +143,25 @@ def test_tokens_are_packed():
     for n in (0, 1, 2, 1000):
         tokens = np.sort(rng.integers(0, 1 << 40, n).astype(np.uint64))
         assert combinations.unpacked(combinations.packed(tokens)).tolist() == tokens.tolist()
+
+
+def test_sets_are_dropped_before_they_are_moved(spark):
+    """Of many different texts, only the few that may be similar are moved as sets, also where nothing is small enough to be
+    broadcast by itself; keys are moved once."""
+    rng = random.Random(5)
+    texts = [" ".join(str(rng.randrange(10**9)) for _ in range(1_000)) for _ in range(150)]
+    docs = spark.createDataFrame([(i, t, *["x"] * 6) for i, t in enumerate([*texts, texts[0] + " end"])], SCHEMA).coalesce(2)
+    java = spark._jvm.java.util
+    stages = lambda: spark._jsc.sc().statusStore().stageList(java.ArrayList(), False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), java.ArrayList())
+    written = lambda: {(x := s.apply(i)).stageId(): x.shuffleWriteBytes() for s in (stages(),) for i in range(s.size())}
+    before = written()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = found(combinations.similar_groups(docs))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert {doc: component for doc, _, component in got} == {i: i for i in range(150)} | {150: 0}
+    moved = sum(n for k, n in written().items() if k not in before)
+    sets = 150 * 1_000 * combinations.BYTES
+    assert moved < 1.3 * sets
